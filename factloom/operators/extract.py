@@ -42,7 +42,7 @@ def extract_imports(lines: DataFrame) -> DataFrame:
         "opener",
     )
     exported = state.filter(F.col("line").rlike(r"\A\s*\}\s*from") & (F.col("opener") == "export")).select(
-        "repo", "file", F.col("ln").cast("int").alias("line")
+        "repo", "file", F.col("ln").cast("long").alias("line")
     )
     closing = F.col("evidence").rlike(r"\A\}\s*from")
     return facts.filter(~closing).unionByName(facts.filter(closing).join(exported, [*FILE, "line"], "left_anti"))
@@ -78,17 +78,14 @@ def extract_calls(lines: DataFrame) -> DataFrame:
     Enclosing = nearest preceding definition; a call at column 0 outside a definition line has none.
     This approximates lexical nesting on lines.
     """
-    lines = clean_code(lines)
-    facts = extract_lines(lines, packs.CODE_CALLS, "code")
     line = F.col("code")
     is_method, name = _definition(line)
     is_class = line.rlike(_DEF_CLASS)
-    marks = lines.select(
-        "repo", "file", "ln",
+    marks = clean_code(lines).select(
+        "repo", "file", "ln", "line", "code",
         F.when(is_class, F.regexp_extract(line, _DEF_CLASS, 1)).alias("cls"),
         name.alias("fn"),
         is_method.alias("method_def"),
-        line.rlike(r"\A\S").alias("outer"),
         line.rlike(packs.JS_CALL).alias("call"),
     ).filter(F.col("cls").isNotNull() | F.col("fn").isNotNull() | F.col("call"))
     marks = last_seen(marks, FILE, "ln", F.col("cls"), "in_class")
@@ -96,14 +93,12 @@ def extract_calls(lines: DataFrame) -> DataFrame:
         F.col("method_def") & F.col("in_class").isNotNull(), F.concat_ws(".", "in_class", "fn")
     ).otherwise(F.col("fn"))
     marks = last_seen(marks, FILE, "ln", full, "in_fn")
-    enclosing = marks.filter("call").select(
-        "repo", "file", F.col("ln").cast("int").alias("line"), F.col("fn").alias("_fn"),
-        F.when(F.col("outer") & F.col("fn").isNull(), F.lit(None)).otherwise(F.col("in_fn")).alias("_caller"),
-    )
-    joined = facts.drop("caller").join(enclosing, [*FILE, "line"], "left")
+    outer = line.rlike(r"\A\S") & F.col("fn").isNull()
+    calls = marks.filter("call").withColumn("_caller", F.when(~outer, F.col("in_fn"))).withColumn("_fn", F.col("fn"))
+    facts = extract_lines(calls, packs.CODE_CALLS, "code", keep=["_caller", "_fn"])
     # The name in a definition line itself is no call.
     own = F.coalesce(F.col("callee") == F.col("_fn"), F.lit(False))
-    return joined.filter(~own).select(*[F.col("_caller").alias("caller") if c == "caller" else F.col(c) for c in facts.columns])
+    return facts.filter(~own).withColumn("caller", F.col("_caller")).drop("_caller", "_fn")
 
 
 _COMPONENT = (

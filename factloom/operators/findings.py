@@ -17,7 +17,7 @@ FINDING = ("id", "repo", "category", "rule", "severity", "file", "line", "eviden
 
 def _finding(df: DataFrame, prefix: str, **values: Column) -> DataFrame:
     rows = df.select(
-        "repo", "file", *[values[n].cast("int" if n in ("line", "ext_ord") else "string").alias(n) for n in
+        "repo", "file", *[values[n].cast({"line": "long", "ext_ord": "int"}.get(n, "string")).alias(n) for n in
                           ("category", "rule", "severity", "line", "evidence", "confidence", "ext_ord")]
     )
     ident = content_id(prefix, F.col("repo"), F.col("category"), F.col("rule"), F.col("file"), F.col("line"))

@@ -141,7 +141,7 @@ def source_excerpt(facts: DataFrame, lines: DataFrame, radius: int = EXCERPT_RAD
         "repo", "file", F.col("id").alias("fact_id"), F.col("line").alias("at"),
         F.explode(F.sequence(F.col("line") - radius, F.col("line") + radius)).alias("ln"),
     ).filter(F.col("ln") >= 1)
-    return asked.join(lines.select("repo", "file", F.col("ln").cast("int").alias("ln"), "line"), ["repo", "file", "ln"]).select(
+    return asked.join(lines.select("repo", "file", F.col("ln").cast("long").alias("ln"), "line"), ["repo", "file", "ln"]).select(
         "repo", "file", "fact_id", "ln", (F.col("ln") == F.col("at")).alias("hit"), "line"
     )
 

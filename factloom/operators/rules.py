@@ -133,21 +133,22 @@ def line_hits(pack: Pack, line: Column) -> Column:
     return F.concat(*[F.coalesce(p, empty) for p in parts])
 
 
-def extract_lines(lines: DataFrame, pack: Pack, text: str = "line") -> DataFrame:
+def extract_lines(lines: DataFrame, pack: Pack, text: str = "line", keep: Sequence[str] = ()) -> DataFrame:
     """Apply a pack to ``lines(repo, file, ln, line)`` and return raw facts.
 
-    ``text`` names the column to match; the evidence is always the line itself.
+    ``text`` names the column to match; the evidence is always the line itself. ``keep`` passes
+    further columns of ``lines`` through.
     """
     line = F.col(text)
     rows = lines
     if pack.skip:
         rows = rows.filter(~line.rlike(pack.skip))
-    hits = rows.select("repo", "file", "ln", "line", F.explode(line_hits(pack, line)).alias("h"))
+    hits = rows.select("repo", "file", "ln", "line", *keep, F.explode(line_hits(pack, line)).alias("h"))
     return hits.select(
         "repo",
         F.col("h.type").alias("type"),
         "file",
-        F.col("ln").cast("int").alias("line"),
+        F.col("ln").cast("long").alias("line"),
         *[F.col(f"h.{n}").alias(n) for n in _HIT_FIELDS[:-1]],
         F.col("h.kind").alias("kind"),
         F.coalesce("h.confidence", path_confidence(F.col("file"))).alias("confidence"),
@@ -155,12 +156,13 @@ def extract_lines(lines: DataFrame, pack: Pack, text: str = "line") -> DataFrame
         F.col("h.extra").alias("extra"),
         F.lit(pack.order).alias("ext_ord"),
         F.col("h.pos").alias("pos"),
+        *keep,
     )
 
 
 def raw_facts(df: DataFrame, order: int, **values: Column) -> DataFrame:
     """Bring a hand-made selection into the raw fact layout; missing columns become null."""
-    types = {"line": "int", "ext_ord": "int", "pos": "int", "extra": "map<string,string>"}
+    types = {"line": "long", "ext_ord": "int", "pos": "int", "extra": "map<string,string>"}
     have = dict(values)
     have.setdefault("ext_ord", F.lit(order))
     have.setdefault("pos", F.lit(0))

@@ -20,7 +20,7 @@ def verify_facts(facts: DataFrame, files: DataFrame, lines: DataFrame) -> DataFr
     """
     keep = [c for c in ("id", "repo", "type", "file", "line", "evidence") if c in facts.columns]
     current = lines.select(
-        "repo", "file", F.col("ln").cast("int").alias("line"), evidence(F.col("line")).alias("current_evidence")
+        "repo", "file", F.col("ln").cast("long").alias("line"), evidence(F.col("line")).alias("current_evidence")
     )
     # (repo, file, line) is the key that splits long files over tasks; the existence check reuses it
     # for all facts whose line is found and needs the files table only for the others.
