@@ -1 +1,106 @@
-"""Queries."""
+"""Dossiers, briefs and documentation checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factloom.operators import documents as D
+from factloom.operators import dossier as B
+from factloom.operators import memory as M
+from factloom.operators.extract import extract_imports
+from factloom.operators.facts import normalize_facts
+from factloom.operators.rules import merge
+from factloom.queries import query
+from factloom.queries import sql as S
+from factloom.sources import adapters as A
+
+
+def _files(spark, sf_dir):
+    orders = A.table(spark, sf_dir, "orders").select(F.lit(A.SHOP).alias("repo"), F.concat(F.lit("orders/o_"), F.col("o_orderkey").cast("string"), F.lit(".js")).alias("file"))
+    customers = A.table(spark, sf_dir, "customer").select(F.lit(A.SHOP).alias("repo"), F.concat(F.lit("customers/c_"), F.col("c_custkey").cast("string"), F.lit(".js")).alias("file"))
+    missing = A.table(spark, sf_dir, "supplier").select(F.lit(A.SHOP).alias("repo"), F.concat(F.lit("none/s_"), F.col("s_suppkey").cast("string"), F.lit(".js")).alias("file"))
+    return orders.unionByName(customers), missing
+
+
+def _facts(spark, sf_dir):
+    lines = merge([A.import_lines(spark, sf_dir), A.order_lines(spark, sf_dir), A.customer_lines(spark, sf_dir)])
+    return normalize_facts(extract_imports(lines))
+
+
+@query("q28_dossier", f"""
+    WITH {S.IMPORTS},
+    per_customer AS (SELECT o_custkey AS ck, count(*) AS n FROM orders GROUP BY ALL),
+    per_order AS (SELECT ok, count(*) AS n FROM imp GROUP BY ok)
+    SELECT {S.order_file('o_orderkey')} AS file, coalesce(n, 0) AS n_facts, coalesce(n, 0) AS n_imports, 1::BIGINT AS n_source_dependents, 0::BIGINT AS n_test_dependents, NULL AS error
+    FROM orders LEFT JOIN per_order ON ok = o_orderkey
+    UNION ALL SELECT 'customers/c_' || c_custkey || '.js', coalesce(n, 0), coalesce(n, 0), 0, 1, NULL FROM customer LEFT JOIN per_customer ON ck = c_custkey
+    UNION ALL SELECT 'none/s_' || s_suppkey || '.js', 0, 0, 0, 0, 'file not found in project: none/s_' || s_suppkey || '.js' FROM supplier""")
+def dossier(spark, sf_dir):
+    known, missing = _files(spark, sf_dir)
+    rows = B.dossier(known.unionByName(missing), known, _facts(spark, sf_dir))
+    return rows.select("file", "n_facts", "n_imports", "n_source_dependents", "n_test_dependents", "error")
+
+
+@query("q28_dossier_dependents", f"""
+    SELECT {S.order_file('o_orderkey')} AS target, 'customers/c_' || o_custkey || '.js' AS file, false AS is_test FROM orders
+    UNION ALL SELECT 'customers/c_' || c_custkey || '.js', 'test/nation_' || c_nationkey || '.test.js', true FROM customer""")
+def dossier_dependents(spark, sf_dir):
+    known, _ = _files(spark, sf_dir)
+    return B.dossier_dependents(known, _facts(spark, sf_dir)).select("target", "file", "is_test")
+
+
+@query("q28_dossier_imports", f"WITH {S.IMPORTS} SELECT {S.order_file('ok')} AS file, {S.part_target('pk')} AS target FROM imp")
+def dossier_imports(spark, sf_dir):
+    known, _ = _files(spark, sf_dir)
+    return B.dossier_imports(known, A.import_facts(spark, sf_dir)).select("file", "target")
+
+
+@query("q29_doc_contradictions", """
+    WITH h AS (SELECT DISTINCT l_orderkey AS ok, l_partkey AS pk FROM lineitem),
+    d AS (SELECT 'docs/o_' || ok || '.md' AS file, pk + 1 AS line, pk, p_size FROM h LEFT JOIN part ON p_partkey = pk)
+    SELECT 'broken_link' AS kind, file, line, 'link target not found: ../parts/p_' || pk || '.md#top' AS detail FROM d WHERE coalesce(p_size, 0) < 25
+    UNION ALL SELECT 'missing_path', file, line, 'possible: documented path does not exist: parts/p_' || pk || '.md' FROM d WHERE coalesce(p_size, 0) < 25
+    UNION ALL SELECT 'missing_npm_script', file, line, 'npm run pack-' || pk % 100 || ' is documented but package.json has no such script' FROM d
+      WHERE pk % 100 NOT IN (SELECT n_nationkey FROM nation)
+    UNION ALL SELECT 'missing_npm_script', file, line, 'npm test is documented but package.json has no test script' FROM d""")
+def doc_contradictions(spark, sf_dir):
+    lines = A.handbook_lines(spark, sf_dir)
+    files = A.handbook_files(spark, sf_dir).unionByName(A.files_of(lines))
+    return D.contradictions(lines, files, A.handbook_manifest(spark, sf_dir)).select("kind", "file", "line", "detail")
+
+
+@query("q29_page_broken_links", f"""
+    WITH {S.PAGE_FACTS},
+    pages_at AS (SELECT DISTINCT '/' || replace(regexp_extract(url, '^https?://[^/]*(/[^?#]*)', 1), '/', '') AS p FROM pages)
+    SELECT file, CAST(line AS BIGINT) AS line, target FROM page_facts WHERE type = 'doc_link' AND target <> '' AND NOT regexp_matches(target, '(?i)^([a-z][a-z0-9+.-]*:|#|//)')
+      AND NOT regexp_matches(target, '[()\\s]') AND NOT contains(target, '..') AND NOT contains(target, './') AND regexp_replace(target, '[#?].*$', '') NOT IN ('', '/')""")
+def page_broken_links(spark, sf_dir):
+    """Links of the pages written as document links; pages link to nothing that is stored."""
+    links = A.page_facts(spark, sf_dir).filter((F.col("type") == "doc_link") & ~F.col("target").rlike(r"[()\s]") & ~F.contains(F.col("target"), F.lit("..")) & ~F.contains(F.col("target"), F.lit("./")))
+    lines = links.select("repo", F.regexp_replace("file", r"\.html\z", ".md").alias("file"), F.col("line").alias("ln"), F.concat(F.lit("see [x]("), F.col("target"), F.lit(")")).alias("line"))
+    found = D.broken_links(lines, D.existing_paths(A.page_files(spark, sf_dir).select("repo", "file")))
+    return found.select(F.regexp_replace("file", r"\.md\z", ".html").alias("file"), "line", F.substring_index("detail", ": ", -1).alias("target"))
+
+
+@query("q65_brief_failures", """
+    WITH f AS (SELECT 'u_' || user_id AS repo, event_type AS task, 'value ' || CAST(floor(value) AS BIGINT) AS strategy, ts FROM events WHERE event_type = 'error')
+    SELECT repo, CAST(age AS BIGINT) AS age, strategy, task, 'failure' AS outcome FROM (
+      SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, task DESC, strategy DESC) AS age FROM f) WHERE age <= 5""")
+def brief_failures(spark, sf_dir):
+    log, _ = M.log_experience(A.experience_runs(spark, sf_dir))
+    attempts = log.filter(F.lit(False)).select("repo", "ts", "task", "strategy", F.lit("approved").alias("status"))
+    return B.brief_failures(log, attempts).select("repo", F.col("age").cast("long").alias("age"), "strategy", "task", "outcome")
+
+
+@query("q65_brief_rules", """
+    WITH r AS (SELECT 'u_' || user_id AS repo, event_id, ts, CASE WHEN event_type = 'purchase' THEN 'approved' ELSE 'proposed' END AS status FROM events)
+    SELECT repo, count_if(status = 'approved' AND rank <= 10) AS shown, greatest(count_if(status = 'approved') - 10, 0) AS more, count_if(status = 'proposed') AS not_approved
+    FROM (SELECT *, row_number() OVER (PARTITION BY repo, status ORDER BY ts) AS rank FROM r) GROUP BY repo""")
+def brief_rules(spark, sf_dir):
+    rules = A.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("repo"), F.col("event_id").cast("string").alias("id"), "ts",
+        F.concat(F.lit("rule "), F.col("props")).alias("rule"), F.when(F.col("event_type") == "purchase", "approved").otherwise("proposed").alias("status"),
+    )
+    shown, counts = B.brief_rules(rules)
+    per_repo = shown.groupBy("repo").agg(F.count(F.lit(1)).alias("shown"))
+    return counts.join(per_repo, "repo", "left").select("repo", F.coalesce("shown", F.lit(0)).alias("shown"), "more", "not_approved")
