@@ -7,7 +7,9 @@ the run-wise windows of :mod:`factloom.functions.runs`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.runs import first_per, last_seen, running_sum
@@ -273,9 +275,9 @@ def extract_markdown(lines: DataFrame) -> DataFrame:
     return named.unionByName(extract_code_blocks(lines))
 
 
-def extract_html(lines: DataFrame) -> DataFrame:
+def extract_html(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Links and headings of web pages, as document facts."""
-    return extract_lines(lines, packs.HTML)
+    return extract_lines(lines, packs.HTML, keep=keep)
 
 
 def extract_r(lines: DataFrame) -> DataFrame:

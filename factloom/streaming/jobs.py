@@ -90,7 +90,7 @@ def debounce_changes(changes: DataFrame, gap: str = "300 milliseconds", watermar
 def batch_sessions(events: DataFrame, key: str, seconds: float) -> DataFrame:
     """The same runs on a table. Windows of fixed buckets keep a hot key spread: a run is cut by
     the distance to the previous event, found within its bucket or as the last event before it."""
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.select(F.col(key), "ts", micros.alias("_t")).withColumn("_b", F.floor(F.col("_t") / (3600 * 1_000_000)))
     inside = Window.partitionBy(key, "_b").orderBy("_t")
     last = rows.groupBy(key, "_b").agg(F.max("_t").alias("_m"))
