@@ -8,7 +8,7 @@ runs, and add them to a window inside each run.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,34 +55,34 @@ def last_seen(
     df: DataFrame,
     keys: Sequence[str],
     position: str,
-    value: Column,
-    out: str,
+    values: Mapping[str, Column],
     width: int = RUN_WIDTH,
 ) -> DataFrame:
-    """Latest non-null ``value`` at or before integer ``position`` within ``keys``."""
-    rows = df.withColumn("_v", value).withColumn("_run", F.floor(F.col(position) / width))
+    """Adds, per ``out: value``, the latest non-null value at or before ``position`` within ``keys``.
+
+    All values share one shuffle of the rows; the summaries are one map-side aggregate.
+    """
+    names = {out: f"_v{i}" for i, out in enumerate(values)}
+    rows = df.withColumn("_run", F.floor(F.col(position) / width))
+    for out, value in values.items():
+        rows = rows.withColumn(names[out], value)
     before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        rows.filter(F.col("_v").isNotNull())
-        .groupBy(*keys, "_run")
-        .agg(F.max_by("_v", position).alias("_last"))
+    summary = rows.groupBy(*keys, "_run").agg(
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(position))).alias(f"{v}l") for v in names.values()]
     )
-    runs = rows.select(*keys, "_run").distinct()
-    summary = (
-        runs.join(summary, [*keys, "_run"], "left")
-        .withColumn("_base", F.last("_last", ignorenulls=True).over(before))
-        .drop("_last")
+    summary = summary.select(
+        *keys, "_run", *[F.last(f"{v}l", ignorenulls=True).over(before).alias(f"{v}b") for v in names.values()]
     )
     inside = (
         Window.partitionBy(*keys, "_run")
         .orderBy(position)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    rows = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(inside))
-    return (
-        _carry(rows, keys, ["_run"], summary)
-        .withColumn(out, F.coalesce("_in", "_base"))
-        .drop("_v", "_run", "_in", "_base")
+    for v in names.values():
+        rows = rows.withColumn(f"{v}i", F.last(v, ignorenulls=True).over(inside))
+    joined = _carry(rows, keys, ["_run"], summary)
+    return joined.select(
+        *df.columns, *[F.coalesce(f"{v}i", f"{v}b").alias(out) for out, v in names.items()]
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.runs import first_per, last_seen, running_sum
@@ -31,23 +31,31 @@ def clean_code(lines: DataFrame) -> DataFrame:
     return lines.withColumn("code", F.regexp_replace(no_blocks, r"(^|[^:\"'`])//[^\"'`]*\z", "$1"))
 
 
+# A multi-line import list is looked back for within this many lines.
+_STATEMENT_LINES = 4096
+_OPENER = r"\A\s*(import|export)\b[^'\"]*\{[^}]*\z"
+_CLOSER = r"\A\s*\}\s*from"
+
+
 def extract_imports(lines: DataFrame) -> DataFrame:
-    """ESM imports and require calls with a literal; ``} from 'x'`` counts at its closing line."""
-    lines = clean_code(lines)
-    facts = extract_lines(lines, packs.CODE_IMPORTS, "code")
-    opened = lines.filter(F.col("code").rlike(r"\A\s*(import|export)\b[^'\"]*\{[^}]*\z|\A\s*\}\s*from"))
-    state = last_seen(
-        opened.select("repo", "file", "ln", "line"),
-        FILE,
-        "ln",
-        F.when(~F.col("line").rlike(r"\A\s*\}"), F.regexp_extract("line", r"\A\s*(import|export)", 1)),
-        "opener",
-    )
-    exported = state.filter(F.col("line").rlike(r"\A\s*\}\s*from") & (F.col("opener") == "export")).select(
-        "repo", "file", F.col("ln").cast("long").alias("line")
-    )
-    closing = F.col("evidence").rlike(r"\A\}\s*from")
-    return facts.filter(~closing).unionByName(facts.filter(closing).join(exported, [*FILE, "line"], "left_anti"))
+    """ESM imports and require calls with a literal; a multi-line list counts at its closing line.
+
+    One pass over the text finds imports and the openings of multi-line statements; a window over
+    these few rows tells ``import {`` from ``export {``.
+    """
+    code = F.col("code")
+    keep = ["_opens", "_closes"]
+    marked = clean_code(lines).withColumn("_opens", F.regexp_extract(code, _OPENER, 1)).withColumn("_closes", code.rlike(_CLOSER))
+    pack = packs.CODE_IMPORTS_AND_OPENERS
+    hits = extract_lines(marked, pack, "code", keep=keep)
+    run = F.floor(F.col("line") / _STATEMENT_LINES)
+    # An opening counts for its own run of lines and for the next one.
+    runs = F.when(F.col("_opens") != "", F.array(run, run + 1)).otherwise(F.array(run))
+    rows = hits.withColumn("_home", run).withColumn("_run", F.explode(runs))
+    order = Window.partitionBy("repo", "file", "_run").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_opener", F.last(F.nullif(F.col("_opens"), F.lit("")), ignorenulls=True).over(order))
+    exported = F.col("_closes") & F.coalesce(F.col("_opener") == "export", F.lit(False))
+    return rows.filter((F.col("type") == "import") & (F.col("_run") == F.col("_home")) & ~exported).drop(*keep, "_home", "_run", "_opener")
 
 
 def extract_hooks(lines: DataFrame) -> DataFrame:
@@ -90,13 +98,17 @@ def extract_calls(lines: DataFrame) -> DataFrame:
         is_method.alias("method_def"),
         line.rlike(packs.JS_CALL).alias("call"),
     ).filter(F.col("cls").isNotNull() | F.col("fn").isNotNull() | F.col("call"))
-    marks = last_seen(marks, FILE, "ln", F.col("cls"), "in_class")
+    marks = last_seen(marks, FILE, "ln", {
+        "in_class": F.when(F.col("cls").isNotNull(), F.struct("ln", F.col("cls").alias("name"))),
+        "in_fn": F.when(F.col("fn").isNotNull(), F.struct("ln", F.col("fn").alias("name"), "method_def")),
+    })
+    # A class that opens after the definition starts a new scope.
+    in_scope = F.col("in_class").isNull() | (F.col("in_class.ln") < F.col("in_fn.ln"))
     full = F.when(
-        F.col("method_def") & F.col("in_class").isNotNull(), F.concat_ws(".", "in_class", "fn")
-    ).otherwise(F.col("fn"))
-    marks = last_seen(marks, FILE, "ln", full, "in_fn")
+        F.col("in_fn.method_def") & F.col("in_class").isNotNull(), F.concat_ws(".", "in_class.name", "in_fn.name")
+    ).otherwise(F.col("in_fn.name"))
     outer = line.rlike(r"\A\S") & F.col("fn").isNull()
-    calls = marks.filter("call").withColumn("_caller", F.when(~outer, F.col("in_fn"))).withColumn("_fn", F.col("fn"))
+    calls = marks.filter("call").withColumn("_caller", F.when(~outer & in_scope, full)).withColumn("_fn", F.col("fn"))
     facts = extract_lines(calls, packs.CODE_CALLS, "code", keep=["_caller", "_fn"])
     # The name in a definition line itself is no call.
     own = F.coalesce(F.col("callee") == F.col("_fn"), F.lit(False))
@@ -239,15 +251,9 @@ def extract_vue(files: DataFrame) -> DataFrame:
 # --- documents ----------------------------------------------------------------------------------
 
 def with_fences(lines: DataFrame, fence: str = packs.FENCE) -> DataFrame:
-    """Add ``is_fence`` and ``fences_before`` (inclusive count), so odd means inside or opening.
-
-    Files without any fence skip the windows altogether.
-    """
+    """Add ``is_fence`` and ``fences_before`` (inclusive count), so odd means inside or opening."""
     marked = lines.withColumn("is_fence", F.col("line").rlike(fence))
-    fenced = marked.filter("is_fence").select(*FILE).distinct()
-    inside = running_sum(marked.join(fenced, FILE, "left_semi"), FILE, "ln", F.col("is_fence").cast("int"), "fences_before")
-    outside = marked.join(fenced, FILE, "left_anti").withColumn("fences_before", F.lit(0).cast("long"))
-    return inside.unionByName(outside)
+    return running_sum(marked, FILE, "ln", F.col("is_fence").cast("int"), "fences_before")
 
 
 def extract_code_blocks(lines: DataFrame, fence: str = packs.FENCE) -> DataFrame:
@@ -288,8 +294,7 @@ def extract_r(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     is_open, is_close = line.rlike(packs.R_CHUNK_OPEN), line.rlike(packs.R_CHUNK_CLOSE)
     state = last_seen(
-        rmd.select("repo", "file", "ln", "line"), FILE, "ln",
-        F.when(is_open, "open").when(is_close, "close"), "state",
+        rmd.select("repo", "file", "ln", "line"), FILE, "ln", {"state": F.when(is_open, "open").when(is_close, "close")}
     )
     body = state.filter((F.col("state") == "open") & ~is_open)
     opens = running_sum(rmd.filter(is_open).select("repo", "file", "ln", "line"), FILE, "ln", F.lit(1), "chunk")
@@ -355,7 +360,7 @@ def _yaml_keys(lines: DataFrame) -> DataFrame:
         strip(F.regexp_extract(line, _YAML_KEY, 3)).alias("value"),
         line.rlike(r"\A\s*-(\s|\z)").alias("item"),
     )
-    rows = last_seen(rows, FILE, "ln", F.when((F.col("indent") == 0) & ~F.col("item"), F.struct("ln", "key")), "top")
+    rows = last_seen(rows, FILE, "ln", {"top": F.when((F.col("indent") == 0) & ~F.col("item"), F.struct("ln", "key"))})
     below = rows.filter((F.col("indent") > 0) | F.col("item"))
     heads = below.groupBy(*FILE, F.col("top.ln").alias("ln")).agg(
         F.min_by("indent", "ln").alias("child_indent"), F.min_by("item", "ln").alias("list")
@@ -383,7 +388,7 @@ _TOML_KEY = r"\A\s*[\"']?([\w.-]+)[\"']?\s*=\s*(.*?)\s*\z"
 def _toml_keys(lines: DataFrame) -> DataFrame:
     rows = lines.filter(F.col("file").endswith(".toml") & ~F.col("line").rlike(r"\A\s*(#|\z)"))
     line = F.col("line")
-    rows = last_seen(rows, FILE, "ln", F.when(line.rlike(_TOML_TABLE), F.regexp_extract(line, _TOML_TABLE, 2)), "table")
+    rows = last_seen(rows, FILE, "ln", {"table": F.when(line.rlike(_TOML_TABLE), F.regexp_extract(line, _TOML_TABLE, 2))})
     path = F.split("table", r"\s*\.\s*")
     is_table = line.rlike(_TOML_TABLE)
     tables = rows.filter(is_table)

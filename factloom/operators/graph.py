@@ -112,7 +112,7 @@ def transitive_impact(edges: DataFrame, targets: DataFrame, max_depth: int = 5)
     Each round joins the newest pairs only and drops pairs known before; the lineage is cut after
     every round, and the loop ends once a round brings nothing new.
     """
-    links = edges.select("repo", F.col("target_key").alias("at"), "file").distinct()
+    links = cut_lineage(edges.select("repo", F.col("target_key").alias("at"), "file").distinct(), "links")
     frontier = targets.select("repo", "target").distinct().withColumn("at", strip_extension(F.col("target")))
     known = None
     for depth in range(1, max_depth + 1):

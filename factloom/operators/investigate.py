@@ -15,6 +15,7 @@ from factloom.functions.matching import contains_join
 from factloom.functions.runs import number_rows, top_per
 from factloom.functions.text import DOC_FILE, SECONDARY_DIR, is_low_confidence
 from factloom.operators.derive import FACT_ORDER
+from factloom.session import cut_lineage
 
 # Fixed values of retrieval and scoring.
 BROAD_RATIO, BROAD_COUNT = 0.5, 20
@@ -314,16 +315,28 @@ def collect_deep_facts(ranked: DataFrame, retrieved: DataFrame, cap: int = DEEP_
     return first_citations(rows, ["objective_id"], cap)
 
 
-def answer_tables(objectives: DataFrame, facts: DataFrame, verified: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All intermediate tables of an investigation, by name."""
+def answer_tables(
+    objectives: DataFrame, facts: DataFrame, verified: DataFrame | None = None, store: bool = False
+) -> dict[str, DataFrame]:
+    """All intermediate tables of an investigation, by name.
+
+    ``store`` writes keywords, retrieved facts and hypotheses once; take it where several of the
+    tables are used, since each of them would otherwise repeat the retrieval.
+    """
     from factloom.operators.intent import keywords as split_keywords
     from factloom.operators.intent import parse_intent
 
     intents = parse_intent(objectives)
     words = discriminating_keywords(split_keywords(intents), facts)
+    if store:
+        words = cut_lineage(words, "keywords")
     found = retrieve(intents, words, facts)
+    if store:
+        found = cut_lineage(found, "retrieved")
     unknown = unknown_terms(words, found)
     scored = score_hypotheses(form_hypotheses(found, verified))
+    if store:
+        scored = cut_lineage(scored, "hypotheses")
     return {
         "intents": intents, "keywords": words, "retrieved": found, "unknowns": unknown, "hypotheses": scored,
         "triage": triage(intents, scored, unknown),

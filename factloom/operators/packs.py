@@ -178,6 +178,11 @@ CODE_IMPORTS = Pack(
     ),
     skip=r"\A\s*(//|/?\*)",
 )
+CODE_IMPORTS_AND_OPENERS = Pack(
+    "imports", ORDER["code"],
+    slots=(*CODE_IMPORTS.slots, (Rule("_opener", r"\A\s*(?:import|export)\b[^'\"]*\{[^}]*\z"),)),
+    skip=CODE_IMPORTS.skip,
+)
 CODE_HOOKS = Pack(
     "hooks", ORDER["code"],
     slots=((Rule("hook_usage", JS_HOOK, {"name": group(1)}, each=True, confidence="path"),),),

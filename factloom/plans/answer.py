@@ -11,6 +11,7 @@ from factloom.functions.text import estimate_tokens
 from factloom.operators import investigate as inv
 from factloom.operators import synthesis as syn
 from factloom.operators.budget import MAX_TOKENS, fit_budget
+from factloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -29,10 +30,10 @@ class Answer:
 
 def answer(objectives: DataFrame, facts: DataFrame, verified: DataFrame | None = None, rules: DataFrame | None = None,
            max_tokens: int = MAX_TOKENS) -> Answer:
-    """Run the whole investigation for ``objectives(objective_id, repo, text)``; lazy throughout."""
-    t = inv.answer_tables(objectives, facts, verified)
+    """Run the whole investigation for ``objectives(objective_id, repo, text)``."""
+    t = inv.answer_tables(objectives, facts, verified, store=True)
     insights, totals = syn.top_insights(t["hypotheses"], t["intents"])
-    insights = syn.insight_reasons(insights, t["retrieved"], facts)
+    insights = cut_lineage(syn.insight_reasons(insights, t["retrieved"], facts), "insights")
     refs = syn.insight_references(insights, t["hypotheses"], t["retrieved"], t["intents"])
     citations = syn.attach_citations(refs, facts)
     ranked = inv.rank_hypotheses(t["hypotheses"]).join(t["intents"].select("objective_id", "task_type"), "objective_id")

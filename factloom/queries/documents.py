@@ -12,6 +12,7 @@ from factloom.operators.facts import normalize_facts
 from factloom.operators.rules import merge
 from factloom.queries import query
 from factloom.queries import sql as S
+from factloom.session import cut_lineage
 from factloom.sources import adapters as A
 
 
@@ -24,7 +25,7 @@ def _files(spark, sf_dir):
 
 def _facts(spark, sf_dir):
     lines = merge([A.import_lines(spark, sf_dir), A.order_lines(spark, sf_dir), A.customer_lines(spark, sf_dir)])
-    return normalize_facts(extract_imports(lines))
+    return cut_lineage(normalize_facts(extract_imports(lines)), "facts")
 
 
 @query("q28_dossier", f"""

@@ -12,6 +12,7 @@ from factloom.operators import synthesis as Y
 from factloom.operators.budget import fit_budget
 from factloom.queries import query
 from factloom.queries import sql as S
+from factloom.session import cut_lineage
 from factloom.sources import adapters as A
 
 
@@ -69,8 +70,13 @@ hyp AS (SELECT objective_id, file, count(*) AS n_facts, 0.3::DOUBLE + 0.6::DOUBL
 """
 
 
-def answers(spark, sf_dir):
-    return V.answer_tables(A.objectives(spark, sf_dir), A.page_facts(spark, sf_dir))
+def answers(spark, sf_dir, store=True):
+    return V.answer_tables(A.objectives(spark, sf_dir), stored_facts(spark, sf_dir), store=store)
+
+
+def stored_facts(spark, sf_dir):
+    """Questions are asked to stored facts, as after a scan."""
+    return cut_lineage(A.page_facts(spark, sf_dir), "facts")
 
 
 @query("q31_keywords", f"WITH {KEYWORDS} SELECT objective_id, keyword FROM kw")
@@ -93,7 +99,7 @@ def expanded_keywords(spark, sf_dir):
 
 @query("q33_retrieve", f"WITH {RETRIEVED} SELECT objective_id, file, CAST(line AS BIGINT) AS line, CAST(pos AS BIGINT) AS pos FROM found")
 def retrieve(spark, sf_dir):
-    return answers(spark, sf_dir)["retrieved"].select("objective_id", "file", "line", F.col("pos").cast("long").alias("pos"))
+    return answers(spark, sf_dir, store=False)["retrieved"].select("objective_id", "file", "line", F.col("pos").cast("long").alias("pos"))
 
 
 @query("q33_overview_retrieval", """
@@ -131,7 +137,7 @@ def unknowns(spark, sf_dir):
 
 @query("q35_hypotheses", f"WITH {HYPOTHESES} SELECT objective_id, file, n_facts, confidence, CASE WHEN confidence >= 0.8 THEN 'confirmed' ELSE 'supported' END AS status FROM hyp")
 def hypotheses(spark, sf_dir):
-    return answers(spark, sf_dir)["hypotheses"].select("objective_id", "file", "n_facts", "confidence", "status")
+    return answers(spark, sf_dir, store=False)["hypotheses"].select("objective_id", "file", "n_facts", "confidence", "status")
 
 
 @query("q35_drifted_hypotheses", """
@@ -193,7 +199,7 @@ def insights(spark, sf_dir):
       JOIN found f ON f.objective_id = h.objective_id AND f.file = h.file) WHERE ref <= 5""")
 def insight_citations(spark, sf_dir):
     t = answers(spark, sf_dir)
-    top, _ = Y.top_insights(t["hypotheses"], t["intents"])
+    top = cut_lineage(Y.top_insights(t["hypotheses"], t["intents"])[0], "insights")
     refs = Y.insight_references(top, t["hypotheses"], t["retrieved"], t["intents"])
     return Y.attach_citations(refs, A.page_facts(spark, sf_dir)).select("objective_id", "rank", "ref", "file", "line")
 

@@ -49,9 +49,29 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip(os.sep)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, bounds the plan of iterative jobs."""
+def cut_lineage(df: DataFrame, purpose: str = "table") -> DataFrame:
+    """Write a table once into the shared folder and go on from there.
+
+    What several consumers or rounds read is computed once, survives lost executors, and stays
+    columnar, so readers still prune columns and push filters down. See :func:`release`.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = fresh_folder(spark, purpose)
+    df.write.parquet(path)
+    _written(spark).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _written(spark: SparkSession) -> list[str]:
+    if not hasattr(spark, "_factloom_written"):
+        spark._factloom_written = []
+    return spark._factloom_written
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables written by :func:`cut_lineage` in this session; their readers end with it."""
+    paths, spark._factloom_written = _written(spark), []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        target = hadoop.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

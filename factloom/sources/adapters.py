@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factloom.operators.extract import extract_html, extract_imports, extract_routes
 from factloom.operators.facts import normalize_facts
 from factloom.operators.findings import KNOWN_PACKAGES
+from factloom.session import cut_lineage
 
 SHOP, WEB = "shop", "web"
 METHOD_BY_SEGMENT = {"AUTOMOBILE": "get", "BUILDING": "post", "FURNITURE": "put", "HOUSEHOLD": "delete", "MACHINERY": "patch"}
@@ -60,6 +61,11 @@ def import_facts(spark: SparkSession, sf_dir: str, changed: bool = False) -> Dat
     return normalize_facts(extract_imports(import_lines(spark, sf_dir, changed)))
 
 
+def stored_import_facts(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataFrame:
+    """The same as a stored table, as questions find it after a scan."""
+    return cut_lineage(import_facts(spark, sf_dir, changed), "facts")
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module per customer that imports the modules of its orders, on line ``orderkey + 2``."""
     orders = table(spark, sf_dir, "orders")
