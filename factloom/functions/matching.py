@@ -1,8 +1,8 @@
 """Substring and whole-word joins as equi-joins.
 
 ``a LIKE '%' || b || '%'`` between two tables has no equi-key, so Spark would compare all pairs.
-Here each term gives one anchor (three letters of it, or its longest word) and each text its
-distinct anchors; the join is on the anchor and the real test runs on the candidates only. A term
+Here each term gives one anchor (five letters of it, three if it is shorter, or its longest word)
+and each text its distinct anchors; the join is on the anchor and the real test runs on the candidates only. A term
 has exactly one anchor and a text each anchor once, so a (term, text) pair comes out at most once.
 The optimizer broadcasts the term side when its measured size is under the session's broadcast
 threshold, and shuffles by anchor otherwise.
@@ -55,7 +55,8 @@ def contains_join(
         right = chosen.withColumn("_anchor", anchor_gram(F.col(term), size))
         return left.join(right, ["_anchor", *on]).filter(F.contains(F.col(text), F.col(term))).drop("_anchor")
 
-    out = part(3, terms.filter(F.length(term) >= 3))
+    long = F.length(term) >= 5
+    out = part(5, terms.filter(long)).unionByName(part(3, terms.filter(~long & (F.length(term) >= 3))))
     if short_terms:
         for size in (2, 1):
             out = out.unionByName(part(size, terms.filter(F.length(term) == size)))

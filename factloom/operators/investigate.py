@@ -87,33 +87,49 @@ def expand_keywords(keywords: DataFrame) -> DataFrame:
     return keywords.select("objective_id", "repo", "keyword", F.explode(variants(F.col("keyword"))).alias("variant"))
 
 
-def retrieve_raw(keywords: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts that mention any form of any keyword, once per question."""
+def _mentions(keywords: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(which fact mentions which word form, with the fact's tier; which question asks which form)."""
     texts = facts.select(
-        *_FACT, "confidence", _joined("file", "name", "target", "type", "callee", "caller").alias("haystack")
+        "repo", "id", _tier().alias("tier"), _joined("file", "name", "target", "type", "callee", "caller").alias("haystack")
     )
     forms = expand_keywords(keywords).select("objective_id", "repo", "variant").distinct()
     terms = forms.select("repo", F.col("variant").alias("term")).distinct()
-    hits = contains_join(texts, terms, on=["repo"]).drop("haystack").withColumnRenamed("term", "variant")
-    pairs = hits.join(forms, ["repo", "variant"]).drop("variant")
-    return pairs.dropDuplicates(["objective_id", "id"])
+    hits = contains_join(texts, terms, on=["repo"]).select("repo", "id", "tier", F.col("term").alias("variant"))
+    return hits, forms
+
+
+def retrieve_raw(keywords: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts that mention any form of any keyword, once per question."""
+    hits, forms = _mentions(keywords, facts)
+    # Pairs are made distinct on two narrow columns; the facts come back by id.
+    pairs = hits.join(forms, ["repo", "variant"]).select("objective_id", "id").distinct()
+    return pairs.join(facts.select(*_FACT, "confidence"), "id")
 
 
 def _is_low(file: str = "file") -> Column:
     return (F.col("confidence") == "low") | is_low_confidence(F.col(file))
 
 
-def retrieve_tiered(keywords: DataFrame, facts: DataFrame) -> DataFrame:
-    """Code before other primary sources before everything; questions about tests or examples get all."""
-    raw = retrieve_raw(keywords, facts)
-    secondary = keywords.groupBy("objective_id").agg(F.bool_or(F.col("keyword").rlike(SECONDARY_KEYWORD)).alias("_all"))
+def _tier() -> Column:
+    """1 = code, 2 = other primary sources, 3 = tests, examples and the like."""
     primary = ~_is_low() & ~F.col("file").rlike(SECONDARY_DIR)
     code = primary & ~F.col("file").rlike(DOC_FILE) & ~F.col("type").startswith("doc_")
-    tiered = raw.join(secondary, "objective_id").withColumn(
-        "tier", F.when(F.col("_all") | code, 1).when(primary, 2).otherwise(3)
-    )
-    best = tiered.groupBy("objective_id").agg(F.min("tier").alias("best"))
-    return tiered.join(best, "objective_id").filter(F.col("tier") == F.col("best")).drop("_all", "best", "tier")
+    return F.when(code, 1).when(primary, 2).otherwise(3)
+
+
+def retrieve_tiered(keywords: DataFrame, facts: DataFrame) -> DataFrame:
+    """Code before other primary sources before everything; questions about tests or examples get all.
+
+    The best tier of a question follows from the best tier of its word forms, so it is known before
+    any (question, fact) pair exists, and pairs of other tiers are never shuffled.
+    """
+    hits, forms = _mentions(keywords, facts)
+    secondary = keywords.groupBy("objective_id").agg(F.bool_or(F.col("keyword").rlike(SECONDARY_KEYWORD)).alias("_all"))
+    per_form = hits.groupBy("repo", "variant").agg(F.min("tier").alias("form_tier"))
+    best = forms.join(per_form, ["repo", "variant"]).groupBy("objective_id").agg(F.min("form_tier").alias("best"))
+    asked = forms.join(best.join(secondary, "objective_id"), "objective_id")
+    pairs = hits.join(asked, ["repo", "variant"]).filter(F.col("_all") | (F.col("tier") == F.col("best")))
+    return pairs.select("objective_id", "id").distinct().join(facts.select(*_FACT, "confidence"), "id")
 
 
 def retrieve_overview(intents: DataFrame, facts: DataFrame) -> DataFrame:
@@ -133,13 +149,18 @@ def retrieve(intents: DataFrame, keywords: DataFrame, facts: DataFrame) -> DataF
 
 
 def unknown_terms(keywords: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Keywords that no retrieved file or name mentions."""
-    texts = retrieved.select(
-        "objective_id", F.lower(F.concat_ws("\u0001", "file", "name")).alias("haystack")
-    ).distinct()
-    terms = keywords.select("objective_id", F.col("keyword").alias("term")).distinct()
-    known = contains_join(texts, terms, on=["objective_id"]).select("objective_id", F.col("term").alias("keyword")).distinct()
-    return keywords.join(known, ["objective_id", "keyword"], "left_anti").select("objective_id", "repo", "pos", "keyword")
+    """Keywords that no retrieved file or name mentions.
+
+    Each fact is searched once, however many questions retrieved it.
+    """
+    texts = retrieved.select("repo", "id", F.lower(F.concat_ws("\u0001", "file", "name")).alias("haystack")).distinct()
+    terms = keywords.select("repo", F.col("keyword").alias("term")).distinct()
+    hits = contains_join(texts, terms, on=["repo"]).select("repo", "id", F.col("term").alias("keyword"))
+    asked = keywords.select("objective_id", "repo", "keyword").join(hits, ["repo", "keyword"])
+    known = asked.join(retrieved.select("objective_id", "id"), ["objective_id", "id"], "left_semi")
+    return keywords.join(known.select("objective_id", "keyword").distinct(), ["objective_id", "keyword"], "left_anti").select(
+        "objective_id", "repo", "pos", "keyword"
+    )
 
 
 def widen_retrieval(keywords: DataFrame, unknowns: DataFrame, retrieved: DataFrame, facts: DataFrame) -> DataFrame:
@@ -320,16 +341,15 @@ def answer_tables(
 ) -> dict[str, DataFrame]:
     """All intermediate tables of an investigation, by name.
 
-    ``store`` writes keywords, retrieved facts and hypotheses once; take it where several of the
-    tables are used, since each of them would otherwise repeat the retrieval.
+    Keywords are written once, as every step reads them. ``store`` does the same with retrieved facts
+    and hypotheses; take it where several of the tables are used, since each of them would otherwise
+    repeat the retrieval.
     """
     from factloom.operators.intent import keywords as split_keywords
     from factloom.operators.intent import parse_intent
 
     intents = parse_intent(objectives)
-    words = discriminating_keywords(split_keywords(intents), facts)
-    if store:
-        words = cut_lineage(words, "keywords")
+    words = cut_lineage(discriminating_keywords(split_keywords(intents), facts), "keywords")
     found = retrieve(intents, words, facts)
     if store:
         found = cut_lineage(found, "retrieved")

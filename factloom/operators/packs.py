@@ -104,7 +104,7 @@ PYTHON = Pack(
 )
 
 LATEX = Pack(
-    "latex", ORDER["latex"],
+    "latex", ORDER["latex"], needs=("\\",),
     slots=(
         (Rule("latex_environment", r"\\begin\{(\w+)\}", {"name": lambda g: F.lower(g(1))},
               when=lambda g, line: F.lower(g(1)).isin(*MATH_ENVIRONMENTS)),),
@@ -172,6 +172,7 @@ JS_NO_CALL = (
 )
 CODE_IMPORTS = Pack(
     "imports", ORDER["code"],
+    needs=("import", "require", "from"),
     slots=(
         (Rule("import", JS_IMPORT, {"target": group(1)}, confidence="path"),),
         (Rule("import", JS_REQUIRE, {"target": group(1)}, each=True, confidence="path"),),
@@ -181,15 +182,15 @@ CODE_IMPORTS = Pack(
 CODE_IMPORTS_AND_OPENERS = Pack(
     "imports", ORDER["code"],
     slots=(*CODE_IMPORTS.slots, (Rule("_opener", r"\A\s*(?:import|export)\b[^'\"]*\{[^}]*\z"),)),
-    skip=CODE_IMPORTS.skip,
+    skip=CODE_IMPORTS.skip, needs=("import", "require", "from", "export"),
 )
 CODE_HOOKS = Pack(
-    "hooks", ORDER["code"],
+    "hooks", ORDER["code"], needs=("use",),
     slots=((Rule("hook_usage", JS_HOOK, {"name": group(1)}, each=True, confidence="path"),),),
     skip=r"\A\s*(//|/?\*)",
 )
 CODE_CALLS = Pack(
-    "calls", ORDER["code"],
+    "calls", ORDER["code"], needs=("(",),
     slots=((Rule(
         "function_call", JS_CALL, {"callee": group(1)}, each=True, confidence="path",
         when=lambda g, line: ~g(1).isin(*JS_NO_CALL) & ~g(1).rlike(r"\Ause[A-Z]"),
@@ -197,7 +198,7 @@ CODE_CALLS = Pack(
     skip=r"\A\s*(//|/?\*)",
 )
 ROUTES = Pack(
-    "routes", ORDER["routes"],
+    "routes", ORDER["routes"], needs=("app", "router"),
     slots=((Rule(
         "express_route",
         rf"(?<![\w$.])({ROUTE_RECEIVERS})\s*\.\s*({ROUTE_METHODS})\s*\(\s*(?:\"([^\"]*)\"|'([^']*)'|`([^`$]*)`)\s*,\s*(?:[^)\s]|\z)",
@@ -210,7 +211,7 @@ ROUTES = Pack(
 )
 
 HTML = Pack(
-    "html", ORDER["html"],
+    "html", ORDER["html"], needs=("<",),
     slots=(
         (Rule("doc_link", r"(?i)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>([^<]*)", {"target": group(1), "name": lambda g: strip(g(2))},
               groups=2, each=True),),

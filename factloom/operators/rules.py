@@ -54,6 +54,8 @@ class Pack:
     order: int
     slots: tuple[tuple[Rule, ...], ...]
     skip: str | None = None
+    # Literals of which a line must hold one to be looked at; a byte search is far cheaper than a pattern.
+    needs: tuple[str, ...] = ()
 
 
 def group(number: int) -> Callable[[Groups], Column]:
@@ -115,6 +117,13 @@ def _rule_hits(rule: Rule, line: Column, index: int) -> tuple[Column, Column]:
     return matched, F.transform(rule.many(g), lambda item, j: _hit(rule, g, base + j, item))
 
 
+def any_of(text: Column, literals: Sequence[str]) -> Column:
+    hit = F.contains(text, F.lit(literals[0]))
+    for literal in literals[1:]:
+        hit = hit | F.contains(text, F.lit(literal))
+    return hit
+
+
 def line_hits(pack: Pack, line: Column) -> Column:
     """Array of all facts one line gives under a pack."""
     index, parts = 0, []
@@ -141,6 +150,8 @@ def extract_lines(lines: DataFrame, pack: Pack, text: str = "line", keep: Sequen
     """
     line = F.col(text)
     rows = lines
+    if pack.needs:
+        rows = rows.filter(any_of(line, pack.needs))
     if pack.skip:
         rows = rows.filter(~line.rlike(pack.skip))
     hits = rows.select("repo", "file", "ln", "line", *keep, F.explode(line_hits(pack, line)).alias("h"))
