@@ -13,6 +13,7 @@ from factloom.operators.facts import normalize_facts
 from factloom.operators.findings import dedup_findings
 from factloom.operators.rules import RAW_FACT
 from factloom.registry import Registry, split_errors
+from factloom.session import cut_lineage
 from factloom.sources.corpus import coverage_stats, detect_stack, filter_ignored
 
 
@@ -35,14 +36,17 @@ class Scan:
 
 
 def scan(files: DataFrame, ignore: Sequence[str] = (), registry: Registry | None = None, incomplete: bool = False) -> Scan:
-    """Scan ``files(repo, file, content)``; everything stays lazy.
+    """Scan ``files(repo, file, content)``.
 
+    The files are written once, partitioned by bucket, so every extractor reads its own bucket only;
+    facts are written once, since derived nodes, coverage and all later questions read them.
     Repos without a supported file get no derived nodes and the status ``no_supported_files``.
     """
     registry = registry or Registry()
-    kept = registry.bucketed(filter_ignored(files, ignore))
+    kept = cut_lineage(registry.bucketed(filter_ignored(files, ignore)), "files", "bucket")
     raw, found, warnings = registry.run(kept)
-    raw, failed = split_errors(raw.select(*RAW_FACT))
+    raw = cut_lineage(raw.select(*RAW_FACT), "facts")
+    raw, failed = split_errors(raw)
     warnings = warnings.unionByName(failed)
     facts = normalize_facts(raw)
     stack = detect_stack(kept)

@@ -59,11 +59,11 @@ def read_corpus_binary(spark: SparkSession, root: str, repo: str, glob: str = "*
         .option("pathGlobFilter", glob)
         .load(root)
     )
-    prefix = F.lit(root.rstrip("/") + "/")
+    prefix = r"\A.*?" + _escape(root.rstrip("/") + "/")
     path = F.regexp_replace("path", r"\A[a-z]+:/+(?=/)|\A[a-z]+:(?=/)", "")
     return raw.select(
         F.lit(repo).alias("repo"),
-        F.substring_index(path, prefix, -1).alias("file"),
+        F.regexp_replace(path, prefix, "").alias("file"),
         F.decode("content", "UTF-8").alias("content"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
