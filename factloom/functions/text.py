@@ -90,7 +90,8 @@ def normalize_path(path: Column) -> Column:
     body = F.concat(
         F.array_join(parts, "/"), F.when(path.endswith("/") & (F.size(parts) > 0), "/").otherwise("")
     )
-    return F.when(rooted, F.concat(F.lit("/"), body)).otherwise(F.when(body == "", ".").otherwise(body))
+    here = F.when(path.endswith("/"), "./").otherwise(".")
+    return F.when(rooted, F.concat(F.lit("/"), body)).otherwise(F.when(body == "", here).otherwise(body))
 
 
 def resolve_target(from_file: Column, target: Column, via: Column) -> Column:
