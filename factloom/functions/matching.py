@@ -4,8 +4,9 @@
 Here each term gives one anchor (five letters of it, three if it is shorter, or its longest word)
 and each text its distinct anchors; the join is on the anchor and the real test runs on the candidates only. A term
 has exactly one anchor and a text each anchor once, so a (term, text) pair comes out at most once.
-The optimizer broadcasts the term side when its measured size is under the session's broadcast
-threshold, and shuffles by anchor otherwise.
+The term side is written first, so that its size is known and not guessed: the optimizer broadcasts
+it when it is under the session's broadcast threshold, and the texts are never shuffled; otherwise
+both sides shuffle by anchor.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import quote_literal
+from factloom.session import cut_lineage
 
 # Letters that are frequent in names and paths; an anchor avoids them where it can.
 _COMMON = "etaoinsr/._"
@@ -50,6 +52,8 @@ def contains_join(
     ``short_terms`` also serves terms of one and two characters.
     """
 
+    terms = cut_lineage(terms, "terms")
+
     def part(size: int, chosen: DataFrame) -> DataFrame:
         left = texts.withColumn("_anchor", F.explode(grams(F.col(text), size)))
         right = chosen.withColumn("_anchor", anchor_gram(F.col(term), size))
@@ -90,7 +94,7 @@ def word_join(texts: DataFrame, terms: DataFrame, text: str = "line", term: str
             )
         ),
     )
-    right = terms.filter(F.length(term) > 0).withColumn(
+    right = cut_lineage(terms, "terms").filter(F.length(term) > 0).withColumn(
         "_anchor", F.coalesce(anchor_word(F.col(term)), F.substring(term, 1, 1))
     )
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.runs import running_sum
+from factloom.session import cut_lineage
 
 # Sections in the order they are served, and the default budget.
 SECTIONS = ("hypotheses", "memory", "unknowns", "insights", "statements", "facts")
@@ -30,9 +31,10 @@ def fit_budget(
     """(kept items, report per question and section).
 
     ``base(objective_id, used)`` is the cost before any section; ``items(objective_id, section, pos,
-    cost)`` with 1-based ``pos``. The budget left is one row per question, carried from section to
-    section.
+    cost)`` with 1-based ``pos``. The budget left is one row per question; it is written after each
+    section, so the plan grows with the number of sections and does not double with each.
     """
+    items = cut_lineage(items, "items", "section")
     state = base.select("objective_id", F.col("used").cast("long").alias("used"))
     kept_parts, reports = [], []
     for section in sections:
@@ -49,6 +51,7 @@ def fit_budget(
                 F.coalesce("_tokens", F.lit(0)).alias("tokens"),
             )
         )
+        joined = cut_lineage(joined, "budget")
         reports.append(
             joined.select(
                 "objective_id", F.lit(section).alias("section"), "tokens", "kept", (F.col("_all") - F.col("kept")).alias("dropped")

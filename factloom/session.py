@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,6 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = getattr(spark, "_factloom_folder", None)
     if folder is None:
         folder = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark._factloom_folder = folder
     return folder
 
