@@ -32,18 +32,19 @@ def local_session(cores: int | str = "*", name: str = "factloom", **conf: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, as the cluster names it.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is made.
+    A local session without the setting gets a temporary folder, as driver and tasks are one process
+    there; on a cluster the setting must be given.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    folder = getattr(spark, "_factloom_folder", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="factloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark._factloom_folder = folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="factloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
