@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm.common import table
+from factloom.llm.decontaminate import find_items
 from factloom.llm.html_text import extract_pages
+from factloom.llm.packing import pack_documents
 from factloom.llm.url_reputation import Rule, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +38,34 @@ def html_text(spark, sf_dir):
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op2_best_fit_packing")
+def best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_WORDS_SQL = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+
+@query("op3_decontamination", f"""
+    WITH items AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+    starts AS (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM items WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, s, s + 9), ' ') AS win, len(list_slice(w, s, s + 9)) AS size FROM starts),
+    sizes AS (SELECT DISTINCT size FROM windows),
+    docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+    places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM docs, sizes),
+    hits AS (SELECT doc_id, item_id, s, p.size FROM (SELECT doc_id, size, s, array_to_string(list_slice(w, s, s + size - 1), ' ') AS win FROM places) p JOIN windows USING (win, size)),
+    words AS (SELECT DISTINCT doc_id, unnest(range(s, s + size)) AS at FROM hits),
+    n AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+    i AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+        sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)""")
+def decontamination(spark, sf_dir):
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def _strength_sql(level: str) -> str:
     """One row (m, k): mean share and prior strength of a level's groups (bad, n)."""
     return f"""
