@@ -50,11 +50,25 @@ def mix(values: np.ndarray) -> np.ndarray:
         return values ^ (values >> np.uint64(32))
 
 
+def hash_sample(rows: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` rows of ``rows(doc_id, ...)``, an even sample by the hash of the id.
+
+    A first filter on the hash keeps about three times the limit, however large the table, before
+    the exact cut; ties of the hash go by id.
+    """
+    n = rows.count()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    if n > 3 * limit:
+        rows = rows.filter(place < int((1 << 30) * 3 * limit / n))
+    return rows.orderBy(place, "doc_id", *[c for c in rows.columns if c != "doc_id"]).limit(limit)
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """Up to ``limit`` documents to learn ``label`` from: those that are not held out, lowest hashes of the text first.
+    """``text, label`` of at most ``limit`` documents to learn from: not held out, with a text and a label 0 or 1.
 
-    Several labels of one document count once each; rows without text or label are left out.
+    A document with several label rows counts once for each.
     """
-    known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id"), F.col(label).cast("int").alias("_label"))
+    known = labels.filter(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
+    picked = hash_sample(known, limit)
     rows = documents.filter(~held_out() & F.col("text").isNotNull()).select("doc_id", "text")
-    return rows.join(known, "doc_id").orderBy(F.xxhash64("text", "doc_id"), "doc_id", "_label").limit(limit).select("text", "_label")
+    return rows.join(F.broadcast(picked), "doc_id").select("text", "label")

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm import language
+from factloom.llm.common import held_out, table
 from factloom.llm.decontaminate import find_items
 from factloom.llm.html_text import extract_pages
 from factloom.llm.packing import pack_documents
@@ -66,6 +67,13 @@ def decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+@query("op6_language_id")
+def language_id(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    found = language.identify(documents.select("doc_id", "text"), language.learn(documents))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def _strength_sql(level: str) -> str:
     """One row (m, k): mean share and prior strength of a level's groups (bad, n)."""
     return f"""
