@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import language
+from factloom.llm import language, quality, toxicity
 from factloom.llm.common import held_out, table
 from factloom.llm.decontaminate import find_items
 from factloom.llm.html_text import extract_pages
@@ -74,6 +74,20 @@ def language_id(spark, sf_dir):
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_toxicity")
+def toxicity_scores(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(documents.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op8_quality")
+def quality_scores(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = quality.learn(documents, table(spark, sf_dir, "labels"))
+    return quality.score_quality(documents.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def _strength_sql(level: str) -> str:
     """One row (m, k): mean share and prior strength of a level's groups (bad, n)."""
     return f"""
