@@ -12,6 +12,7 @@ from factloom.llm import language, quality, toxicity
 from factloom.llm.common import held_out, table
 from factloom.llm.decontaminate import find_items
 from factloom.llm.html_text import extract_pages
+from factloom.llm.near_duplicates import near_duplicates
 from factloom.llm.packing import pack_documents
 from factloom.llm.url_reputation import Rule, filter_urls
 
@@ -88,6 +89,11 @@ def quality_scores(spark, sf_dir):
     return quality.score_quality(documents.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@query("op5_near_duplicates")
+def near_duplicate_groups(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _strength_sql(level: str) -> str:
     """One row (m, k): mean share and prior strength of a level's groups (bad, n)."""
     return f"""
