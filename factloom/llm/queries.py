@@ -13,6 +13,7 @@ from factloom.llm.common import held_out, table
 from factloom.llm.decontaminate import find_items
 from factloom.llm.html_text import extract_pages
 from factloom.llm.near_duplicates import near_duplicates
+from factloom.llm.nearest import search
 from factloom.llm.packing import pack_documents
 from factloom.llm.url_reputation import Rule, filter_urls
 
@@ -94,6 +95,11 @@ def near_duplicate_groups(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op10_nearest_neighbours")
+def nearest_neighbours(spark, sf_dir):
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def _strength_sql(level: str) -> str:
     """One row (m, k): mean share and prior strength of a level's groups (bad, n)."""
     return f"""
