@@ -15,6 +15,7 @@ from factloom.llm.html_text import extract_pages
 from factloom.llm.near_duplicates import near_duplicates
 from factloom.llm.nearest import search
 from factloom.llm.packing import pack_documents
+from factloom.llm.repeats import cut_repeats
 from factloom.llm.url_reputation import Rule, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +101,12 @@ def nearest_neighbours(spark, sf_dir):
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op7_repeated_bytes")
+def repeated_bytes(spark, sf_dir):
+    found = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _strength_sql(level: str) -> str:
     """One row (m, k): mean share and prior strength of a level's groups (bad, n)."""
     return f"""
