@@ -129,7 +129,7 @@ def _matches(documents: DataFrame, prefixes: DataFrame, sizes: list[int], small:
 
 
 def find_items(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, item_ids, contaminated`` per row of ``documents(doc_id, text)``.
+    """``doc_id, text_hash, n_words, n_hit, n_items, item_ids, contaminated`` per row of ``documents(doc_id, text)``.
 
     A word is hit if it stands in an occurrence of a window of an item; ``item_ids`` are strings in
     order. Null texts have no words. Rows are told apart by id and text, and rows that repeat give
@@ -140,7 +140,7 @@ def find_items(documents: DataFrame, items: DataFrame, window: int = WINDOW) ->
     n_windows, sizes = windows.count(), _sizes(windows)
     if not n_windows:
         none = F.lit(0).cast("long")
-        return _rows(documents).select("doc_id", F.size("_words").cast("long").alias("n_words"), none.alias("n_hit"), none.alias("n_items"),
+        return _rows(documents).select("doc_id", F.col("_text_hash").alias("text_hash"), F.size("_words").cast("long").alias("n_words"), none.alias("n_hit"), none.alias("n_items"),
                                        F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"))
     small = n_windows <= BROADCAST_WINDOWS
     prefixes = rarest_shingles(documents, windows, sizes, small)
@@ -154,6 +154,6 @@ def find_items(documents: DataFrame, items: DataFrame, window: int = WINDOW) ->
     covered = F.aggregate("_spans", zero, lambda a, s: F.struct(
         (a["hit"] + F.greatest(s["end"] - F.greatest(s["start"], a["reach"]), F.lit(0))).alias("hit"), F.greatest(a["reach"], s["end"]).alias("reach")))
     return per_row.select(
-        "doc_id", "n_words", covered["hit"].alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids",
+        "doc_id", F.col("_text_hash").alias("text_hash"), "n_words", covered["hit"].alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids",
         (F.size("item_ids") > 0).alias("contaminated"), F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy"),
     ).drop("_copy")
