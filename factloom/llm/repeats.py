@@ -351,15 +351,16 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     columns = [c for c in documents.columns if c not in added]
-    rows = documents.select(*columns).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
-    found = _size_checked(cut_lineage(find_repeats(documents), "repeats")).withColumnsRenamed({"doc_id": "_fid", "text_hash": "_fhash"})
-    joined = rows.join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_hash") == F.col("_fhash")), "left").select(*columns, F.col("starts").alias("_starts"))
+    rows = documents.select(*columns).withColumns({"_repeats_id": F.col("doc_id").cast("long"), "_repeats_hash": F.xxhash64("text")})
+    found = _size_checked(cut_lineage(find_repeats(documents), "repeats"))
+    same = rows["_repeats_id"].eqNullSafe(found["doc_id"]) & (rows["_repeats_hash"] == found["text_hash"])
+    joined = rows.join(found, same, "left").select(*[rows[c] for c in columns], found["starts"].alias("_repeats_starts"))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([without(t, s) for t, s in zip(texts, starts)], columns=list(added))
 
-    return joined.withColumn("_cut", cut("text", "_starts")).select(*columns, *[F.col(f"_cut.{c}").alias(c) for c in added])
+    return joined.withColumn("_repeats_cut", cut("text", "_repeats_starts")).select(*columns, *[F.col(f"_repeats_cut.{c}").alias(c) for c in added])
 
 
 def without(text: str | None, starts) -> tuple[int, int, int, bytes]:
