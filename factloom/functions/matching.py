@@ -44,12 +44,12 @@ def contains_join(
     text: str = "haystack",
     term: str = "term",
     on: Sequence[str] = (),
-    short_terms: bool = False,
+    short_terms: bool = True,
 ) -> DataFrame:
     """All pairs of rows where ``texts.text`` contains ``terms.term``, each pair once.
 
     ``on`` names further columns that must be equal; apart from those the inputs share no column.
-    ``short_terms`` also serves terms of one and two characters.
+    Terms of one and two characters are served unless ``short_terms`` says that there are none.
     """
 
     terms = cut_lineage(terms, "terms")
@@ -78,9 +78,10 @@ def anchor_word(term: Column) -> Column:
     return F.array_max(found)["w"]
 
 
-def word_join(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "needle") -> DataFrame:
+def word_join(texts: DataFrame, terms: DataFrame, text: str = "line", term: str = "needle", on: Sequence[str] = ()) -> DataFrame:
     """Pairs where the literal ``term`` occurs in ``text`` bounded by non-word characters.
 
+    ``on`` names further columns that must be equal.
     Every word of a term bounded that way is a whole word of the text, hence the anchor. Terms
     without any word character go by their first character.
     """
@@ -98,7 +99,7 @@ def word_join(texts: DataFrame, terms: DataFrame, text: str = "line", term: str
         "_anchor", F.coalesce(anchor_word(F.col(term)), F.substring(term, 1, 1))
     )
     return (
-        left.join(right, "_anchor")
+        left.join(right, ["_anchor", *on])
         .filter(F.contains(F.col(text), F.col(term)))
         .filter(F.regexp_like(F.col(text), bounded))
         .drop("_anchor")

@@ -44,6 +44,11 @@ def evidence(line: Column) -> Column:
     return F.substring(strip(line), 1, EVIDENCE_CHARS)
 
 
+def line_hash(line: Column) -> Column:
+    """Hash of the whole trimmed line, beside the snippet that :func:`evidence` cuts."""
+    return F.xxhash64(strip(line)).cast("string")
+
+
 def is_low_confidence(path: Column) -> Column:
     return path.rlike(LOW_CONFIDENCE_DIR) | path.rlike(LOW_CONFIDENCE_FILE)
 

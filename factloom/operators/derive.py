@@ -101,10 +101,12 @@ def nested_targets(support: DataFrame) -> DataFrame:
 def architecture_summary(facts: DataFrame, stack: DataFrame, incomplete: bool = False) -> DataFrame:
     """One summary per repo: frameworks by manifest or facts, counts, confidence."""
     kinds = {"components": "react_component", "express": "express_route", "pages": "next_page_route", "apis": "next_api_route"}
-    counts = facts.groupBy("repo").agg(*[F.count_if(F.col("type") == t).alias(n) for n, t in kinds.items()])
-    rows = stack.join(counts, "repo", "full_outer").select(
-        "repo", "project", *[F.coalesce(n, F.lit(0)).alias(n) for n in kinds],
-        *[F.coalesce(n, F.lit(False)).alias(n) for n in ("has_next", "has_express", "has_react")],
+    flags = ("has_next", "has_express", "has_react")
+    # One aggregate over both tables in place of an outer join, which a constant repo would turn into all pairs.
+    both = facts.select("repo", "type").unionByName(stack.select("repo", "project", *flags), allowMissingColumns=True)
+    rows = both.groupBy("repo").agg(
+        F.max("project").alias("project"), *[F.count_if(F.col("type") == t).alias(n) for n, t in kinds.items()],
+        *[F.coalesce(F.bool_or(n), F.lit(False)).alias(n) for n in flags],
     )
     has_next = F.col("has_next") | (F.col("pages") > 0) | (F.col("apis") > 0)
     has_express = F.col("has_express") | (F.col("express") > 0)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.runs import first_per, last_seen, running_sum
-from factloom.functions.text import base_name, evidence, path_confidence, strip
+from factloom.functions.text import base_name, evidence, line_hash, path_confidence, strip
 from factloom.operators import packs
 from factloom.operators.packs import ORDER
 from factloom.operators.rules import extract_lines, merge, raw_facts
@@ -153,7 +153,7 @@ def extract_components(lines: DataFrame) -> DataFrame:
     )
     return raw_facts(
         found, ORDER["code"],
-        type=F.lit("react_component"), line=F.col("ln"), evidence=evidence(F.col("line")),
+        type=F.lit("react_component"), line=F.col("ln"), evidence=evidence(F.col("line")), line_hash=line_hash(F.col("line")),
         confidence=path_confidence(F.col("file")), pos=F.lit(5_000_000),
     )
 
@@ -300,7 +300,7 @@ def extract_r(lines: DataFrame) -> DataFrame:
     opens = running_sum(rmd.filter(is_open).select("repo", "file", "ln", "line"), FILE, "ln", F.lit(1), "chunk")
     name = F.regexp_extract("line", packs.R_CHUNK_NAME, 1)
     chunks = raw_facts(
-        opens, ORDER["r"], type=F.lit("rmd_chunk"), line=F.col("ln"), confidence=F.lit("high"), evidence=evidence(line),
+        opens, ORDER["r"], type=F.lit("rmd_chunk"), line=F.col("ln"), confidence=F.lit("high"), evidence=evidence(line), line_hash=line_hash(line),
         name=F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("chunk_"), F.col("chunk").cast("string"))),
         extra=F.create_map(F.lit("chunkIndex"), F.col("chunk").cast("string")),
     )

@@ -136,10 +136,15 @@ def shell_exec_findings(lines: DataFrame) -> DataFrame:
 
 # CI rules with their severities.
 _WRITE_ALL = r"(?i)permissions:\s*write-all"
-_CONTENTS_WRITE = r"(?i)permissions:[\s\S]{0,200}?contents:\s*write"
+# The block below ``permissions:`` ends with the first line that is not indented deeper.
+_CONTENTS_WRITE = (
+    r"(?im)(?:^([ \t]*)permissions:[ \t]*(?:#[^\n]*)?\r?\n(?:[ \t]*\r?\n|\1[ \t]++(?!contents:\s*write)[^\n]*\n)*+\1[ \t]+contents:\s*write"
+    r"|permissions:[ \t]*\{[^}]*?contents:\s*write)"
+)
 _PR_TARGET = r"(?m)^\s*pull_request_target\s*:"
 _HEAD_REF = r"(?i)ref:\s*\$\{\{\s*github\.event\.pull_request\.head\.(sha|ref)[^\n]*"
-_HEAD_CHECKOUT = r"(?i)uses:\s*actions/checkout@[^\n]*\n[\s\S]{0,200}?ref:\s*\$\{\{\s*github\.event\.pull_request\.head"
+# The lines of the same step: up to the next item of the list.
+_HEAD_CHECKOUT = r"(?i)uses:\s*actions/checkout@[^\n]*\n(?:(?![ \t]*-[ \t])[^\n]*\n)*?(?![ \t]*-[ \t])[^\n]*ref:\s*\$\{\{\s*github\.event\.pull_request\.head"
 WORKFLOW_RULES = (
     ("Workflow grants write-all permissions", _WRITE_ALL, "high"),
     ("Workflow grants broad contents:write permission", _CONTENTS_WRITE, "medium"),

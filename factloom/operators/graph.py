@@ -3,6 +3,8 @@ queries at once, given as a DataFrame."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,21 +108,25 @@ def impact_counts(edges: DataFrame) -> DataFrame:
     )
 
 
-def transitive_impact(edges: DataFrame, targets: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Dependents over several hops with their smallest depth.
+def transitive_impact(edges: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Dependents over any number of hops with their smallest depth: ``(repo, target, file, depth, cut)``.
 
     Each round joins the newest pairs only and drops pairs known before; the lineage is cut after
-    every round, and the loop ends once a round brings nothing new.
+    every round, and the loop ends once a round brings nothing new. With ``max_depth`` it ends there,
+    and ``cut`` says of each target whether dependents further away were left out.
     """
     links = cut_lineage(edges.select("repo", F.col("target_key").alias("at"), "file").distinct(), "links")
     frontier = targets.select("repo", "target").distinct().withColumn("at", strip_extension(F.col("target")))
-    known = None
-    for depth in range(1, max_depth + 1):
+    known = more = None
+    for depth in count(1):
         reached = (
             frontier.select("repo", "target", "at").join(links, ["repo", "at"]).select("repo", "target", "file").distinct()
         )
         if known is not None:
             reached = reached.join(known, ["repo", "target", "file"], "left_anti")
+        if max_depth is not None and depth > max_depth:
+            more = reached.select("repo", "target").distinct().withColumn("cut", F.lit(True))
+            break
         reached = cut_lineage(reached.withColumn("depth", F.lit(depth)))
         if reached.isEmpty():
             break
@@ -128,7 +134,9 @@ def transitive_impact(edges: DataFrame, targets: DataFrame, max_depth: int = 5)
         frontier = reached.withColumn("at", strip_extension(F.col("file")))
     if known is None:
         known = reached
-    return known
+    if more is None:
+        return known.withColumn("cut", F.lit(False))
+    return known.join(more, ["repo", "target"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
 
 
 def source_excerpt(facts: DataFrame, lines: DataFrame, radius: int = EXCERPT_RADIUS) -> DataFrame:

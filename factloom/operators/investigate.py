@@ -40,10 +40,12 @@ def keyword_frequency(keywords: DataFrame, facts: DataFrame) -> DataFrame:
     return hits.groupBy("repo", F.col("term").alias("keyword")).agg(F.sum("weight").alias("n"))
 
 
-def discriminating_keywords(keywords: DataFrame, facts: DataFrame) -> DataFrame:
-    """Drop keywords that match half of all facts (and at least 20); keep the rarest if none is left.
+def rated_keywords(keywords: DataFrame, facts: DataFrame, ratio: float | None = BROAD_RATIO, least: int = BROAD_COUNT) -> DataFrame:
+    """``objective_id, repo, pos, keyword, n, kept``: which keywords tell facts apart.
 
-    Questions with a single keyword, and repos without facts, keep all.
+    Not kept are those that match ``ratio`` of all facts and at least ``least``; the rarest stays if
+    none is left. Questions with a single keyword, and repos without facts, keep all; so does a
+    ratio of None.
     """
     frequency = keyword_frequency(keywords, facts)
     totals = facts.groupBy("repo").agg(F.count(F.lit(1)).alias("n_facts"))
@@ -57,17 +59,20 @@ def discriminating_keywords(keywords: DataFrame, facts: DataFrame) -> DataFrame:
     broad = (
         (F.col("n_keywords") > 1)
         & (F.coalesce("n_facts", F.lit(0)) > 0)
-        & (F.col("n") / F.col("n_facts") >= BROAD_RATIO)
-        & (F.col("n") >= BROAD_COUNT)
+        & (F.col("n") / F.col("n_facts") >= F.lit(ratio))
+        & (F.col("n") >= least)
     )
     rows = rows.withColumn("broad", F.coalesce(broad, F.lit(False)))
     rarest = rows.groupBy("objective_id").agg(
         F.bool_and("broad").alias("all_broad"), F.min_by("keyword", F.struct("n", "pos")).alias("rarest")
     )
-    kept = rows.join(rarest, "objective_id").filter(
-        ~F.col("broad") | (F.col("all_broad") & (F.col("keyword") == F.col("rarest")))
-    )
-    return kept.select("objective_id", "repo", "pos", "keyword", "n")
+    kept = ~F.col("broad") | (F.col("all_broad") & (F.col("keyword") == F.col("rarest")))
+    return rows.join(rarest, "objective_id").select("objective_id", "repo", "pos", "keyword", "n", F.coalesce(kept, F.lit(True)).alias("kept"))
+
+
+def discriminating_keywords(keywords: DataFrame, facts: DataFrame, ratio: float | None = BROAD_RATIO, least: int = BROAD_COUNT) -> DataFrame:
+    """The keywords that :func:`rated_keywords` keeps; it also lists the others with their counts."""
+    return rated_keywords(keywords, facts, ratio, least).filter("kept").drop("kept")
 
 
 def variants(keyword: Column) -> Column:

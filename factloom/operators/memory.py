@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.runs import first_per
-from factloom.functions.text import clip, content_id, strip
+from factloom.functions.text import content_id, squeeze, strip
 from factloom.operators.ledger import parse_entries
 
 # Starting confidences and allowed outcomes.
 CONFIDENCE_WITH_EVIDENCE, CONFIDENCE_WITHOUT = 0.5, 0.3
 OUTCOMES = ("success", "failure")
-TASK_CHARS, STRATEGY_CHARS = 200, 300
 FAILED = r"(?i)fail|wrong|revert|reject|broke|regress|abandon"
 
 
@@ -60,11 +59,12 @@ def list_experience(log: DataFrame, outcome: str | None = None) -> DataFrame:
 def propose_attempts(attempts: DataFrame, proposals: DataFrame) -> DataFrame:
     """New attempts of ``proposals(task, strategy, source, evidence, ts)`` that are not in ``attempts``.
 
-    The id hashes what was tried, so proposing twice adds nothing.
+    The id hashes all of what was tried, so proposing twice adds nothing; texts are stored whole and
+    cut only where they are shown.
     """
-    task, strategy = clip(F.col("task"), TASK_CHARS), clip(F.col("strategy"), STRATEGY_CHARS)
+    task, strategy = squeeze(F.coalesce("task", F.lit(""))), squeeze(F.coalesce("strategy", F.lit("")))
     rows = proposals.select(
-        F.substring(F.sha2(F.concat(task, F.lit("\n"), strategy), 256), 1, 8).alias("id"), "ts", task.alias("task"),
+        F.substring(F.sha2(F.concat(task, F.lit("\n"), strategy), 256), 1, 32).alias("id"), "ts", task.alias("task"),
         strategy.alias("strategy"), F.lit("failed").alias("outcome"), F.lit("proposed").alias("status"),
         F.coalesce("source", F.lit("manual")).alias("source"), "evidence",
     ).filter((F.col("task") != "") & (F.col("strategy") != ""))

@@ -121,10 +121,14 @@ def reference_keys(facts: DataFrame) -> DataFrame:
 
 
 def text_search(lines: DataFrame, needles: DataFrame) -> DataFrame:
-    """Whole-word literal hits of ``needles(needle)`` outside documents: ``(needle, repo, file, ln)``."""
+    """Whole-word literal hits of ``needles([repo,] needle)`` outside documents: ``(needle, repo, file, ln)``.
+
+    Needles with a repo are searched in that repository only.
+    """
     searched = lines.filter(~F.col("file").rlike(SEARCH_DOCS)).select("repo", "file", "ln", "line")
-    wanted = needles.filter(strip(F.col("needle")) != "").select("needle").distinct()
-    return word_join(searched, wanted).select("needle", "repo", "file", "ln")
+    on = ["repo"] if "repo" in needles.columns else []
+    wanted = needles.filter(strip(F.col("needle")) != "").select(*on, "needle").distinct()
+    return word_join(searched, wanted, on=on).select("needle", "repo", "file", "ln")
 
 
 def evaluate_claims(
@@ -180,7 +184,7 @@ def evaluate_claims(
 
     wanted = checked.filter(kind == "no_remaining_references")
     structural = _counts(wanted, reference_keys(before), reference_keys(after), ["repo", "entity"])
-    open_entities = structural.filter((was > 0) & (now == 0)).select(F.col("entity").alias("needle")).distinct()
+    open_entities = structural.filter((was > 0) & (now == 0)).select("repo", F.col("entity").alias("needle")).distinct()
     mentions = text_search(lines, open_entities).groupBy("repo", F.col("needle").alias("entity")).agg(
         F.count(F.lit(1)).alias("mentions")
     )

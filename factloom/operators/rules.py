@@ -13,14 +13,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import evidence, path_confidence
+from factloom.functions.text import evidence, line_hash, path_confidence
 
 Groups = Callable[[int], Column]
 
 # Columns of a raw fact. ``ext_ord`` and ``pos`` order facts like a sequential scan would.
 RAW_FACT = (
     "repo", "type", "file", "line", "name", "target", "caller", "callee", "method", "route_path",
-    "kind", "confidence", "evidence", "extra", "ext_ord", "pos",
+    "kind", "confidence", "evidence", "line_hash", "extra", "ext_ord", "pos",
 )
 _HIT_FIELDS = ("name", "target", "caller", "callee", "method", "route_path", "kind")
 _POS_PER_RULE = 1_000_000
@@ -164,6 +164,7 @@ def extract_lines(lines: DataFrame, pack: Pack, text: str = "line", keep: Sequen
         F.col("h.kind").alias("kind"),
         F.coalesce("h.confidence", path_confidence(F.col("file"))).alias("confidence"),
         evidence(F.col("line")).alias("evidence"),
+        line_hash(F.col("line")).alias("line_hash"),
         F.col("h.extra").alias("extra"),
         F.lit(pack.order).alias("ext_ord"),
         F.col("h.pos").alias("pos"),

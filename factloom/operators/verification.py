@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.runs import RUN_WIDTH, number_rows
-from factloom.functions.text import evidence
+from factloom.functions.text import evidence, line_hash
 
 STATUSES = ("confirmed", "stale", "file_missing", "line_gone", "unverifiable")
 DRIFTED = ("stale", "file_missing", "line_gone")
@@ -15,21 +15,25 @@ DRIFTED = ("stale", "file_missing", "line_gone")
 def verify_facts(facts: DataFrame, files: DataFrame, lines: DataFrame) -> DataFrame:
     """Compare each fact with the line now at its place: adds ``status`` and ``current_evidence``.
 
-    Two equi-joins: on the file (does it exist) and on (file, line number). Only keys and the
-    trimmed snippet of the current lines travel.
+    Two equi-joins: on the file (does it exist) and on (file, line number). Only keys, the trimmed
+    snippet and a hash of the current lines travel. Whole lines are compared by that hash; a fact
+    without one (a document that is no line, an older table) is compared by its snippet.
     """
     keep = [c for c in ("id", "repo", "type", "file", "line", "evidence") if c in facts.columns]
+    stored = F.col("line_hash") if "line_hash" in facts.columns else F.lit(None).cast("string")
+    facts = facts.withColumn("_stored_hash", stored)
     current = lines.select(
-        "repo", "file", F.col("ln").cast("long").alias("line"), evidence(F.col("line")).alias("current_evidence")
+        "repo", "file", F.col("ln").cast("long").alias("line"), evidence(F.col("line")).alias("current_evidence"),
+        line_hash(F.col("line")).alias("_current_hash"),
     )
     # (repo, file, line) is the key that splits long files over tasks; the existence check reuses it
     # for all facts whose line is found and needs the files table only for the others.
-    at_line = facts.select(*keep).join(current, ["repo", "file", "line"], "left")
+    at_line = facts.select(*keep, "_stored_hash").join(current, ["repo", "file", "line"], "left")
     present = files.select("repo", "file").distinct().withColumn("_present", F.lit(True))
     joined = at_line.join(present, ["repo", "file"], "left")
     status = (
         F.when(F.col("file").isNull() | F.col("line").isNull() | F.col("evidence").isNull(), "unverifiable")
-        .when(F.col("current_evidence") == F.col("evidence"), "confirmed")
+        .when(F.coalesce(F.col("_current_hash") == F.col("_stored_hash"), F.col("current_evidence") == F.col("evidence")), "confirmed")
         .when(F.col("current_evidence").isNotNull(), "stale")
         .when(F.col("_present").isNull(), "file_missing")
         .otherwise("line_gone")

@@ -357,5 +357,5 @@ def explanations(spark, sf_dir):
     facts = orders.select(F.concat(F.lit("f"), key).alias("id"), F.lit(A.SHOP).alias("repo"), F.concat(F.lit("orders/o_"), key, F.lit(".js")).alias("file"), F.lit(1).alias("line"))
     tests = A.order_lines(spark, sf_dir).withColumn("file", F.regexp_replace("file", r"\.js\z", ".test.js"))
     edges = dependency_edges(dependency_support(normalize_facts(extract_imports(tests))))
-    _, evidence, related = G.ground_explanations(said, picked, edges, facts)
+    _, evidence, related, _ = G.ground_explanations(said, picked, edges, facts, read_up_to=8, keep=4, tests=5)
     return evidence.join(related.withColumnRenamed("file", "test"), ["problem_id", "rank"]).select("problem_id", F.col("rank").cast("long").alias("rank"), "file", "test")

@@ -78,7 +78,7 @@ def ledger_history(spark, sf_dir):
 
 
 @query("q43_attempts", """
-    SELECT substr(sha256(task || chr(10) || strategy), 1, 8) AS id, task, strategy, 'proposed' AS status FROM (
+    SELECT substr(sha256(task || chr(10) || strategy), 1, 32) AS id, task, strategy, 'proposed' AS status FROM (
       SELECT DISTINCT event_type AS task, 'value ' || CAST(floor(value) AS BIGINT) AS strategy FROM events WHERE event_type <> 'view')""")
 def attempts(spark, sf_dir):
     """Attempts proposed from every event; those on views are known already."""

@@ -150,12 +150,9 @@ class Registry:
                 failures.append((extractor.name, str(error).split("\n")[0][:300]))
         warnings = unreadable_files(bucketed.filter(F.col("bucket").isNotNull()))
         if failures:
-            extra = files.sparkSession.createDataFrame(failures, "extractor string, error string")
             repos = files.select("repo").distinct()
-            # A handful of failure rows per repo; both sides are tiny, the key is constant.
-            extra = repos.withColumn("_k", F.lit(1)).join(extra.withColumn("_k", F.lit(1)), "_k").select(
-                "repo", F.lit("(project-level)").alias("file"), "extractor", "error"
-            )
+            each = F.explode(F.array(*[F.struct(F.lit(n).alias("extractor"), F.lit(e).alias("error")) for n, e in failures])).alias("f")
+            extra = repos.select("repo", F.lit("(project-level)").alias("file"), each).select("repo", "file", "f.extractor", "f.error")
             warnings = warnings.unionByName(extra)
         spark = files.sparkSession
         no_facts = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in _RAW_TYPES.items()))

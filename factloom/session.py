@@ -66,16 +66,6 @@ def cut_lineage(df: DataFrame, purpose: str = "table", partition_by: str | None
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of fewer splits than there are cores before heavy work on its texts.
-
-    One big row group is one task however many cores wait. Scans with enough splits, as of any
-    large table, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
-
-
 def _written(spark: SparkSession) -> list[str]:
     if not hasattr(spark, "_factloom_written"):
         spark._factloom_written = []

@@ -13,18 +13,15 @@ from pyspark.sql import functions as F
 from factloom.operators.extract import extract_html, extract_imports, extract_routes
 from factloom.operators.facts import normalize_facts
 from factloom.operators.findings import KNOWN_PACKAGES
-from factloom.session import cut_lineage, spread
+from factloom.session import cut_lineage
 
 SHOP, WEB = "shop", "web"
 METHOD_BY_SEGMENT = {"AUTOMOBILE": "get", "BUILDING": "post", "FURNITURE": "put", "HOUSEHOLD": "delete", "MACHINERY": "patch"}
 
 
-TEXT_TABLES = ("documents", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
+    return rows
 
 
 def _text(*parts: str | Column) -> Column:

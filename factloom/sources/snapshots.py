@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +29,30 @@ def write_snapshot(tables: Mapping[str, DataFrame], path: str, snapshot_id: str)
 
 
 def latest_snapshot_id(spark: SparkSession, path: str) -> str | None:
-    """Newest snapshot by id, or None where nothing was written yet."""
+    """Newest snapshot by id, or None where nothing was written yet or it cannot be read."""
     try:
         meta = spark.read.parquet(f"{path.rstrip('/')}/meta")
-    except AnalysisException:
+        row = meta.agg(F.max("snapshot_id").alias("s")).first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            _warn(path, missing)
+        return None
+    except PySparkException as broken:
+        _warn(path, broken)
         return None
-    row = meta.agg(F.max("snapshot_id").alias("s")).first()
     return None if row is None else row["s"]
 
 
+def _warn(path: str, error: Exception) -> None:
+    warnings.warn(f"snapshot under {path} cannot be read: {str(error).splitlines()[0][:200]}", stacklevel=3)
+
+
 def read_snapshot(spark: SparkSession, path: str, snapshot_id: str | None = None) -> dict[str, DataFrame] | None:
-    """Tables of one snapshot (default: the newest); None where there is none to read."""
+    """Tables of one snapshot (default: the newest); None where there is none to read.
+
+    A table whose files are broken makes the snapshot unreadable: a warning, and None. Only the
+    footers are looked at here, which Spark reads for the schema anyway.
+    """
     chosen = snapshot_id or latest_snapshot_id(spark, path)
     if chosen is None:
         return None
@@ -46,8 +60,14 @@ def read_snapshot(spark: SparkSession, path: str, snapshot_id: str | None = None
     for name in SNAPSHOT_TABLES:
         try:
             frame = spark.read.parquet(f"{path.rstrip('/')}/{name}")
-        except AnalysisException:
-            continue
+        except AnalysisException as missing:
+            if missing.getCondition() == "PATH_NOT_FOUND":
+                continue
+            _warn(path, missing)
+            return None
+        except PySparkException as broken:
+            _warn(path, broken)
+            return None
         tables[name] = frame.filter(F.col("snapshot_id") == F.lit(chosen).cast(frame.schema["snapshot_id"].dataType))
     return tables
 

@@ -70,3 +70,17 @@ def test_filter_leaves_the_summary_alone(spark):
     assert S.filter_findings(found, "medium").count() == 1 and S.filter_findings(found, None, "secret_exposure").count() == 2
     assert rows(S.severity_summary(found), "critical", "high", "medium", "low", "total") == [(0, 2, 1, 0, 3)]
     assert S.severity_rollup(found).count() == 5 and S.worst_findings(found, 1).count() == 1
+
+
+def test_permissions_are_read_to_the_end_of_the_block(spark):
+    scopes = "\n".join(f"  {s}: read" for s in "actions attestations checks deployments discussions id-token issues packages pages pull-requests security-events statuses".split())
+    flows = {
+        ".github/workflows/a.yml": f"on: push\npermissions:\n{scopes}\n\n  contents: write\n",
+        ".github/workflows/b.yml": f"on: push\npermissions:\n{scopes}\njobs:\n  x:\n    contents: write\n",
+        ".github/workflows/c.yml": "jobs:\n  x:\n    permissions: { issues: read, contents: write }\n",
+        ".github/workflows/d.yml": "on:\n  pull_request_target:\njobs:\n  x:\n    steps:\n      - uses: actions/checkout@v4\n        with:\n" + "          depth: 1\n" * 40 + "          ref: ${{ github.event.pull_request.head.repo.x }}\n",
+        ".github/workflows/e.yml": "on:\n  pull_request_target:\njobs:\n  x:\n    steps:\n      - uses: actions/checkout@v4\n      - run: x\n        ref: ${{ github.event.pull_request.head.repo.x }}\n",
+    }
+    found = rows(S.workflow_findings(files(spark, flows)), "file", "line", "severity")
+    name = ".github/workflows/"
+    assert found == [(name + "a.yml", 2, "medium"), (name + "c.yml", 3, "medium"), (name + "d.yml", 1, "critical"), (name + "d.yml", 2, "high"), (name + "e.yml", 2, "high")]

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from helpers import files, lines, rows
 from pyspark.sql import functions as F
 
@@ -140,3 +141,67 @@ def test_brief(spark):
     log = spark.createDataFrame([("r", 1, "t1", "s1", "failure"), ("r", 2, "t2", "s2", "success"), ("r", 3, "t3", "s3", "reverted")], "repo string, ts long, task string, strategy string, outcome string")
     tries = spark.createDataFrame([("r", 9, "t4", "s4", "approved"), ("r", 9, "t5", "s5", "proposed")], "repo string, ts long, task string, strategy string, status string")
     assert [r["task"] for r in B.brief_failures(log, tries).orderBy("age").collect()] == ["t4", "t3", "t1"]
+
+
+def test_closure_goes_to_the_end(spark):
+    from factloom.operators.graph import transitive_impact
+
+    edges = spark.createDataFrame([("r", f"f{i}", f"f{i + 1}.js") for i in range(9)], "repo string, target_key string, file string")
+    targets = spark.createDataFrame([("r", "f0.js")], "repo string, target string")
+    assert rows(transitive_impact(edges, targets), "file", "depth", "cut") == [(f"f{i}.js", i, False) for i in range(1, 10)]
+    assert rows(transitive_impact(edges, targets, 7), "file", "depth", "cut") == [(f"f{i}.js", i, True) for i in range(1, 8)]
+    assert {r.cut for r in transitive_impact(edges, targets, 9).collect()} == {False}
+
+
+def test_drift_behind_the_snippet(spark):
+    from factloom.operators.extract import extract_imports
+    from factloom.operators.facts import normalize_facts
+    from factloom.operators.verification import verify_facts
+    from helpers import files, lines
+
+    before = 'import a from "a"; ' + "x" * 200
+    facts = normalize_facts(extract_imports(lines(spark, {"a.js": before, "b.js": before})))
+    after = {"a.js": before + " changed", "b.js": "  " + before}
+    found = verify_facts(facts, files(spark, after), lines(spark, after))
+    assert rows(found, "file", "status") == [("a.js", "stale"), ("b.js", "confirmed")]
+    old = verify_facts(facts.drop("line_hash"), files(spark, after), lines(spark, after))
+    assert rows(old, "file", "status") == [("a.js", "confirmed"), ("b.js", "confirmed")]
+
+
+def test_long_attempts_stay_apart(spark):
+    from factloom.operators.memory import propose_attempts
+
+    text = "t" * 400
+    said = spark.createDataFrame([(text + end, "s" * 500, "manual", "e", None) for end in "abb"], "task string, strategy string, source string, evidence string, ts timestamp")
+    found = propose_attempts(spark.createDataFrame([], "id string"), said).collect()
+    assert sorted(r.task for r in found) == [text + "a", text + "b"] and len({r.id for r in found}) == 2
+
+
+def test_quotes_behind_the_snippet_and_dropped_explanations(spark):
+    from factloom.operators.grounding import ground_explanations, ground_statements
+
+    said = spark.createDataFrame([("s", "t", ["f"], "the far end")], "statement_id string, text string, cites array<string>, quote string")
+    known = spark.createDataFrame([("f", "short", "short and the far end")], "fact_id string, evidence string, text string")
+    assert [r.kept for r in ground_statements(said, known).collect()] == [True]
+    assert [r.kept for r in ground_statements(said, known.drop("text")).collect()] == [False]
+    given = spark.createDataFrame([("p", i, f"e{i}", ["f" if i % 2 else "none"]) for i in range(20)] + [("q", 0, "e", ["none"])], "problem_id string, pos int, explanation string, fact_ids array<string>")
+    picked = spark.createDataFrame([("p", "f")], "problem_id string, fact_id string")
+    facts = spark.createDataFrame([("f", "r", "a.js", 1)], "id string, repo string, file string, line int")
+    edges = spark.createDataFrame([("r", "a", "a.test.js", "import", "a", "d")], "repo string, target_key string, file string, via string, raw_target string, derived_id string")
+    kept, _, _, counts = ground_explanations(given, picked, edges, facts)
+    assert kept.count() == 10 and rows(counts, "problem_id", "n_given", "n_kept", "n_dropped") == [("p", 20, 10, 10), ("q", 1, 0, 1)]
+    kept, _, _, counts = ground_explanations(given, picked, edges, facts, read_up_to=8, keep=3)
+    assert kept.count() == 3 and rows(counts.filter("problem_id = 'p'"), "n_kept", "n_dropped") == [(3, 17)]
+
+
+def test_broken_snapshots_warn(spark, tmp_path):
+    from factloom.sources.snapshots import latest_snapshot_id, read_snapshot
+
+    assert read_snapshot(spark, str(tmp_path / "none")) is None
+    folder = tmp_path / "meta"
+    folder.mkdir()
+    (folder / "part-0.parquet").write_bytes(b"not parquet at all")
+    with pytest.warns(UserWarning, match="cannot be read"):
+        assert latest_snapshot_id(spark, str(tmp_path)) is None
+    with pytest.warns(UserWarning, match="cannot be read"):
+        assert read_snapshot(spark, str(tmp_path)) is None
