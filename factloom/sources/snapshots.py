@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def latest_snapshot_id(spark: SparkSession, path: str) -> str | None:
         if missing.getCondition() != "PATH_NOT_FOUND":
             _warn(path, missing)
         return None
-    except PySparkException as broken:
+    except (PySparkException, Py4JJavaError) as broken:
         _warn(path, broken)
         return None
     return None if row is None else row["s"]
@@ -65,7 +66,7 @@ def read_snapshot(spark: SparkSession, path: str, snapshot_id: str | None = None
                 continue
             _warn(path, missing)
             return None
-        except PySparkException as broken:
+        except (PySparkException, Py4JJavaError) as broken:
             _warn(path, broken)
             return None
         tables[name] = frame.filter(F.col("snapshot_id") == F.lit(chosen).cast(frame.schema["snapshot_id"].dataType))
