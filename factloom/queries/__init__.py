@@ -14,7 +14,7 @@ Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
 EXPECTED: dict[str, str] = {}
 
-_MODULES = ("extraction", "packs", "graph", "verification", "review", "documents", "ledger", "investigation", "streams", "scans")
+_MODULES = ("extraction", "packs", "graph", "verification", "review", "documents", "ledger", "investigation", "streams", "scans", "surface")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:

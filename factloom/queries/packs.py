@@ -60,9 +60,12 @@ _SHOWN = ("file", "line", "type", "name", "target")
     ),
 )
 def shell_pack(spark, sf_dir):
-    lines = _part_lines(spark, sf_dir, ".sh", _t("function step_{k} {"), _t(". ./lib/{s}.sh"), _t("  npm install part{k}"),
-                        _t("N={s} go"), _t("# echo {k}"), _t("run-{s} --part {k}"), _t("echo {k}"))
-    return extract_lines(lines, packs.SHELL).select(*_SHOWN)
+    return extract_lines(shell_lines(spark, sf_dir), packs.SHELL).select(*_SHOWN)
+
+
+def shell_lines(spark, sf_dir):
+    return _part_lines(spark, sf_dir, ".sh", _t("function step_{k} {"), _t(". ./lib/{s}.sh"), _t("  npm install part{k}"),
+                       _t("N={s} go"), _t("# echo {k}"), _t("run-{s} --part {k}"), _t("echo {k}"))
 
 
 @query(

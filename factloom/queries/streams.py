@@ -113,7 +113,7 @@ def stream_equals_batch(spark, sf_dir):
     SELECT h.file, CAST(h.line AS BIGINT) AS line, h.type, h.target,
       CASE WHEN gone THEN 'file_missing' WHEN n.line IS NULL THEN 'line_gone' ELSE 'stale' END AS status
     FROM had h LEFT JOIN now n ON n.file = h.file AND n.ln = h.line AND second AND NOT gone
-    WHERE gone OR (second AND (n.line IS NULL OR {S.snippet('n.line')} <> {S.snippet('h.text')}))""")
+    WHERE gone OR (second AND (n.line IS NULL OR {S.trim('n.line')} <> {S.trim('h.text')}))""")
 def heartbeat_drift(spark, sf_dir):
     """Recorded page facts against the newest versions, one trigger at a time; the last word per fact counts."""
     folder = _write_versions(spark, sf_dir)
