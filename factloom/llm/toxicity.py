@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import WORD_CACHE, labelled_sample
+from factloom.llm.near_duplicates import minwise, shingle_set
 
 #: Learning reads at most this many labelled documents and keeps at most this many terms.
-SAMPLE_DOCUMENTS, MAX_TERMS = 8000, 4000
+SAMPLE_DOCUMENTS, MAX_TERMS = 8000, 500
 THRESHOLD = 0.3
 WINDOW = 6
 _LEAST_RATIO, _LEAST_TEST = 3.0, 28.0
@@ -47,7 +48,7 @@ class Lexicon:
     def __init__(self, weights: dict[str, float]):
         self.weights = dict(sorted(weights.items()))
         self.root: dict = {}
-        self.pieces: dict[tuple[int, str], set[int]] = {}
+        self.pieces: dict[tuple[int, str], set[tuple[int, int]]] = {}
         self.stems = {len(t) - 1: {s for s in self.weights if s[-1] == "*" and len(s) == len(t)} for t in self.weights if t[-1] == "*"}
         for term in self.weights:
             if term[-1] == "*":
@@ -60,15 +61,15 @@ class Lexicon:
             k = max_distance(term)
             cuts = [len(term) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
-                self.pieces.setdefault((k, term[a:b]), set()).add(a)
+                self.pieces.setdefault((k, term[a:b]), set()).add((a, len(term)))
         self.sizes = sorted({(k, len(p)) for k, p in self.pieces if k})
         self.seen: dict[str, tuple[str, int] | None] = {}
 
     def _may_match(self, word: str) -> bool:
         for k, size in self.sizes:
             for at in range(len(word) - size + 1):
-                starts = self.pieces.get((k, word[at : at + size]))
-                if starts and any(abs(at - s) <= k for s in starts):
+                known = self.pieces.get((k, word[at : at + size]))
+                if known and any(abs(at - a) <= k and abs(len(word) - n) <= k for a, n in known):
                     return True
         return False
 
@@ -249,9 +250,25 @@ def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, rounds: int = 30) -
     return w
 
 
+def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """One of each group of copies and near copies, told by three minwise tokens of the shingles.
+
+    Otherwise each rare word of a document with many copies would look like a frequent mark.
+    """
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for text, label in sorted(rows):
+        found = shingle_set(text)
+        tokens = {(k, int(t)) for k, t in enumerate(minwise(found)[:3])} if len(found) else {(3, 0)}
+        if seen.isdisjoint(tokens):
+            out.append((text, label))
+        seen |= tokens
+    return out
+
+
 def train(rows: list[tuple[str, int]]) -> Model:
-    """Two thirds of the rows give the lexicon, the rest the weights of the score."""
-    rows = sorted(rows)
+    """Two thirds of the distinct rows give the lexicon, the rest the weights of the score."""
+    rows = without_copies(rows)
     lexicon = learn_lexicon([r for i, r in enumerate(rows) if i % 3])
     rest = rows[::3]
     if not rest:
