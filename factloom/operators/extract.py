@@ -23,12 +23,38 @@ FILE = ["repo", "file"]
 
 # --- code ---------------------------------------------------------------------------------------
 
+_QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
+#: Quoted text first, so that what looks like a comment in it stays; a tail after ``:`` is a URL.
+_COMMENTED = rf"({_QUOTED})|/\*.*?\*/|(?<!:)//.*\z|/\*.*\z"
+_PIECES = rf"(?s)({_QUOTED}|/\*.*?(?:\*/|\z)|(?<!:)//[^\n]*|[^\"'`/]+|.)"
+
+
 def clean_code(lines: DataFrame) -> DataFrame:
-    """Add ``code``: the line without // tails (not in URLs) and inline block comments."""
+    """Add ``code``: the line without // tails and block comments, quoted text left alone.
+
+    A line by itself cannot show that it stands inside a block comment; :func:`code_lines` reads
+    whole files and knows.
+    """
     if "code" in lines.columns:
         return lines
-    no_blocks = F.regexp_replace("line", r"/\*.*?\*/", "")
-    return lines.withColumn("code", F.regexp_replace(no_blocks, r"(^|[^:\"'`])//[^\"'`]*\z", "$1"))
+    line = F.col("line")
+    marked = F.contains(line, F.lit("//")) | F.contains(line, F.lit("/*"))
+    return lines.withColumn("code", F.when(marked, F.regexp_replace(line, _COMMENTED, "$1")).otherwise(line))
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """``repo, file, ln, line, code`` of whole code files; narrow, as a file is one row.
+
+    The text is cut into quoted pieces, comments and the rest; comments leave only their line ends.
+    """
+    content = F.col("content")
+    pieces = F.transform(
+        F.regexp_extract_all(content, F.lit(_PIECES), F.lit(1)),
+        lambda p: F.when(F.startswith(p, F.lit("/*")), F.regexp_replace(p, r"[^\n]", "")).when(F.startswith(p, F.lit("//")), F.lit("")).otherwise(p),
+    )
+    code = F.when(F.contains(content, F.lit("//")) | F.contains(content, F.lit("/*")), F.array_join(pieces, "")).otherwise(content)
+    both = F.arrays_zip(F.split("content", "\n", -1).alias("line"), F.split(code, "\n", -1).alias("code"))
+    return files.select("repo", "file", F.posexplode(both).alias("_at", "_l")).select("repo", "file", (F.col("_at") + 1).alias("ln"), "_l.line", "_l.code")
 
 
 # A multi-line import list is looked back for within this many lines.
@@ -122,33 +148,37 @@ _COMPONENT = (
 _CLASS_COMPONENT = r"\A\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*)\s+extends\s+(?:React\.)?Component(?![\w$.])"
 # A tag that opens an element: not preceded by an identifier or '.', which would be a generic type.
 _JSX = r"(?<![\w$.)\]])<(?:[A-Za-z][\w.:-]*(?:\s[^<>]*)?/?>|>|[A-Za-z][\w.:-]*\s*\z|[a-z][\w-]*\s+[\w-]+=)"
-JSX_LOOK_AHEAD = 40
-_JSX_RUN = 64
 _VUE_DEPTH = 8
 
 
 def extract_components(lines: DataFrame) -> DataFrame:
-    """Capitalised functions with a tag in the next lines, and ``extends (React.)Component`` classes."""
+    """Capitalised functions with a tag in their body, and ``extends (React.)Component`` classes.
+
+    A tag belongs to the nearest capitalised function before it that is still open and indented less,
+    else to the last definition at the margin; a definition line's own tag is its own. A function is
+    closed by a line that starts with a bracket and is not indented deeper. Bodies may be of any length.
+    """
     lines = clean_code(lines)
     line = F.col("code")
-    name = F.concat(F.regexp_extract(line, _COMPONENT, 1), F.regexp_extract(line, _COMPONENT, 2))
+    name = F.nullif(F.concat(F.regexp_extract(line, _COMPONENT, 1), F.regexp_extract(line, _COMPONENT, 2)), F.lit(""))
+    _, plain = _definition(line)
+    any_name = F.coalesce(name, plain)
     marked = lines.select(
-        "repo", "file", "ln", "line",
-        F.nullif(name, F.lit("")).alias("fn"),
+        "repo", "file", "ln", "line", name.alias("fn"), any_name.isNotNull().alias("defines"),
         F.nullif(F.regexp_extract(line, _CLASS_COMPONENT, 1), F.lit("")).alias("cls"),
-        line.rlike(_JSX).alias("jsx"),
-    ).filter(F.col("fn").isNotNull() | F.col("cls").isNotNull() | F.col("jsx"))
-    # A declaration or tag looks at most 40 lines ahead, so its own run and the next one suffice.
-    marked = marked.withColumn("run", F.floor(F.col("ln") / _JSX_RUN))
-    tags = marked.filter("jsx").select("repo", "file", F.explode(F.array(F.col("run"), F.col("run") - 1)).alias("run"), F.col("ln").alias("tag"))
-    functions = (
-        marked.filter(F.col("fn").isNotNull())
-        .join(tags, [*FILE, "run"])
-        .filter((F.col("tag") >= F.col("ln")) & (F.col("tag") <= F.col("ln") + JSX_LOOK_AHEAD))
-        .groupBy("repo", "file", "ln", "line", "fn")
-        .agg(F.min("tag").alias("tag"))
-    )
-    found = functions.select("repo", "file", "ln", "line", F.col("fn").alias("name"), F.lit("function").alias("kind")).unionByName(
+        line.rlike(_JSX).alias("jsx"), F.length(F.regexp_extract(line, r"\A(\s*)", 1)).alias("indent"),
+        line.rlike(r"\A\s*[})]").alias("closes"),
+    ).filter(F.col("defines") | F.col("cls").isNotNull() | F.col("jsx") | F.col("closes"))
+    here = F.struct("ln", "line", "fn", "indent")
+    owned = last_seen(marked, FILE, "ln", {
+        "near": F.when(F.col("defines"), here), "margin": F.when(F.col("defines") & (F.col("indent") == 0), here),
+        "closed": F.when(F.col("closes") & ~F.col("jsx"), F.struct("ln", "indent")),
+    }).filter("jsx")
+    closed = F.coalesce((F.col("closed.ln") > F.col("near.ln")) & (F.col("closed.indent") <= F.col("near.indent")), F.lit(False))
+    inside = F.col("near.fn").isNotNull() & (F.col("near.indent") < F.col("indent")) & ~closed
+    owner = F.when((F.col("near.ln") == F.col("ln")) | inside, F.col("near")).when(F.col("margin.indent") < F.col("indent"), F.col("margin"))
+    functions = owned.select("repo", "file", owner.alias("o")).filter("o.fn IS NOT NULL").select("repo", "file", "o.ln", "o.line", F.col("o.fn").alias("name")).distinct()
+    found = functions.select("*", F.lit("function").alias("kind")).unionByName(
         marked.filter(F.col("cls").isNotNull()).select("repo", "file", "ln", "line", F.col("cls").alias("name"), F.lit("class").alias("kind"))
     )
     return raw_facts(

@@ -276,7 +276,6 @@ def function_calls(spark, sf_dir):
     """
     WITH p AS (SELECT 'ui/' || replace(p_brand, '#', '') || '.jsx' AS file, p_partkey * 100 + 1 AS base, p_partkey, p_size FROM part)
     SELECT file, base AS line, 'Part' || p_partkey AS name, 'function' AS kind FROM p
-    WHERE EXISTS (SELECT 1 FROM p q WHERE q.file = p.file AND q.base + q.p_size BETWEEN p.base AND p.base + 40)
     """,
 )
 def components(spark, sf_dir):

@@ -136,7 +136,8 @@ class Registry:
                 continue
             source = files if extractor.bucket == PROJECT else readable.filter(F.col("bucket") == extractor.bucket)
             if extractor.takes == "lines":
-                source = to_lines(source)
+                # Code is lexed file by file, so that block comments over several lines are known.
+                source = extract.code_lines(source) if extractor.bucket == "files" and extractor.kind == "facts" else to_lines(source)
             try:
                 out = extractor.extract(source)
                 if extractor.kind == "facts":

@@ -34,9 +34,7 @@ def latest_snapshot_id(spark: SparkSession, path: str) -> str | None:
     try:
         meta = spark.read.parquet(f"{path.rstrip('/')}/meta")
         row = meta.agg(F.max("snapshot_id").alias("s")).first()
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            _warn(path, missing)
+    except AnalysisException:
         return None
     except (PySparkException, Py4JJavaError) as broken:
         _warn(path, broken)
@@ -61,11 +59,8 @@ def read_snapshot(spark: SparkSession, path: str, snapshot_id: str | None = None
     for name in SNAPSHOT_TABLES:
         try:
             frame = spark.read.parquet(f"{path.rstrip('/')}/{name}")
-        except AnalysisException as missing:
-            if missing.getCondition() == "PATH_NOT_FOUND":
-                continue
-            _warn(path, missing)
-            return None
+        except AnalysisException:
+            continue
         except (PySparkException, Py4JJavaError) as broken:
             _warn(path, broken)
             return None

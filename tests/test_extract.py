@@ -51,6 +51,24 @@ def test_components_and_first_hook(spark):
     assert rows(extract.extract_hooks(ls), "line", "name") == [(4, "useState")]
 
 
+def test_a_tag_belongs_to_the_function_around_it(spark):
+    text = "function Helper(a) {\n  return a;\n}\nfunction Real() {\n  const onClick = () => {\n    go();\n  };\n" + "  step();\n" * 90 + "  return (\n    <div/>\n  );\n}\nfunction last() {\n  return <p/>;\n}\n"
+    assert rows(extract.extract_components(lines(spark, {"a.jsx": text})), "line", "name") == [(4, "Real")]
+
+
+def test_comments_and_quotes(spark):
+    text = (
+        "/*\nimport g from 'ghost';\n gone(1);\n*/ import r from 'real';\nfoo(); // don't call bar()\nconst u = 'http://x/*y*/'; baz('// no');\n"
+        "const t = `a // b\nimport not from 'text'`;\nqux(/* inner() */ 2); /* opens\n never(3);\n"
+    )
+    source = files(spark, {"a.js": text})
+    found = extract.code_lines(source)
+    assert rows(extract.extract_imports(found), "line", "target") == [(4, "real"), (8, "text")]
+    assert rows(extract.extract_calls(found), "line", "callee") == [(5, "foo"), (6, "baz"), (9, "qux")]
+    assert [r.line for r in found.orderBy("ln").collect()] == text.split("\n")
+    assert rows(extract.extract_calls(lines(spark, {"a.js": "foo(); // don't call bar()\n"})), "callee") == [("foo",)]
+
+
 def test_calls_know_their_caller(spark):
     ls = lines(spark, {"a.js": "function outer(a) {\n  inner(a);\n  const x = new Thing(1);\n}\nclass K {\n  run(a) {\n    if (a) { helper(a); }\n  }\n}\nconst f = (x) => {\n  g(x);\n};\ntop();\nobj.method(1);\n"})
     assert rows(extract.extract_calls(ls), "line", "caller", "callee") == [
