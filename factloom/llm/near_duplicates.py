@@ -2,19 +2,22 @@
 
 A document's set of word shingles gets ``COORDINATES`` minwise tokens. In each of ``TREES``
 independent trees, documents are branched by the token at randomly chosen coordinates, one or two
-per node, so that a pair of similarity s meets in a child with probability at least s. A node of at
-most ``LEAF`` documents is a leaf and is compared exhaustively; a larger one is branched again.
+per node, so that a pair of similarity s meets in a child with probability at least s. A node with at
+most ``LEAF_PAIRS`` pairs to compare is a leaf and is compared exhaustively; a larger one is branched
+again.
 
-Links only matter where they join components, which keeps groups of copies from being compared in
+Links only matter where they join components, which keeps groups of copies from being written out in
 all pairs. Documents with equal sets are one node from the start. First every node of the trees'
 first level compares its members with one of them; the links found give components. Then only nodes
-that still hold several components are branched on and compared, and only across components. Every
-link is confirmed on the full shingle sets.
-
-A pair of similarity 0.75 misses a leaf of one tree with probability at most ``1 - 0.75 ** depth``;
-over all trees that is under 1e-9 for pairs that part at the first level and under 1e-3 in nodes
-branched four times, which hold such pairs only where thousands of unlinked documents share tokens.
-Sketches of 128 bytes drop pairs whose estimated similarity lies five deviations below the bound.
+that still hold several components are branched on and compared, and only across components: by
+sizes and sketches, and where these leave partners, by the sets (32 bits a shingle), of which each
+leaf gives the links that join its components. Every link is confirmed on the full shingle sets.
+
+A pair of similarity 0.75 meets in a leaf of one tree with probability 0.75 or more where leaves lie
+at the first level, and 0.75 to the power of the level below. Sixteen trees with 22 roots miss it with
+probability under 1e-12 at the first level and under 1e-5 at the second; deeper leaves need thousands
+of unlinked documents that share tokens. Sketches of 128 bytes drop pairs whose estimated similarity
+lies five deviations below the bound.
 """
 
 from __future__ import annotations
@@ -32,7 +35,11 @@ from factloom.llm.components import connected_components
 from factloom.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 75
-COORDINATES, TREES, LEAF, DEPTH = 128, 16, 32, 8
+COORDINATES, TREES = 128, 16
+#: A node with at most so many pairs across components is a leaf; sketches of a leaf are compared in one task.
+LEAF_PAIRS = 8_000_000
+#: Nodes that are larger still at this level are compared in blocks of ``BLOCK`` documents.
+DEPTH, BLOCK = 10, 4096
 #: Ids of documents to confirm are broadcast up to this count (16 bytes each), and joined by shuffle beyond it.
 BROADCAST_IDS = 2_000_000
 #: Five standard deviations of an estimate from 128 tokens at 0.75.
@@ -137,20 +144,16 @@ def _branches(members: DataFrame) -> DataFrame:
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``a, b`` of the distinct pairs that sizes and sketches do not rule out."""
-    side = nodes.groupBy("node").agg(F.collect_set(F.struct("n", "sketch")).alias("_s"))
-    known = pairs.distinct().join(side.select(F.col("node").alias("a"), F.col("_s").alias("_sa")), "a")
-    known = known.join(side.select(F.col("node").alias("b"), F.col("_s").alias("_sb")), "b")
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("_na"), F.col("sketch").alias("_sa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("sketch").alias("_sb"))
+    # A node with several sets gives several rows, one of which is enough.
+    known = pairs.distinct().join(left, "a").join(right, "b")
+    known = known.filter(100 * F.least("_na", "_nb") >= PERCENT * F.greatest("_na", "_nb")).select("a", "b", "_sa", "_sb")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = []
-            for left, right in zip(batch["_sa"], batch["_sb"]):
-                kept.append(any(
-                    100 * min(x["n"], y["n"]) >= PERCENT * max(x["n"], y["n"])
-                    and (np.frombuffer(x["sketch"], np.uint8) == np.frombuffer(y["sketch"], np.uint8)).mean() >= LEAST_ESTIMATE
-                    for x in left for y in right
-                ))
-            yield batch.loc[kept, ["a", "b"]]
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, COORDINATES) for c in ("_sa", "_sb"))
+            yield batch.loc[(x == y).mean(axis=1) >= LEAST_ESTIMATE, ["a", "b"]].drop_duplicates()
 
     return known.mapInPandas(keep, "a long, b long")
 
@@ -191,17 +194,125 @@ def _centre_pairs(members: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """``key, node, component, _n`` of nodes that hold several components."""
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi")
-    return members.join(size.select("key", "_n"), "key")
+    """``key, node, component, _m, _pairs`` of nodes that hold several components; ``_pairs`` lie across them."""
+    size = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_c")).groupBy("key").agg(F.sum("_c").alias("_m"), F.sum(F.col("_c") * F.col("_c")).alias("_q"))
+    size = size.select("key", "_m", F.expr("(_m * _m - _q) DIV 2").alias("_pairs")).filter("_pairs > 0")
+    return members.join(size, "key")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Splits nodes of any size into pairs of blocks, each pair a node of its own."""
+    count = F.ceil(F.col("_m") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("node"), count).cast("int")
+    rows = members.select("key", "node", "component", own.alias("_own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("_other"))
+    return rows.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), "node", "component")
+
+
+def likely_across(component: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Per row outside the largest component, the rows of other components that sizes and sketches do not rule out.
+
+    Rows that are both outside it come up once.
+    """
+    _, group, counts = np.unique(component, return_inverse=True, return_counts=True)
+    outside = group != counts.argmax()
+    most = counts.max()
+    for i in np.flatnonzero(outside).tolist():
+        ok = (group != group[i]) & (100 * np.minimum(n[i], n) >= PERCENT * np.maximum(n[i], n))
+        if most < len(n):
+            ok[:i] &= ~outside[:i]
+        j = np.flatnonzero(ok)
+        if len(j):
+            j = j[np.count_nonzero(sketch[j] == sketch[i], axis=1) >= LEAST_ESTIMATE * COORDINATES]
+            if len(j):
+                yield i, j
+
+
+def linking_pairs(component: np.ndarray, n: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join the components of a leaf: one for each merge, no more."""
+    label = np.unique(component, return_inverse=True)[1]
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    own = np.zeros(len(ids), dtype=np.int64)
+    out = []
+    for i, j in likely_across(component, n, sketch):
+        j = j[label[j] != label[i]]
+        if not len(j):
+            continue
+        mine = ids[ends[i] - sizes[i] : ends[i]]
+        own[mine] = 1
+        heads = np.cumsum(sizes[j]) - sizes[j]
+        places = np.arange(int(sizes[j].sum())) + np.repeat(ends[j] - sizes[j] - heads, sizes[j])
+        # Shingles of one set that are equal in 32 bits count as if they were shared.
+        shared = np.add.reduceat(own[ids[places]], heads) + np.minimum(n[i] - sizes[i], n[j] - sizes[j])
+        own[mine] = 0
+        linked = j[100 * shared >= PERCENT * (n[i] + n[j] - shared)]
+        for other in np.unique(label[linked]).tolist():
+            out.append((i, int(linked[label[linked] == other][0])))
+            label[label == other] = label[i]
+    return out
+
+
+def _per_leaf(rows: DataFrame, schema: str, work) -> DataFrame:
+    """Applies ``work`` to the rows of each key, a task holding one key at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            key = batch["key"].to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for low, high in zip(cuts, cuts[1:]):
+                if held and held[-1]["key"].iloc[0] != key[low]:
+                    yield work(pd.concat(held) if len(held) > 1 else held[0])
+                    held = []
+                held.append(batch.iloc[low:high])
+        if held:
+            yield work(pd.concat(held) if len(held) > 1 else held[0])
+
+    return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(run, schema)
+
+
+def _sketches(leaf: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(leaf["sketch"]), np.uint8).reshape(-1, COORDINATES)
 
 
-def _leaf_pairs(members: DataFrame) -> DataFrame:
-    """``a, b`` across components, of leaves."""
-    leaves = members.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "component"))).alias("_m"))
-    pairs = F.flatten(F.transform("_m", lambda x, i: F.transform(
-        F.filter(F.slice("_m", i + 2, F.size("_m")), lambda y: y["component"] != x["component"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    return leaves.select(F.explode(pairs).alias("_p")).select("_p.a", "_p.b")
+def _promising(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``key, node, component`` of members of leaves that have a likely partner in another component."""
+    rows = members.select("key", "node", "component").join(nodes.select("node", "n", "sketch"), "node")
+
+    def work(leaf: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(len(leaf), dtype=bool)
+        for i, j in likely_across(leaf["component"].to_numpy(), leaf["n"].to_numpy(), _sketches(leaf)):
+            found[i] = True
+            found[j] = True
+        return leaf.loc[found, ["key", "node", "component"]]
+
+    return _per_leaf(rows, "key long, node long, component long", work)
+
+
+def _linking(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """``a, b``: links that join components within leaves of ``members(key, node, component)`` (a written table)."""
+    ids = members.select(F.col("node").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.unique((shingle_set(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["doc_id"], "shingles": found})
+
+    sets = texts.mapInPandas(shorten, "node long, shingles binary").distinct()
+    rows = members.join(nodes.select("node", "n", "sketch"), "node").join(sets, "node")
+    # A node of several sets has several texts: sizes tell which belong together.
+    rows = rows.filter((F.length("shingles") / 4).between(0.99 * F.col("n") - 4, F.col("n")))
+
+    def work(leaf: pd.DataFrame) -> pd.DataFrame:
+        sets_here = [np.frombuffer(x, np.uint32) for x in leaf["shingles"]]
+        node = leaf["node"].to_numpy()
+        pairs = linking_pairs(leaf["component"].to_numpy(), leaf["n"].to_numpy(), _sketches(leaf), sets_here)
+        return pd.DataFrame([(int(node[i]), int(node[j])) for i, j in pairs], columns=["a", "b"], dtype="int64")
+
+    return _per_leaf(rows, "a long, b long", work)
 
 
 def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -220,41 +331,53 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     signed = cut_lineage(signatures(documents), "signatures")
     sets = ["n", "s1", "s2"]
     full = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = cut_lineage(full.groupBy(*sets).agg(F.min("doc_id").alias("node")), "classes")
-    firsts = signed.withColumnRenamed("doc_id", "node").join(classes, ["node", *sets], "left_semi")
-    nodes = cut_lineage(firsts.dropDuplicates(["node", *sets]).select("node", "n", "tokens", "sketch"), "nodes")
+    first = full.groupBy(*sets).agg(F.min_by(F.struct("doc_id", "tokens", "sketch"), "doc_id").alias("_f"))
+    nodes = cut_lineage(first.select(*sets, F.col("_f.doc_id").alias("node"), "_f.tokens", "_f.sketch"), "nodes")
+    classes = nodes.select(*sets, "node")
 
     # Rows of one id with different sets belong together.
-    same_id = full.join(classes, sets).filter("doc_id <> node").join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    same_id = same_id.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    several = full.groupBy("doc_id").agg(F.min("s1").alias("_lo"), F.max("s1").alias("_hi")).filter("_lo <> _hi").select("doc_id")
+    several = cut_lineage(several, "several")
+    same_id = None
+    if not several.isEmpty():
+        same_id = full.join(several, "doc_id", "left_semi").join(classes, sets).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     members = _roots(nodes)
     crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
     members = cut_lineage(members.join(crowded, "key", "left_semi"), "members")
     likely = cut_lineage(_likely(_centre_pairs(members), nodes), "pairs")
-    links = _confirmed(likely, documents).unionByName(same_id)
+    links = _confirmed(likely, documents)
+    links = links if same_id is None else links.unionByName(same_id)
     found = cut_lineage(connected_components(links), "components")
 
-    pairs = None
+    promising = None
     now = cut_lineage(_mixed(_with_components(members, found)), "mixed")
     for level in range(2, DEPTH + 1):
-        leaves = _leaf_pairs(now.filter(F.col("_n") <= LEAF))
-        pairs = leaves if pairs is None else pairs.unionByName(leaves)
-        large = now.filter(F.col("_n") > LEAF)
-        if level == DEPTH or large.isEmpty():
-            # What is left is compared across components by a join within the node.
-            left = large.select("key", F.col("node").alias("a"), F.col("component").alias("_ca"))
-            right = large.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"))
-            pairs = pairs.unionByName(left.join(right, "key").filter("_ca < _cb").select("a", "b"))
+        if now.isEmpty():
+            break
+        large = now.filter(F.col("_pairs") > LEAF_PAIRS)
+        deeper = level < DEPTH and not large.isEmpty()
+        leaves = now.filter(F.col("_pairs") <= LEAF_PAIRS)
+        if not deeper:
+            leaves = leaves.select("key", "node", "component").unionByName(_blocks(large))
+        here = _promising(leaves, nodes)
+        promising = here if promising is None else promising.unionByName(here)
+        if not deeper:
             break
-        deeper = _branches(large.join(nodes.select("node", "tokens"), "node")).distinct()
-        now = cut_lineage(_mixed(_with_components(deeper, found)), "mixed")
-    likely = cut_lineage(_likely(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes), "pairs")
-    more = _confirmed(likely, documents)
-    ends = _with_components(more.select(F.col("a").alias("node"), "b"), found).select(F.col("component").alias("a"), F.col("b").alias("node"))
-    ends = _with_components(ends, found).select("a", F.col("component").alias("b"))
-    merged = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("_wide"))
-    everywhere = _with_components(classes, found).join(merged, "component", "left").select(*sets, F.coalesce("_wide", "component").alias("component"))
+        children = _branches(large.join(nodes.select("node", "tokens"), "node")).distinct()
+        now = cut_lineage(_mixed(_with_components(children, found)), "mixed")
+    everywhere = _with_components(classes, found)
+    more = None
+    if promising is not None:
+        promising = cut_lineage(promising, "promising")
+        linking = cut_lineage(_linking(promising, nodes, documents).distinct(), "pairs")
+        more = cut_lineage(_confirmed(linking, documents), "more")
+    if more is not None and not more.isEmpty():
+        ends = _with_components(more.select(F.col("a").alias("node"), "b"), found).select(F.col("component").alias("a"), F.col("b").alias("node"))
+        ends = _with_components(ends, found).select("a", F.col("component").alias("b"))
+        merged = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("_wide"))
+        everywhere = everywhere.join(merged, "component", "left").withColumn("component", F.coalesce("_wide", "component"))
+    everywhere = everywhere.select(*sets, "component")
 
     rows = signed.select("doc_id", *sets).join(everywhere, sets, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

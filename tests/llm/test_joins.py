@@ -45,9 +45,10 @@ def test_near_duplicates(spark, documents, monkeypatch):
         ids[i, n, c, k] += 1
     ids[400, want[400, "same row again " * 30][0], 400, True] += 1
     # Small leaves and few levels make the later steps work too.
-    for leaf, depth in ((32, 8), (3, 3)):
-        monkeypatch.setattr(N, "LEAF", leaf)
+    for leaf, depth, block in ((8_000_000, 10, 4096), (20, 3, 7)):
+        monkeypatch.setattr(N, "LEAF_PAIRS", leaf)
         monkeypatch.setattr(N, "DEPTH", depth)
+        monkeypatch.setattr(N, "BLOCK", block)
         got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(documents).collect())
         assert got == ids
     assert N.near_duplicates(empty(spark)).count() == 0
