@@ -128,25 +128,18 @@ def heartbeat_drift(spark, sf_dir):
     WITH {_VERSIONS},
     b AS (SELECT f.file, f.type, name, count(*) AS n FROM page_facts f JOIN meta USING (file) WHERE second OR gone GROUP BY ALL),
     v2 AS (SELECT s.file, s.type, s.name, count(*) AS n FROM short s JOIN meta USING (file) WHERE second GROUP BY ALL),
-    all_added AS (SELECT count(*) AS keys, sum(n) AS n FROM (SELECT file, type, name, count(*) AS n FROM page_facts GROUP BY ALL)),
     removed2 AS (SELECT b.file, b.type, b.name, b.n - coalesce(v2.n, 0) AS n FROM b JOIN meta USING (file) LEFT JOIN v2 USING (file, type, name) WHERE second AND b.n > coalesce(v2.n, 0)),
-    removed3 AS (SELECT v2.n AS n FROM v2 JOIN meta USING (file) WHERE gone UNION ALL SELECT b.n FROM b JOIN meta USING (file) WHERE gone AND NOT second)
-    SELECT 'added' AS side, CAST(n AS BIGINT) AS n FROM all_added
-    UNION ALL SELECT 'removed', CAST((SELECT sum(n) FROM removed2) + (SELECT coalesce(sum(n), 0) FROM removed3) AS BIGINT)""")
+    removed3 AS (SELECT file, v2.n AS n FROM v2 JOIN meta USING (file) WHERE gone UNION ALL SELECT file, b.n FROM b JOIN meta USING (file) WHERE gone AND NOT second)
+    SELECT 'added' AS side, file, count(*) AS n FROM page_facts GROUP BY file
+    UNION ALL SELECT 'removed', file, CAST(sum(n) AS BIGINT) FROM (SELECT file, n FROM removed2 UNION ALL SELECT file, n FROM removed3) GROUP BY file""")
 def stream_delta(spark, sf_dir):
-    """Counts per fact and version as a stream; keyed state turns them into additions and removals."""
+    """File versions as a stream, one trigger each: additions and removals per fact, told from absence and deletion."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    versions = _page_versions(spark, sf_dir)
-    live = versions.filter(~F.col("deleted"))
-    facts = normalize_facts(extract_html(to_lines(live, keep=["ts"]).select("repo", "file", "ln", "line", "ts"), keep=["ts"]))
-    counts = J.fact_counts(facts)
-    # A fact of an earlier version of the file that a later one lacks is told as n = 0.
-    later = versions.select("repo", "file", F.col("ts").alias("version"))
-    known = counts.select("repo", "file", "fact_key").distinct().join(later, ["repo", "file"])
-    full = known.join(counts, ["repo", "file", "fact_key", "version"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    folder, out, checkpoint = fresh_folder(spark, "counts"), fresh_folder(spark, "delta"), fresh_folder(spark, "state")
-    full.select("repo", "file", "fact_key", "n", "version").write.parquet(folder)
-    stream = spark.readStream.schema("repo string, file string, fact_key string, n long, version timestamp").parquet(folder)
-    job = J.stream_delta(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    folder, out, checkpoint = _write_versions(spark, sf_dir), fresh_folder(spark, "delta"), fresh_folder(spark, "state")
+
+    def extract(files: DataFrame) -> DataFrame:
+        return extract_html(to_lines(files, keep=["ts"]).select("repo", "file", "ln", "line", "ts"), keep=["ts"])
+
+    job = J.stream_version_delta(J.read_changes(spark, folder), extract).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.read.schema(J.DELTA_OUT).parquet(out).groupBy("side").agg(F.sum("n").alias("n"))
+    return spark.read.schema(J.DELTA_OUT).parquet(out).groupBy("side", "file").agg(F.sum("n").alias("n"))

@@ -177,6 +177,61 @@ def stream_delta(counts: DataFrame) -> DataFrame:
     )
 
 
+class VersionDelta(StatefulProcessor):
+    """Keyed by (repo, file): remembers how often each fact occurs in the newest version seen.
+
+    A version lists all facts of its file, so what it lacks is removed; a deleted file loses all.
+    State is one map entry per fact of the file, and a file is no larger than one row of the corpus.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._counts = handle.getMapState("counts", "fact_key string", "n long")
+        self._seen = handle.getValueState("seen", "version timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        table = pd.concat(list(rows))
+        seen = self._seen.get()[0] if self._seen.exists() else None
+        held = {k[0]: int(n[0]) for k, n in self._counts.iterator()} if self._counts.exists() else {}
+        before, out = dict(held), []
+        for version, group in table.groupby("version", sort=True):
+            if seen is not None and version <= seen:
+                continue
+            now = group["fact_key"].dropna().value_counts().to_dict()
+            for fact in sorted(held.keys() | now.keys()):
+                change = int(now.get(fact, 0)) - held.get(fact, 0)
+                if change:
+                    out.append((*key, fact, "added" if change > 0 else "removed", abs(change), version))
+            held, seen = {f: int(n) for f, n in now.items()}, version
+        for fact in before.keys() - held.keys():
+            self._counts.removeKey((fact,))
+        for fact, n in held.items():
+            if before.get(fact) != n:
+                self._counts.updateValue((fact,), (n,))
+        self._seen.update((seen,))
+        yield pd.DataFrame(out, columns=["repo", "file", "fact_key", "side", "n", "version"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_version_delta(changes: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Stream of added and removed facts from a stream of file versions ``(repo, file, content, ts, deleted)``.
+
+    ``extract`` turns ``files(repo, file, content, ts)`` into raw facts that carry ``ts``; it must be
+    narrow. Every version also gives a row without a fact, so that one that lost all its facts, or the
+    file itself, is told. A version older than what was seen is passed over; the rows of one version
+    must arrive in one trigger, as they do from a file row. Needs the RocksDB state store.
+    """
+    live = changes.filter(~F.coalesce("deleted", F.lit(False)) & F.col("content").isNotNull())
+    facts = normalize_facts(extract(live.select("repo", "file", "content", "ts")))
+    facts = facts.withColumn("fact_key", fact_key(facts))
+    marks = changes.select("repo", "file", F.lit(None).cast("string").alias("fact_key"), F.col("ts").alias("version"))
+    rows = facts.select("repo", "file", "fact_key", F.col("ts").alias("version")).unionByName(marks)
+    return rows.groupBy("repo", "file").transformWithStateInPandas(
+        statefulProcessor=VersionDelta(), outputStructType=DELTA_OUT, outputMode="Append", timeMode="None"
+    )
+
+
 def stream_activity(log: DataFrame, size: str = "1 hour", slide: str | None = None, watermark: str | None = "10 minutes") -> DataFrame:
     """Counts of outcomes per tumbling or sliding window; rows later than the watermark are dropped."""
     rows = log if watermark is None else log.withWatermark("ts", watermark)
