@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", name: str = "factloom", **conf: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.factloom.textPartitions", str(cores if isinstance(cores, int) or cores.isdigit() else os.cpu_count()))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

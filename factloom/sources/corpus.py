@@ -105,7 +105,8 @@ def filter_ignored(files: DataFrame, patterns: Sequence[str] = ()) -> DataFrame:
 def filter_ignored_by_repo(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """The same with ``patterns(repo, pattern)`` from each repository's own settings.
 
-    Names and prefixes become equi-joins on the folders of a path, globs a join on the repo.
+    Names and prefixes become equi-joins on the folders of a path; the globs of a repo become one
+    pattern, so that each step of a path meets one row.
     """
     kept = filter_ignored(files)
     clean = patterns.select(
@@ -121,7 +122,7 @@ def filter_ignored_by_repo(files: DataFrame, patterns: DataFrame) -> DataFrame:
     globs = clean.filter(is_glob).select(
         "repo",
         F.regexp_replace(F.regexp_replace("pattern", r"([.+^${}()|\[\]\\])", r"\\$1"), r"\*", ".*").alias("rx"),
-    )
+    ).groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("rx")), "|").alias("rx"))
     glob_hits = (
         keyed.join(globs, "repo")
         .filter(F.regexp_like("pattern", F.concat(F.lit(r"\A("), F.col("rx"), F.lit(r")\z"))))
