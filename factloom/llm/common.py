@@ -26,7 +26,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    return text is not None and any(found[0].isalpha() for found in _LETTER.finditer(text))
 
 
 class WordHashes(dict):

@@ -14,7 +14,7 @@ from factloom.llm import language as L
 from factloom.llm import nearest as K
 from factloom.llm import quality as Q
 from factloom.llm import toxicity as T
-from factloom.llm.common import held_out
+from factloom.llm.common import has_letter, held_out
 from factloom.llm.html_text import extract_pages, main_text
 from factloom.llm.queries import URL_RULES
 from factloom.llm.url_reputation import filter_urls, host_reputation
@@ -115,6 +115,10 @@ def test_models_on_odd_rows(spark):
     assert all(r.h == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in ids)
 
 
+def test_letters():
+    assert [has_letter(t) for t in (None, "", "12 ²½ Ⅷ _-!", "x", "1é", "語", "²a")] == [False, False, False, True, True, True, True]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
