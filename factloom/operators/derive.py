@@ -25,10 +25,7 @@ NO_STACK_TEXT = (
     "%d component-like function(s) detected heuristically."
 )
 PARTIAL_TEXT = " (Based on a partial, time-limited scan -- see scan_incomplete_notice.)"
-INCOMPLETE_TEXT = (
-    "This scan hit its time budget before finishing. Everything below is based on a partial fact set and may be "
-    "missing facts from files that weren't reached yet -- re-run with a longer --timeout for a complete picture."
-)
+INCOMPLETE_TEXT = "The scan of this repository was cut short: facts of files that were not reached are missing from all that follows."
 API_TEXT = "%d API endpoint(s) discovered across Express and Next.js route conventions."
 COMPONENT_TEXT = "%d React component(s) identified by declaration pattern + JSX-return heuristic."
 

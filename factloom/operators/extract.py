@@ -474,17 +474,21 @@ def extract_config(files: DataFrame) -> DataFrame:
     )
 
 
+# What a cell is for, by the first pattern it matches.
+CELL_ROLES = (
+    ("visualization", r"(?<!\w)plt\.|matplotlib|seaborn|plotly|bokeh"),
+    ("model_training", r"(?<!\w)fit\(|\.train\(|model\.compile|torch\.optim|keras"),
+    ("data_loading", r"(?<!\w)pd\.read_|load_dataset|np\.load"),
+    ("imports", r"(?m)^\s*(?:import|from)\s"),
+    ("exploration", r"(?<!\w)print\(|display\(|\.head\(|\.describe\("),
+    ("function_definition", r"(?<!\w)def\s+\w+\s*\("),
+)
+OTHER_ROLE = "computation"
+
+
 def _cell_role(source: Column) -> Column:
-    s = F.lower(source)
-    return (
-        F.when(s.rlike(r"(?<!\w)plt\.|matplotlib|seaborn|plotly|bokeh"), "visualization")
-        .when(s.rlike(r"(?<!\w)fit\(|\.train\(|model\.compile|torch\.optim|keras"), "model_training")
-        .when(s.rlike(r"(?<!\w)pd\.read_|load_dataset|np\.load"), "data_loading")
-        .when(s.rlike(r"(?m)^\s*(?:import|from)\s"), "imports")
-        .when(s.rlike(r"(?<!\w)print\(|display\(|\.head\(|\.describe\("), "exploration")
-        .when(s.rlike(r"(?<!\w)def\s+\w+\s*\("), "function_definition")
-        .otherwise("computation")
-    )
+    text = F.lower(source)
+    return F.coalesce(*[F.when(text.rlike(pattern), role) for role, pattern in CELL_ROLES], F.lit(OTHER_ROLE))
 
 
 def extract_notebook(files: DataFrame) -> DataFrame:

@@ -40,6 +40,14 @@ _COUNT = (
 )
 
 
+# How a question states limits on its answer, and what its names may be made of.
+EXACT_COUNT = r"(?i)exactly (\d+)"
+MAX_WORDS = r"(?i)(?:under|max(?:imum)?)\s+(\d+)\s+words?"
+MAX_EVIDENCE = r"(?i)max(?:imum)?\s+(\d+)\s+evidence"
+NO_ENUMERATION = r"(?i)no file enumeration"
+NOT_IN_NAMES, NAME_EDGES = r"[^a-z0-9_./-]+", r"\A[._-]+|[._-]+\z"
+
+
 def task_type(text: Column) -> Column:
     chain = None
     for name, pattern in TASK_PATTERNS:
@@ -49,8 +57,8 @@ def task_type(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Distinct names in the question, in order."""
-    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9_./-]+", " ")
-    words = F.transform(F.split(plain, " "), lambda w: F.regexp_replace(w, r"\A[._-]+|[._-]+\z", ""))
+    plain = F.regexp_replace(F.lower(text), NOT_IN_NAMES, " ")
+    words = F.transform(F.split(plain, " "), lambda w: F.regexp_replace(w, NAME_EDGES, ""))
     kept = F.filter(words, lambda w: F.length(w) > 2)
     unwanted = F.array(*[F.lit(w) for w in (*INSTRUCTION_WORDS, *STOP_WORDS)])
     return F.array_except(kept, unwanted)
@@ -61,15 +69,15 @@ def _number(text: Column, pattern: str) -> Column:
 
 
 def constraints(text: Column) -> dict[str, Column]:
-    exact = F.nullif(_number(text, r"(?i)exactly (\d+)"), F.lit(0))
+    exact = F.nullif(_number(text, EXACT_COUNT), F.lit(0))
     word = F.lower(F.regexp_extract(text, _COUNT, 1))
     named = F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), word).cast("int")
     counted = F.when(word.rlike(r"\A\d+\z"), word.try_cast("int")).otherwise(named)
     return {
         "exact_count": F.coalesce(exact, F.when(counted > 0, counted)),
-        "max_words": _number(text, r"(?i)(?:under|max(?:imum)?)\s+(\d+)\s+words?"),
-        "max_evidence": _number(text, r"(?i)max(?:imum)?\s+(\d+)\s+evidence"),
-        "no_file_enumeration": text.rlike(r"(?i)no file enumeration"),
+        "max_words": _number(text, MAX_WORDS),
+        "max_evidence": _number(text, MAX_EVIDENCE),
+        "no_file_enumeration": text.rlike(NO_ENUMERATION),
     }
 
 
