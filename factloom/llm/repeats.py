@@ -36,7 +36,8 @@ ANCHOR, BLOCK = 48, 8
 MAX_STRINGS = 50_000
 #: Bytes of a shard, and bytes of shards that are merged together; anchors are never split over merges.
 SHARD_BYTES, MERGE_BYTES = 1 << 18, 1 << 21
-#: Tables joined to the documents are broadcast up to this many rows (some 50 bytes each), and shuffled beyond.
+#: Anchors and keys of documents are broadcast up to this many rows (16 bytes each), and shuffled beyond;
+#: what belongs to a document, a list of any length, always travels by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of documents hashed together.
 CHUNK_BYTES = 1 << 21
@@ -152,8 +153,13 @@ def _size_checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _same_row(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
+def _named(rows: DataFrame, *more: str) -> DataFrame:
+    """The keys of rows under names that no table of documents has."""
+    return rows.select(F.col("doc_id").alias("_repeats_fid"), F.col("text_hash").alias("_repeats_fhash"), *[F.col(c).alias(f"_repeats_{c}") for c in more])
+
+
+def _same(doc_id: str, text_hash: str) -> Column:
+    return F.col(doc_id).eqNullSafe(F.col("_repeats_fid")) & (F.col(text_hash) == F.col("_repeats_fhash"))
 
 
 def repeated_starts(strings: list[bytes], offsets: np.ndarray, counts: np.ndarray) -> list[list[int]]:
@@ -330,9 +336,11 @@ def _cut_strings(documents: DataFrame, per_row: DataFrame) -> DataFrame:
                     out.append((s["anchor"], s["span"], s["n"], back, data[place - back : place - back + more + LENGTH]))
             yield pd.DataFrame(out, columns=["anchor", "span", "n", "offset", "bytes"])
 
-    rows, wanted = _keyed(documents), _size_checked(per_row)
+    per_row = cut_lineage(per_row, "wanted")
+    rows = _keyed(documents).join(_size_checked(_named(per_row)), _same("doc_id", "text_hash"), "left_semi")
     # Equal rows name the same text: one of them is enough.
-    joined = rows.join(wanted, _same_row(rows, wanted)).select(rows["text"], wanted["_spans"])
+    wanted = _named(per_row, "_spans").hint("shuffle_hash")
+    joined = rows.join(wanted, _same("doc_id", "text_hash")).select("text", F.col("_repeats__spans").alias("_spans"))
     found = joined.mapInPandas(cut, "anchor long, span long, n long, offset long, bytes binary")
     return found.dropDuplicates(["anchor", "span"]) if _has_equal_rows(documents) else found
 
@@ -352,9 +360,21 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     columns = [c for c in documents.columns if c not in added]
     rows = documents.select(*columns).withColumns({"_repeats_id": F.col("doc_id").cast("long"), "_repeats_hash": F.xxhash64("text")})
-    found = _size_checked(cut_lineage(find_repeats(documents), "repeats"))
-    same = rows["_repeats_id"].eqNullSafe(found["doc_id"]) & (rows["_repeats_hash"] == found["text_hash"])
-    joined = rows.join(found, same, "left").select(*[rows[c] for c in columns], found["starts"].alias("_repeats_starts"))
+    found = cut_lineage(find_repeats(documents), "repeats")
+
+    same = _same("_repeats_id", "_repeats_hash")
+
+    def with_starts(left: DataFrame, how: str) -> DataFrame:
+        return left.join(_named(found, "starts").hint("shuffle_hash"), same, how).select(*columns, "_repeats_starts")
+
+    keys = _named(found)
+    if keys.count() <= BROADCAST_ROWS:
+        # Documents without a repeat stay where they are.
+        keys = F.broadcast(keys)
+        plain = rows.join(keys, same, "left_anti").select(*columns, F.lit(None).cast("array<bigint>").alias("_repeats_starts"))
+        joined = with_starts(rows.join(keys, same, "left_semi"), "inner").unionByName(plain)
+    else:
+        joined = with_starts(rows, "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
