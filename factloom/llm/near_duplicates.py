@@ -52,6 +52,7 @@ _ODD = _draw.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) +
 _ROOTS = np.split(np.arange(TREES + (TREES + 2) // 3), np.cumsum([2 if t % 3 == 0 else 1 for t in range(TREES)])[:-1])
 _TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
+#: Forgotten at the end of each task, as workers outlive tasks.
 _WORDS = WordHashes()
 
 
@@ -104,6 +105,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                 tokens.append(None if best is None else best.tobytes())
                 sketch.append(None if best is None else (best & 255).astype(np.uint8).tobytes())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "s1": s1, "s2": s2, "tokens": tokens, "sketch": sketch})
+        _WORDS.clear()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, n long, s1 long, s2 long, tokens binary, sketch binary")
 
@@ -178,6 +180,7 @@ def _confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
         for batch in batches:
             yield batch.loc[[is_link(of(x), of(y)) for x, y in zip(batch["_ta"], batch["_tb"])], ["a", "b"]]
+        _WORDS.clear()
 
     return known.select("a", "b", "_ta", "_tb").mapInPandas(confirm, "a long, b long")
 
@@ -230,10 +233,10 @@ def likely_across(component: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> I
 def linking_pairs(component: np.ndarray, n: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs of similar sets that join the components of a leaf: one for each merge, no more."""
     label = np.unique(component, return_inverse=True)[1]
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
-    own = np.zeros(len(ids), dtype=np.int64)
+    own = np.zeros(len(ids), dtype=bool)
     out = []
     for i, j in likely_across(component, n, sketch):
         j = j[label[j] != label[i]]
@@ -241,10 +244,10 @@ def linking_pairs(component: np.ndarray, n: np.ndarray, sketch: np.ndarray, sets
             continue
         mine = ids[ends[i] - sizes[i] : ends[i]]
         own[mine] = 1
-        heads = np.cumsum(sizes[j]) - sizes[j]
-        places = np.arange(int(sizes[j].sum())) + np.repeat(ends[j] - sizes[j] - heads, sizes[j])
         # Shingles of one set that are equal in 32 bits count as if they were shared.
-        shared = np.add.reduceat(own[ids[places]], heads) + np.minimum(n[i] - sizes[i], n[j] - sizes[j])
+        shared = np.minimum(n[i] - sizes[i], n[j] - sizes[j])
+        for k, other in enumerate(j.tolist()):
+            shared[k] += np.count_nonzero(own[ids[ends[other] - sizes[other] : ends[other]]])
         own[mine] = 0
         linked = j[100 * shared >= PERCENT * (n[i] + n[j] - shared)]
         for other in np.unique(label[linked]).tolist():
@@ -300,6 +303,7 @@ def _linking(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> Data
         for batch in batches:
             found = [np.unique((shingle_set(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"node": batch["doc_id"], "shingles": found})
+        _WORDS.clear()
 
     sets = texts.mapInPandas(shorten, "node long, shingles binary").distinct()
     rows = members.join(nodes.select("node", "n", "sketch"), "node").join(sets, "node")

@@ -27,7 +27,8 @@ from factloom.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-CHUNK_CACHE = 1 << 20
+#: Chunks and words remembered within a task; forgotten at its end, as workers outlive tasks.
+CHUNK_CACHE = 1 << 19
 
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -51,6 +52,10 @@ class _Ids(dict):
             found = self.words[word] = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.words.clear()
+
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CHUNK_CACHE:
             self.clear()
@@ -98,18 +103,22 @@ def tokenize(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                ids = text_ids(text, tokenizer) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
-            yield pd.DataFrame({
-                "doc_id": pd.array([None if x is None or x != x else int(x) for x in out[0]], dtype="Int64"),
-                "piece": np.array(out[1], dtype=np.int32), "start": np.array(out[2], dtype=np.int64),
-                "length": np.array(out[3], dtype=np.int64), "ids_crc32": np.array(out[4], dtype=np.int64),
-            })
+            yield pieces_of(batch)
+        _ids(tokenizer).forget()
+
+    def pieces_of(batch: pd.DataFrame) -> pd.DataFrame:
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            ids = text_ids(text, tokenizer) + end
+            for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[at : at + 4 * capacity]
+                for column, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
+                    column.append(value)
+        return pd.DataFrame({
+            "doc_id": pd.array([None if x is None or x != x else int(x) for x in out[0]], dtype="Int64"),
+            "piece": np.array(out[1], dtype=np.int32), "start": np.array(out[2], dtype=np.int64),
+            "length": np.array(out[3], dtype=np.int64), "ids_crc32": np.array(out[4], dtype=np.int64),
+        })
 
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
