@@ -40,7 +40,7 @@ SHARD_BYTES, MERGE_BYTES = 1 << 18, 1 << 21
 #: what belongs to a document, a list of any length, always travels by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of documents hashed together.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _PLACES = LENGTH - ANCHOR + 1
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -339,7 +339,7 @@ def _cut_strings(documents: DataFrame, per_row: DataFrame) -> DataFrame:
     per_row = cut_lineage(per_row, "wanted")
     rows = _keyed(documents).join(_size_checked(_named(per_row)), _same("doc_id", "text_hash"), "left_semi")
     # Equal rows name the same text: one of them is enough.
-    wanted = _named(per_row, "_spans").hint("shuffle_hash")
+    wanted = _named(per_row, "_spans").hint("merge")
     joined = rows.join(wanted, _same("doc_id", "text_hash")).select("text", F.col("_repeats__spans").alias("_spans"))
     found = joined.mapInPandas(cut, "anchor long, span long, n long, offset long, bytes binary")
     return found.dropDuplicates(["anchor", "span"]) if _has_equal_rows(documents) else found
@@ -365,7 +365,7 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     same = _same("_repeats_id", "_repeats_hash")
 
     def with_starts(left: DataFrame, how: str) -> DataFrame:
-        return left.join(_named(found, "starts").hint("shuffle_hash"), same, how).select(*columns, "_repeats_starts")
+        return left.join(_named(found, "starts").hint("merge"), same, how).select(*columns, "_repeats_starts")
 
     keys = _named(found)
     if keys.count() <= BROADCAST_ROWS:
