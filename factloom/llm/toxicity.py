@@ -2,9 +2,10 @@
 
 The lexicon is learned: words, and stems of words, that stand in toxic documents far more often than
 chance (a likelihood ratio test), with their log-odds. A word of a text is matched whole, by a stem
-it starts with, or by running its Levenshtein automaton over the trie of the whole words. Every match is read in a window of words: quotation marks around it or
-a word of reporting nearby make it a quotation, a form of address nearby makes it an attack. A
-logistic model over the counts of these kinds gives the score.
+it starts with, or by running its Levenshtein automaton over the trie of the words and stems. Every
+match is read in a window of words: quotation marks around it or a word of reporting nearby make it a
+quotation, a form of address nearby makes it an attack. A logistic model over the counts of these
+kinds gives the score.
 """
 
 from __future__ import annotations
@@ -36,32 +37,34 @@ ADDRESS = frozenset("you your youre u du dich dein deine ihr euch tu toi ton ta
 
 
 def max_distance(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """Edits allowed for the letters of a word, or of a stem with its ``*``."""
+    n = len(term.rstrip("*"))
+    return 0 if n < 4 else 1 if n < 9 else 2
 
 
 class Lexicon:
     """Terms with weights as a trie; :meth:`match` finds the closest term of a word.
 
-    A term that ends in ``*`` is a stem: any word that starts with it matches.
+    A term that ends in ``*`` is a stem: any word that starts with it matches, and any word with a
+    start within the distance allowed for its letters.
     """
 
     def __init__(self, weights: dict[str, float]):
         self.weights = dict(sorted(weights.items()))
         self.root: dict = {}
-        self.pieces: dict[tuple[int, str], set[tuple[int, int]]] = {}
+        self.pieces: dict[tuple[int, str], set[tuple[int, int, bool]]] = {}
         self.stems = {len(t) - 1: {s for s in self.weights if s[-1] == "*" and len(s) == len(t)} for t in self.weights if t[-1] == "*"}
         for term in self.weights:
-            if term[-1] == "*":
-                continue
+            letters = term.rstrip("*")
             node = self.root
-            for letter in term:
+            for letter in letters:
                 node = node.setdefault(letter, {})
-            node[""] = term
+            node.setdefault("", []).append(term)
             # k edits leave one of k + 1 pieces of the term whole, moved by at most k places.
             k = max_distance(term)
-            cuts = [len(term) * i // (k + 1) for i in range(k + 2)]
+            cuts = [len(letters) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
-                self.pieces.setdefault((k, term[a:b]), set()).add((a, len(term)))
+                self.pieces.setdefault((k, letters[a:b]), set()).add((a, len(letters), term[-1] == "*"))
         self.sizes = sorted({(k, len(p)) for k, p in self.pieces if k})
         self.seen: dict[str, tuple[str, int] | None] = {}
 
@@ -69,7 +72,7 @@ class Lexicon:
         for k, size in self.sizes:
             for at in range(len(word) - size + 1):
                 known = self.pieces.get((k, word[at : at + size]))
-                if known and any(abs(at - a) <= k and abs(len(word) - n) <= k for a, n in known):
+                if known and any(abs(at - a) <= k and len(word) >= n - k and (stem or len(word) <= n + k) for a, n, stem in known):
                     return True
         return False
 
@@ -81,7 +84,8 @@ class Lexicon:
         """The closest term within its allowance; ties go to the term that sorts first.
 
         Bit i of state e says that the automaton of the word can have read i of its letters with e
-        edits; it steps along the trie and a branch ends where no state is left.
+        edits; it steps along the trie and a branch ends where no state is left. A word is accepted
+        where all letters are read, a stem after any of them.
         """
         masks: dict[str, int] = {}
         for i, letter in enumerate(word):
@@ -92,10 +96,9 @@ class Lexicon:
         todo = [(self.root, start)]
         while todo:
             node, states = todo.pop()
-            term = node.get("")
-            if term is not None:
+            for term in node.get("", ()):
                 for e, state in enumerate(states[: max_distance(term) + 1]):
-                    if state >> len(word) & 1:
+                    if state if term[-1] == "*" else state >> len(word) & 1:
                         if best is None or (e, term) < best:
                             best = (e, term)
                         break
@@ -169,8 +172,8 @@ def _with_stems(words: set[str]) -> set[str]:
 def learn_lexicon(rows: list[tuple[str, int]]) -> Lexicon:
     """Words and stems that mark label 1: by document counts, a ratio and a likelihood ratio test.
 
-    A stem goes where a shorter one holds, or where it says no more than one word; a word goes where
-    a stem holds.
+    A stem goes where a shorter one holds, or where it says no more than one word. The words that a
+    stem holds stay beside it, for their misspelled forms, and do not count among ``MAX_TERMS``.
     """
     marked, plain = Counter(), Counter()
     n = [0, 0]
@@ -196,13 +199,18 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> Lexicon:
                 if n_letters < len(word) and stem in weights:
                     widest[stem] = max(widest[stem], marked[word])
     kept: dict[str, float] = {}
+    beside: dict[str, list[str]] = {}
     for term in sorted(weights, key=lambda t: (t[-1] != "*", len(t), t)):
         letters = term.rstrip("*")
-        held = any(letters[:k] + "*" in kept and kept[letters[:k] + "*"] >= 0.7 * weights[term] for k in _STEMS if k <= len(letters))
-        if not held and (term[-1] != "*" or marked[term] >= 1.5 * widest[term]):
+        holding = [s for k in _STEMS if k <= len(letters) and kept.get(s := letters[:k] + "*", -math.inf) >= 0.7 * weights[term]]
+        if not holding and (term[-1] != "*" or marked[term] >= 1.5 * widest[term]):
             kept[term] = weights[term]
+        elif term[-1] != "*":
+            for stem in holding:
+                beside.setdefault(stem, []).append(term)
     top = sorted(kept, key=lambda w: (-kept[w] * marked[w], w))[:MAX_TERMS]
-    return Lexicon({w: kept[w] for w in top})
+    words = [w for stem in top for w in beside.get(stem, ())]
+    return Lexicon({w: weights[w] for w in (*top, *words)})
 
 
 class Model:

@@ -152,6 +152,24 @@ def test_stems_and_context():
     assert "kind" not in marks.weights
 
 
+def test_misspelled_inflected_and_short_terms():
+    rows = [(f"{word} tag{i}", 1) for word in ("dummer", "dummes", "scum", "idiotisch", "idiotin") for i in range(30)]
+    lexicon = T.learn_lexicon(rows + [(f"kind words only {i}", 0) for i in range(400)])
+    assert {"dum*", "dummer", "dummes", "idiotisch", "scum"} <= set(lexicon.weights)
+    for word, want in [("dunmer", "dummer"), ("dunmes", "dummes"), ("scun", "scum"), ("ediotisch", "idiotisch"), ("idjotin", "idiotin")]:
+        assert lexicon.match(word) == (want, 1)
+        assert T.context_features(lexicon, f"such a {word} here")[5] > 0
+    assert lexicon.match("dummy") == ("dum*", 0) and lexicon.match("words") is None
+    stem = T.Lexicon({"grumpf*": 2.0, "abc*": 1.0})
+    for word in ("grumpfelig", "grunpfelig", "gumpfelig", "grumpelig", "xgrumpfelig", "grmfelig", "abd", "abcd", "gr"):
+        close = min((distance_to_start(word, t[:-1]), t) for t in stem.weights)
+        assert stem.match(word) == (close[::-1] if close[0] <= T.max_distance(close[1]) else None)
+
+
+def distance_to_start(word, stem):
+    return min(distance(word[:n], stem) for n in range(len(word) + 1))
+
+
 PAGES = [
     ("<html><body><nav><a href='/'>Home</a><a>News</a></nav><article><h1>T &amp; U</h1><p>One <b>two</b>\n three.<br>four</p><p>Five&nbsp;six&#33;</p></article><footer>f</footer></body></html>", "T & U\nOne two three. four\nFive six!"),
     ("<body><div class='menu'><a>x</a></div><div id=main><p>Long enough text of the article, a first part.</p><p>And a second part, as long as that.</p></div><div class='sidebar'>side</div><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul>", "Long enough text of the article, a first part.\nAnd a second part, as long as that."),
