@@ -5,7 +5,8 @@ and link tags below it. The density sum of an element adds up the densities of i
 subtree with the greatest sum, among elements at least as dense as the sparsest element on the path
 from it up to ``body``, holds the article; it is widened to an enclosing ``article`` or ``main``.
 Elements that are never article text (scripts, menus, forms, adverts, comments and the like, by tag,
-role, class or id) are taken out before densities are counted.
+role, class or id) are taken out before densities are counted. A class or id counts by its whole name,
+and not where the element wraps the article: see :func:`_drop_named`.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_TOKEN = re.compile(r"[a-z]+")
+_TOKEN = re.compile(r"[^\W\d_]+")
 
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +40,11 @@ NEVER_NAMES = frozenset(
     "breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets notice notices cookie cookies consent gdpr popup modal overlay newsletter "
     "subscribe subscription signup login form share sharing social related recommended comment comments disqus discussion replies reply respond copyright pagination pager toolbar skip".split()
 )
+#: Names of what readers write; such a part may well be longer than the article.
+READER_NAMES = frozenset("comment comments disqus discussion replies reply respond".split())
+#: Words after a name that still say that the element is that part of a page, and words before it that say what a page has.
+PART_WORDS = frozenset("area bar block box button buttons container inner item items link links list section slot unit wrap wrapper".split())
+STATE_WORDS = frozenset("has have no not non with without is hide show hidden".split())
 _CLOSES = {
     "p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
     "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}), "body": frozenset({"head"}),
@@ -50,27 +56,41 @@ _END_P = frozenset(
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "dropped", "name", "inside", "articles", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, name: str | None = None):
+        self.tag, self.parent, self.dropped, self.name = tag, parent, dropped, name
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.parts: list[_Node | str] = []
 
 
-def _never(tag: str, attrs: str) -> bool:
+def _name(value: str) -> str | None:
+    """The name in ``NEVER_NAMES`` that is a whole class or id of a value, or its last part but for ``PART_WORDS``."""
+    for whole in value.split():
+        parts = _TOKEN.findall(whole)
+        while len(parts) > 1 and parts[-1] in PART_WORDS:
+            parts.pop()
+        if parts and parts[-1] in NEVER_NAMES and STATE_WORDS.isdisjoint(parts):
+            return parts[-1]
+    return None
+
+
+def _never(tag: str, attrs: str) -> tuple[bool, str | None]:
+    """Whether an element is out by tag, role or being hidden, and else its telling name, if any."""
     if tag in NEVER:
-        return True
+        return True, None
     if tag in ("html", "body", "article", "main") or not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return False, None
+    found = None
     for name, *values in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and not NEVER_NAMES.isdisjoint(_TOKEN.findall(value)):
-            return True
+        if name in ("class", "id"):
+            found = found or _name(value)
         if name == "role" and value.strip() in NEVER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, None
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return True, None
+    return False, found
 
 
 def _tree(page: str) -> _Node:
@@ -109,7 +129,8 @@ def _tree(page: str) -> _Node:
                 walk = walk.parent
             if last is not None:
                 node = last.parent
-        child = _Node(tag, node, node.dropped or _never(tag, found["attrs"] or ""))
+        out, name = _never(tag, found["attrs"] or "")
+        child = _Node(tag, node, node.dropped or out, name)
         node.parts.append(child)
         if tag in VOID:
             continue
@@ -132,6 +153,49 @@ def _order(root: _Node) -> list[_Node]:
     return out
 
 
+def _drop_named(root: _Node) -> None:
+    """Drops elements by class or id, but those that wrap the article.
+
+    An element stays if it holds most of the text of the body (readers' comments excepted) and no
+    ``article`` or ``main`` stands apart from it, or if it holds one and there is none outside of
+    named elements.
+    """
+    nodes = _order(root)
+    if not any(n.name for n in nodes):
+        return
+    for node in reversed(nodes):
+        node.chars, node.articles = 0, int(node.tag in ("article", "main"))
+        for part in node.parts:
+            if isinstance(part, str):
+                node.chars += len(part) - part.count(" ") if part.strip() else 0
+            elif not part.dropped:
+                node.chars += part.chars
+                node.articles += part.articles
+    body = next((n for n in nodes if n.tag == "body"), root)
+    # Articles by the nearest named element around them.
+    direct: dict[_Node | None, int] = {}
+    todo: list[tuple[_Node, _Node | None]] = [(root, None)]
+    while todo:
+        node, around = todo.pop()
+        if node.tag in ("article", "main"):
+            direct[around] = direct.get(around, 0) + 1
+        if node.name:
+            around = node
+        todo.extend((p, around) for p in node.parts if isinstance(p, _Node) and not p.dropped)
+    free = direct.get(None, 0)
+    walk = [(root, 0)]
+    while walk:
+        node, above = walk.pop()
+        if node.name:
+            most = 2 * node.chars > body.chars and node.name not in READER_NAMES
+            if not (most and free == above or node.articles and not free):
+                node.dropped = True
+                continue
+            free += direct.get(node, 0)
+        above += node.tag in ("article", "main")
+        walk.extend((p, above) for p in reversed(node.parts) if isinstance(p, _Node) and not p.dropped)
+
+
 def _measure(nodes: list[_Node]) -> None:
     for node in reversed(nodes):
         chars = tags = link_chars = link_tags = 0
@@ -182,8 +246,8 @@ def _article(nodes: list[_Node]) -> _Node:
 
 
 def _menu(node: _Node) -> bool:
-    """A block in which links hold most of the text, such as a menu without a telling name."""
-    return node.tag in ("ul", "ol", "div", "section", "table") and node.link_tags >= 3 and node.link_chars >= 0.7 * node.chars
+    """A block in which links hold most of the text, such as a menu without a telling name; in an article it is a list of sources."""
+    return not node.inside and node.tag in ("ul", "ol", "div", "section", "table") and node.link_tags >= 3 and node.link_chars >= 0.7 * node.chars
 
 
 def _blocks(chosen: _Node) -> list[str]:
@@ -222,7 +286,9 @@ def main_text(page: str | None) -> str:
     """The article of one page, a line per block; empty for null, empty or textless pages."""
     if not page:
         return ""
-    nodes = _order(_tree(page))
+    root = _tree(page)
+    _drop_named(root)
+    nodes = _order(root)
     _measure(nodes)
     return "\n".join(_blocks(_article(nodes)))
 

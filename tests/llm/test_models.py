@@ -188,6 +188,26 @@ def test_main_text(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrappers_of_the_article_stay():
+    text = "<h1>Title</h1><p>Long enough text of the article, a first part.</p><p>And a second part, as long as that.</p>"
+    want = "Title\nLong enough text of the article, a first part.\nAnd a second part, as long as that."
+    side = "<div class='sidebar'>side</div><div class='site-footer'>foot</div><div id='comments-area'>reader</div>"
+    for names in ("class='content has-sidebar'", "id='page' class='no-sidebar'", "class='post with-comments'", "class='page-header-fixed'", "class='layout-sidebar'", "id=widget"):
+        for wrapped in (text, f"<article>{text}</article>", f"<div class='entry'>{text}</div>"):
+            assert main_text(f"<body><div {names}>{wrapped}{side}</div></body>") == want
+            assert main_text(f"<body><main><div {names}>{wrapped}</div></main>{side}</body>") == want
+    readers = "<div class='post-comments'>" + "<p>Readers write far more than the article has, and again.</p>" * 9 + "</div>"
+    related = "<div class='related'>" + "<article><p>Another article that is praised here at length.</p></article>" * 9 + "</div>"
+    for more in (readers, related, readers.replace("<p>", "<article><p>").replace("</p>", "</p></article>")):
+        assert main_text(f"<body><div class='has-sidebar'><article>{text}</article></div>{more}</body>") == want
+    assert main_text(f"<body><div class='post with-comments'>{text}</div>{readers}</body>") == want
+    sources = "<ul><li><a>one source</a></li><li><a>two source</a></li><li><a>three source</a></li></ul>"
+    assert main_text(f"<body><article>{text}{sources}</article></body>") == want + "\none source\ntwo source\nthree source"
+    assert main_text(f"<body><div class='post'>{text}</div>{sources}</body>") == want
+    deep = "<div class='sidebar'>" * 3000 + "deep" + "</div>" * 3000
+    assert main_text(f"<body>{deep}</body>") == "deep"
+
+
 def test_urls(spark):
     urls = ["http://A.Example.COM/en/71?x", "http://example.com/en/8", "https://b.net/de/1#a", "https://x.example.net/de/81", "http://q.org/es/", "no scheme", None, "x://", "http://notexample.com/en/7", "http://com/en/", "http://q.org?u=/es/", "a://b://c/d"]
     rows = [(i, u, "h", "r") for i, u in enumerate(urls)] + [(0, urls[0], "h", "r"), (None, urls[1], "h", "r")]
