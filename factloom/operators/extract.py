@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.runs import first_per, last_seen, running_sum
@@ -57,8 +57,6 @@ def code_lines(files: DataFrame) -> DataFrame:
     return files.select("repo", "file", F.posexplode(both).alias("_at", "_l")).select("repo", "file", (F.col("_at") + 1).alias("ln"), "_l.line", "_l.code")
 
 
-# A multi-line import list is looked back for within this many lines.
-_STATEMENT_LINES = 4096
 _OPENER = r"\A\s*(import|export)\b[^'\"]*\{[^}]*\z"
 _CLOSER = r"\A\s*\}\s*from"
 
@@ -66,22 +64,17 @@ _CLOSER = r"\A\s*\}\s*from"
 def extract_imports(lines: DataFrame) -> DataFrame:
     """ESM imports and require calls with a literal; a multi-line list counts at its closing line.
 
-    One pass over the text finds imports and the openings of multi-line statements; a window over
-    these few rows tells ``import {`` from ``export {``.
+    One pass over the text finds imports and the openings of multi-line statements; the last opening,
+    however far back, tells ``import {`` from ``export {``.
     """
     code = F.col("code")
     keep = ["_opens", "_closes"]
     marked = clean_code(lines).withColumn("_opens", F.regexp_extract(code, _OPENER, 1)).withColumn("_closes", code.rlike(_CLOSER))
     pack = packs.CODE_IMPORTS_AND_OPENERS
     hits = extract_lines(marked, pack, "code", keep=keep)
-    run = F.floor(F.col("line") / _STATEMENT_LINES)
-    # An opening counts for its own run of lines and for the next one.
-    runs = F.when(F.col("_opens") != "", F.array(run, run + 1)).otherwise(F.array(run))
-    rows = hits.withColumn("_home", run).withColumn("_run", F.explode(runs))
-    order = Window.partitionBy("repo", "file", "_run").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_opener", F.last(F.nullif(F.col("_opens"), F.lit("")), ignorenulls=True).over(order))
+    rows = last_seen(hits, FILE, "line", {"_opener": F.nullif(F.col("_opens"), F.lit(""))})
     exported = F.col("_closes") & F.coalesce(F.col("_opener") == "export", F.lit(False))
-    return rows.filter((F.col("type") == "import") & (F.col("_run") == F.col("_home")) & ~exported).drop(*keep, "_home", "_run", "_opener")
+    return rows.filter((F.col("type") == "import") & ~exported).drop(*keep, "_opener")
 
 
 def extract_hooks(lines: DataFrame) -> DataFrame:
@@ -148,7 +141,6 @@ _COMPONENT = (
 _CLASS_COMPONENT = r"\A\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*)\s+extends\s+(?:React\.)?Component(?![\w$.])"
 # A tag that opens an element: not preceded by an identifier or '.', which would be a generic type.
 _JSX = r"(?<![\w$.)\]])<(?:[A-Za-z][\w.:-]*(?:\s[^<>]*)?/?>|>|[A-Za-z][\w.:-]*\s*\z|[a-z][\w-]*\s+[\w-]+=)"
-_VUE_DEPTH = 8
 
 
 def extract_components(lines: DataFrame) -> DataFrame:
@@ -258,19 +250,24 @@ def extract_vue(files: DataFrame) -> DataFrame:
     """One component per .vue file: explicit name in the default export, else the file name."""
     script_at = F.regexp_instr("content", F.lit(r"(?is)<script[^>]*>.*?</script>"))
     script = F.regexp_extract("content", r"(?is)<script[^>]*>(.*?)</script>", 1)
-    # The default export's own keys: drop nested braces from the inside out, then cut at its end.
+    # The default export's own keys: the pieces between braces that stand one brace deep, up to its end.
     opening = r"(?s)\A.*?export\s+default\s+(?:defineComponent\s*\(\s*)?\{"
     body = F.when(script.rlike(opening), F.regexp_replace(script, opening, "")).otherwise("")
-    for _ in range(_VUE_DEPTH):
-        body = F.regexp_replace(body, r"\{[^{}]*\}", "")
-    own = F.substring_index(body, "}", 1)
     name_key = r"(?<![\w$.'\"])name\s*:\s*(?:\"([^\"]*)\"|'([^']*)')"
-    explicit, explicit2 = F.regexp_extract(own, name_key, 1), F.regexp_extract(own, name_key, 2)
+
+    def read(state: Column, piece: Column) -> Column:
+        depth, known = state["depth"], state["name"]
+        step = F.when(depth == 0, 0).when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        found = F.concat(F.regexp_extract(piece, name_key, 1), F.regexp_extract(piece, name_key, 2))
+        return F.struct((depth + step).alias("depth"), F.when((depth == 1) & (known == ""), found).otherwise(known).alias("name"))
+
+    pieces = F.regexp_extract_all(body, F.lit(r"([{}]|[^{}]+)"), F.lit(1))
+    explicit = F.aggregate(pieces, F.struct(F.lit(1).alias("depth"), F.lit("").alias("name")), read, lambda state: state["name"])
     before = F.substring(F.col("content"), F.lit(1), script_at - 1)
     ln = F.when(script_at > 0, F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 2).otherwise(1)
     vue = files.filter(F.col("file").endswith(".vue") & F.col("content").isNotNull()).select(
         "repo", "file", ln.alias("ln"), "content",
-        F.coalesce(F.nullif(F.concat(explicit, explicit2), F.lit("")), F.regexp_replace(base_name(F.col("file")), r"\.vue\z", "")).alias("name"),
+        F.coalesce(F.nullif(explicit, F.lit("")), F.regexp_replace(base_name(F.col("file")), r"\.vue\z", "")).alias("name"),
     )
     return raw_facts(
         vue, ORDER["vue"], type=F.lit("vue_component"), line=F.col("ln"), confidence=path_confidence(F.col("file")),

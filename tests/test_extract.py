@@ -89,6 +89,20 @@ def test_next_routes(spark):
     ]
 
 
+def test_long_lists_keep_their_opener(spark):
+    names = "".join(f"  n{i},\n" for i in range(9000))
+    ls = lines(spark, {"a.js": "import {\n" + names + '} from "./b";\nexport {\n' + names + '} from "./c";\n'})
+    assert rows(extract.extract_imports(ls), "target", "line") == [("./b", 9002)]
+
+
+def test_vue_names_beside_deep_braces(spark):
+    def page(depth, name):
+        return "<script>\nexport default {\n  a: " + "{ b: " * depth + "{ name: 'no' }" + " }" * depth + f",\n  name: '{name}',\n}}\nconst c = {{ name: 'no' }}\n</script>\n"
+
+    fs = files(spark, {"a.vue": page(2, "A"), "b.vue": page(8, "B"), "c.vue": page(60, "C"), "d.vue": page(60, "")})
+    assert rows(extract.extract_vue(fs), "file", "name") == [("a.vue", "A"), ("b.vue", "B"), ("c.vue", "C"), ("d.vue", "d")]
+
+
 def test_vue_names(spark):
     fs = files(spark, {
         "a/Card.vue": "<template>\n<p/>\n</template>\n<script>\nexport default {\n  data() { return {} },\n  name: 'MyCard',\n}\n</script>\n",
