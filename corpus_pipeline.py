@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.runs import first_per
 from factloom.llm import language
+from factloom.llm.common import letters
 from factloom.llm.decontaminate import find_items
 from factloom.llm.near_duplicates import near_duplicates
 from factloom.llm.packing import pack_documents
@@ -29,8 +30,14 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of undetermined language: without a text, or without a letter in it."""
-    found = language.identify(docs, language.learn(docs))
+    """Rejects documents of undetermined language: without a text, or without a letter in it.
+
+    Where no language can be learned, the letters alone decide.
+    """
+    network = language.learn(docs)
+    if network is None:
+        return docs.filter(letters("text"))
+    found = language.identify(docs, network)
     return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 HELD_OUT_REMAINDER = 2
 WORD_CACHE = 1 << 19
@@ -29,6 +31,12 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(found[0].isalpha() for found in _LETTER.finditer(text))
 
 
+@F.pandas_udf(BooleanType())
+def letters(texts: pd.Series) -> pd.Series:
+    """:func:`has_letter` as a column."""
+    return texts.map(has_letter, na_action=None).astype(bool)
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered for up to ``WORD_CACHE`` words at a time."""
 

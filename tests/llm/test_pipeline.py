@@ -64,6 +64,13 @@ def test_stages(spark, folder, tmp_path):
         assert [a for a, _ in sorted(parts)] == [0, *ends[:-1].tolist()] and ends[-1] <= 4096
 
 
+def test_without_languages_to_learn_only_texts_without_letters_leave(spark):
+    docs = spark.createDataFrame([(*r[:2], None, *r[3:]) for r in odd_documents(7)], SCHEMA)
+    got = collections.Counter((r.doc_id, r.text) for r in C.keep_known_languages(spark, docs, "").collect())
+    want = collections.Counter((r.doc_id, r.text) for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+    assert got == want and want
+
+
 def test_empty_documents_run_through(spark, folder, tmp_path):
     sf_dir, _ = folder
     path = f"{tmp_path}/none"
