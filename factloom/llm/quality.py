@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import labelled_sample
 
 PASSAGE = 512
-#: Learning reads at most this many labelled documents, and this many passages of any of them.
-SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 6000, 64
+#: Learning reads at most this many labelled documents, and all passages of each.
+SAMPLE_DOCUMENTS = 6000
 HIDDEN, ATTENTION = 24, 12
 BATCH, ROUNDS, RATE = 256, 400, 0.01
 #: Passages computed side by side; bounds the memory of a task.
@@ -141,11 +141,13 @@ def train(rows: list[tuple[str, int]]) -> Attention | None:
     if not rows:
         return None
     rows = sorted(rows)
-    passages, lengths, owner = passages_of([t.encode("utf-8", "replace") for t, _ in rows])
-    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    kept = place < SAMPLE_PASSAGES
-    passages, lengths, owner = passages[kept], lengths[kept], owner[kept]
-    x = np.concatenate([features(passages[i : i + BLOCK], lengths[i : i + BLOCK]) for i in range(0, len(owner), BLOCK)])
+    counts, x = [], []
+    for text, _ in rows:
+        # One text at a time, so that besides the features only its own passages take memory.
+        passages, lengths, _ = passages_of([text.encode("utf-8", "replace")])
+        counts.append(len(lengths))
+        x.extend(features(passages[i : i + BLOCK], lengths[i : i + BLOCK]) for i in range(0, len(lengths), BLOCK))
+    x, owner = np.concatenate(x), np.repeat(np.arange(len(rows)), counts)
     model = Attention()
     model.fit(x, owner, np.array([label for _, label in rows], dtype=np.float32))
     return model

@@ -115,6 +115,14 @@ def test_models_on_odd_rows(spark):
     assert all(r.h == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in ids)
 
 
+def test_quality_learns_from_whole_texts():
+    same = "Plain words stand here, one after another. "
+    texts = [(same * (900 + k) + "BAD!! $$ #77 " * (4000 if bad else 0), 1 - bad) for k in range(30) for bad in (0, 1)]
+    assert all(len(t) > 512 * 64 for t, _ in texts)
+    scores = Q.score_texts(Q.train(texts), [t for t, _ in texts])
+    assert all((s > 0.8) if label else (s < 0.2) for s, (_, label) in zip(scores, texts))
+
+
 def test_letters():
     assert [has_letter(t) for t in (None, "", "12 ²½ Ⅷ _-!", "x", "1é", "語", "²a")] == [False, False, False, True, True, True, True]
 
