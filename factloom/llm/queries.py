@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import language, quality, toxicity
+from factloom.llm import conversations, language, quality, toxicity
 from factloom.llm.common import held_out, table
 from factloom.llm.decontaminate import find_items
 from factloom.llm.html_text import extract_pages
@@ -138,3 +138,63 @@ def _strength_sql(level: str) -> str:
     FROM judged JOIN h USING (host)""")
 def url_reputation(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: CRC-32 of a text column as SQL: the table of 256 remainders follows from the polynomial.
+_CRC_TABLE = "(SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) FROM range(256) t(i))"
+
+
+def _crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII or Latin text; a character of the two bytes C2 or C3 and another is two."""
+    codes = f"""flatten(list_transform(string_split({text}, ''), lambda s: CASE WHEN unicode(s) < 128 THEN [CAST(unicode(s) AS BIGINT)]
+        ELSE [192 + (unicode(s) >> 6), 128 + (unicode(s) & 63)] END))"""
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(c >> 8, crc_table.t[xor(c & 255, b) + 1])))"
+
+
+def _ways_sql() -> str:
+    """Ways of one row from state to state, as rows of values: class, from, to, cost, letters."""
+    rows = [
+        f"('{initial}{fault}', {start}, {end}, {price}, '{letters}')"
+        for (initial, fault), ways in conversations.WAYS.items() for end, sources in enumerate(ways) for start, price, letters in sources
+    ]
+    return ", ".join(rows)
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+
+
+@query("op13_conversation_repair", rf"""
+    WITH RECURSIVE crc_table AS (SELECT {_CRC_TABLE} AS t),
+    ways(kind, p, q, price, letters) AS (VALUES {_ways_sql()}),
+    drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS d FROM conversations, crc_table),
+    damaged AS (SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE d WHEN 3 THEN [1, 2] ELSE [1] END) FROM drawn WHERE d <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS copy,
+        CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS initial FROM placed),
+    laid AS (SELECT *, CASE WHEN regexp_full_match(text, '{_SPACE}*') THEN 'blank' WHEN copy > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?]{_SPACE}*\z') THEN 'truncated' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair FROM seen),
+    last AS (SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM laid GROUP BY conv_id),
+    way(conv_id, k, state, cost, audit) AS (
+        SELECT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '' FROM last
+        UNION ALL
+        SELECT conv_id, k, q, best.cost, best.audit FROM (
+            SELECT way.conv_id, laid.k, q, min({{'cost': way.cost + price, 'audit': way.audit || letters}}) AS best
+            FROM way JOIN laid ON laid.conv_id IS NOT DISTINCT FROM way.conv_id AND laid.k = way.k + 1 JOIN ways ON kind = initial || fault AND p = state GROUP BY ALL)),
+    ended AS (SELECT w.conv_id, min({{'cost': cost + 3 * len(tail), 'audit': audit || tail}}) AS best FROM (SELECT *, CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS tail FROM way) w
+        JOIN last ON last.conv_id IS NOT DISTINCT FROM w.conv_id AND n = k GROUP BY 1),
+    steps AS (SELECT conv_id, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS j FROM ended),
+    ops AS (SELECT conv_id, j, audit[j] AS op, len(replace(left(audit, j), 'I', '')) AS k, len(replace(left(audit, j), 'D', '')) AS at FROM steps),
+    kept AS (SELECT ops.*, laid.role, laid.text, max(CASE WHEN at = 1 AND op = 'K' AND laid.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY ops.conv_id) AS opened
+        FROM ops JOIN laid ON laid.conv_id IS NOT DISTINCT FROM ops.conv_id AND laid.k = greatest(ops.k, 1) WHERE op <> 'D'),
+    hashes AS (SELECT conv_id, sha256(string_agg(CASE WHEN op = 'K' THEN role WHEN (at - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS h FROM kept GROUP BY conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+        CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN hashes ON hashes.conv_id IS NOT DISTINCT FROM c.conv_id""")
+def conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(rows, conversations.damage(rows))
