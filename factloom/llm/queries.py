@@ -187,10 +187,10 @@ _SPACE = r"[\x20\x09-\x0D]"
     ended AS (SELECT w.conv_id, min({{'cost': cost + 3 * len(tail), 'audit': audit || tail}}) AS best FROM (SELECT *, CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS tail FROM way) w
         JOIN last ON last.conv_id IS NOT DISTINCT FROM w.conv_id AND n = k GROUP BY 1),
     steps AS (SELECT conv_id, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS j FROM ended),
-    ops AS (SELECT conv_id, j, audit[j] AS op, len(replace(left(audit, j), 'I', '')) AS k, len(replace(left(audit, j), 'D', '')) AS at FROM steps),
-    kept AS (SELECT ops.*, laid.role, laid.text, max(CASE WHEN at = 1 AND op = 'K' AND laid.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY ops.conv_id) AS opened
+    ops AS (SELECT conv_id, j, audit[j] AS op, len(replace(left(audit, j), 'I', '')) AS k, len(replace(left(audit, j), 'D', '')) AS spot FROM steps),
+    kept AS (SELECT ops.*, laid.role, laid.text, max(CASE WHEN spot = 1 AND op = 'K' AND laid.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY ops.conv_id) AS opened
         FROM ops JOIN laid ON laid.conv_id IS NOT DISTINCT FROM ops.conv_id AND laid.k = greatest(ops.k, 1) WHERE op <> 'D'),
-    hashes AS (SELECT conv_id, sha256(string_agg(CASE WHEN op = 'K' THEN role WHEN (at - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS h FROM kept GROUP BY conv_id)
+    hashes AS (SELECT conv_id, sha256(string_agg(CASE WHEN op = 'K' THEN role WHEN (spot - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS h FROM kept GROUP BY conv_id)
     SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
         CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
     FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM c.conv_id
