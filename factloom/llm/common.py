@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,3 +81,33 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit:
     picked = hash_sample(known, limit)
     rows = documents.filter(~held_out() & F.col("text").isNotNull()).select("doc_id", "text")
     return rows.join(F.broadcast(picked), "doc_id").select("text", "label")
+
+
+def per_key(rows: DataFrame, key: str, work: Callable[..., list[tuple]], columns: list[str], schema: str) -> DataFrame:
+    """The rows that ``work`` makes of ``columns`` (arrays) of each key; a task holds one key's rows at a time.
+
+    ``key`` is an integer column without nulls; keys are to be bounded by the caller.
+    """
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, found = None, None, []
+        for batch in batches:
+            keys, values = batch[key].to_numpy(), [batch[c].to_numpy() for c in columns]
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for low, high in zip(cuts, cuts[1:]):
+                if held is not None and now != keys[low]:
+                    found += work(*(np.concatenate(v) for v in held))
+                    held = None
+                now, held = keys[low], held or [[] for _ in columns]
+                for kept, column in zip(held, values):
+                    kept.append(column[low:high])
+            if found:
+                yield pd.DataFrame(found, columns=names)
+                found = []
+        if held is not None:
+            found = work(*(np.concatenate(v) for v in held))
+            if found:
+                yield pd.DataFrame(found, columns=names)
+
+    return rows.repartition(F.col(key)).sortWithinPartitions(key).select(key, *columns).mapInPandas(run, schema)

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from factloom.llm import conversations, language, quality, toxicity
 from factloom.llm.common import held_out, table
 from factloom.llm.decontaminate import find_items
+from factloom.llm.fingerprints import simhash_groups
 from factloom.llm.html_text import extract_pages
 from factloom.llm.near_duplicates import near_duplicates
 from factloom.llm.nearest import search
 from factloom.llm.packing import pack_documents
 from factloom.llm.repeats import cut_repeats
 from factloom.llm.url_reputation import Rule, filter_urls
+from factloom.llm.variants import variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EXPECTED: dict[str, str] = {}
@@ -140,6 +142,12 @@ def url_reputation(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op11_simhash_groups")
+def simhash_components(spark, sf_dir):
+    found = simhash_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 #: CRC-32 of a text column as SQL: the table of 256 remainders follows from the polynomial.
 _CRC_TABLE = "(SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) FROM range(256) t(i))"
 
@@ -151,6 +159,27 @@ def _crc_sql(text: str) -> str:
     return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(c >> 8, crc_table.t[xor(c & 255, b) + 1])))"
 
 
+@query("op12_spelling_variants", rf"""
+    WITH RECURSIVE crc_table AS (SELECT {_CRC_TABLE} AS t),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+    counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+    hashed AS (SELECT run, n, {_crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM counted, crc_table),
+    words AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % len(run)) || substr(run, CAST(h % len(run) + 2 AS BIGINT)) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM hashed
+        GROUP BY 1 HAVING len(word) >= 6 AND sum(n) >= 5),
+    gaps AS (SELECT word, n, at, left(word, at - 1) || substr(word, at + 1) AS rest FROM (SELECT *, unnest(range(1, len(word) + 1)) AS at FROM words)),
+    pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.at = b.at AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.rest = b.word),
+    near AS (SELECT word, count(*) AS n_near, min({{'less': -other_n, 'form': other}}) AS best FROM pairs GROUP BY word),
+    known AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * n THEN best.form END AS form, CASE WHEN -best.less >= 5 * n THEN -best.less END AS form_n
+        FROM words LEFT JOIN near USING (word)),
+    chain AS (SELECT word, word AS root FROM known UNION ALL SELECT chain.word, form FROM chain JOIN known ON known.word = chain.root WHERE form IS NOT NULL),
+    ends AS (SELECT chain.word, root FROM chain JOIN known ON known.word = root WHERE form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM known JOIN ends USING (word)""")
+def spelling_variants(spark, sf_dir):
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def _ways_sql() -> str:
     """Ways of one row from state to state, as rows of values: class, from, to, cost, letters."""
     rows = [
