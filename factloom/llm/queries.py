@@ -166,8 +166,8 @@ def _crc_sql(text: str) -> str:
     hashed AS (SELECT run, n, {_crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM counted, crc_table),
     words AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % len(run)) || substr(run, CAST(h % len(run) + 2 AS BIGINT)) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM hashed
         GROUP BY 1 HAVING len(word) >= 6 AND sum(n) >= 5),
-    gaps AS (SELECT word, n, at, left(word, at - 1) || substr(word, at + 1) AS rest FROM (SELECT *, unnest(range(1, len(word) + 1)) AS at FROM words)),
-    pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.at = b.at AND a.word <> b.word
+    gaps AS (SELECT word, n, spot, left(word, spot - 1) || substr(word, spot + 1) AS rest FROM (SELECT *, unnest(range(1, len(word) + 1)) AS spot FROM words)),
+    pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.spot = b.spot AND a.word <> b.word
         UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.rest = b.word
         UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.rest = b.word),
     near AS (SELECT word, count(*) AS n_near, min({{'less': -other_n, 'form': other}}) AS best FROM pairs GROUP BY word),

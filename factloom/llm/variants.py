@@ -75,7 +75,8 @@ def words(documents: DataFrame) -> DataFrame:
                 if len(held) >= _HELD:
                     yield frame()
                     held.clear()
-        yield frame()
+        if held:
+            yield frame()
 
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     counted = documents.select(doc.alias("doc"), "text").mapInPandas(count, "word string, n long")
