@@ -17,6 +17,7 @@ from factloom.functions.text import base_name, evidence, line_hash, path_confide
 from factloom.operators import packs
 from factloom.operators.packs import ORDER
 from factloom.operators.rules import extract_lines, merge, raw_facts
+from factloom.operators.scopes import bare_text, calls_with_caller, joined_heads
 
 FILE = ["repo", "file"]
 
@@ -43,9 +44,10 @@ def clean_code(lines: DataFrame) -> DataFrame:
 
 
 def code_lines(files: DataFrame) -> DataFrame:
-    """``repo, file, ln, line, code`` of whole code files; narrow, as a file is one row.
+    """``repo, file, ln, line, code, bare`` of whole code files; narrow, as a file is one row.
 
-    The text is cut into quoted pieces, comments and the rest; comments leave only their line ends.
+    The text is cut into quoted pieces, comments and the rest; comments leave only their line ends,
+    in ``bare`` quoted pieces too, and a list of parameters over several lines stands on its first.
     """
     content = F.col("content")
     pieces = F.transform(
@@ -53,8 +55,9 @@ def code_lines(files: DataFrame) -> DataFrame:
         lambda p: F.when(F.startswith(p, F.lit("/*")), F.regexp_replace(p, r"[^\n]", "")).when(F.startswith(p, F.lit("//")), F.lit("")).otherwise(p),
     )
     code = F.when(F.contains(content, F.lit("//")) | F.contains(content, F.lit("/*")), F.array_join(pieces, "")).otherwise(content)
-    both = F.arrays_zip(F.split("content", "\n", -1).alias("line"), F.split(code, "\n", -1).alias("code"))
-    return files.select("repo", "file", F.posexplode(both).alias("_at", "_l")).select("repo", "file", (F.col("_at") + 1).alias("ln"), "_l.line", "_l.code")
+    texts = files.select("repo", "file", "content", code.alias("code")).withColumn("bare", joined_heads(bare_text(F.col("code"))))
+    each = F.arrays_zip(*[F.split(c, "\n", -1).alias(n) for c, n in (("content", "line"), ("code", "code"), ("bare", "bare"))])
+    return texts.select("repo", "file", F.posexplode(each).alias("_at", "_l")).select("repo", "file", (F.col("_at") + 1).alias("ln"), "_l.line", "_l.code", "_l.bare")
 
 
 _OPENER = r"\A\s*(import|export)\b[^'\"]*\{[^}]*\z"
@@ -102,36 +105,13 @@ def _definition(line: Column) -> tuple[Column, Column]:
 
 
 def extract_calls(lines: DataFrame) -> DataFrame:
-    """Identifier calls with the function that encloses them.
-
-    Enclosing = nearest preceding definition; a call at column 0 outside a definition line has none.
-    This approximates lexical nesting on lines.
-    """
-    line = F.col("code")
-    is_method, name = _definition(line)
-    is_class = line.rlike(_DEF_CLASS)
-    marks = clean_code(lines).select(
-        "repo", "file", "ln", "line", "code",
-        F.when(is_class, F.regexp_extract(line, _DEF_CLASS, 1)).alias("cls"),
-        name.alias("fn"),
-        is_method.alias("method_def"),
-        line.rlike(packs.JS_CALL).alias("call"),
-    ).filter(F.col("cls").isNotNull() | F.col("fn").isNotNull() | F.col("call"))
-    marks = last_seen(marks, FILE, "ln", {
-        "in_class": F.when(F.col("cls").isNotNull(), F.struct("ln", F.col("cls").alias("name"))),
-        "in_fn": F.when(F.col("fn").isNotNull(), F.struct("ln", F.col("fn").alias("name"), "method_def")),
-    })
-    # A class that opens after the definition starts a new scope.
-    in_scope = F.col("in_class").isNull() | (F.col("in_class.ln") < F.col("in_fn.ln"))
-    full = F.when(
-        F.col("in_fn.method_def") & F.col("in_class").isNotNull(), F.concat_ws(".", "in_class.name", "in_fn.name")
-    ).otherwise(F.col("in_fn.name"))
-    outer = line.rlike(r"\A\S") & F.col("fn").isNull()
-    calls = marks.filter("call").withColumn("_caller", F.when(~outer & in_scope, full)).withColumn("_fn", F.col("fn"))
-    facts = extract_lines(calls, packs.CODE_CALLS, "code", keep=["_caller", "_fn"])
-    # The name in a definition line itself is no call.
-    own = F.coalesce(F.col("callee") == F.col("_fn"), F.lit(False))
-    return facts.filter(~own).withColumn("caller", F.col("_caller")).drop("_caller", "_fn")
+    """Identifier calls with the innermost function whose brackets enclose them (see :mod:`scopes`)."""
+    calls = calls_with_caller(clean_code(lines))
+    line = F.col("line")
+    return raw_facts(
+        calls.withColumnRenamed("ln", "_ln"), ORDER["code"], type=F.lit("function_call"), line=F.col("_ln"), confidence=path_confidence(F.col("file")),
+        evidence=evidence(line), line_hash=line_hash(line), pos=F.col("pos"),
+    )
 
 
 _COMPONENT = (

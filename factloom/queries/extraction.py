@@ -262,9 +262,16 @@ def dedup_first(spark, sf_dir):
 @query(
     "q49_function_calls_caller",
     """
-    SELECT 'svc/c_' || o_custkey || '.js' AS file, o_orderkey * 16 + 1 + l_linenumber AS line, 'order' || o_orderkey AS caller, 'part' || l_partkey AS callee
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    UNION ALL SELECT 'svc/c_' || o_custkey || '.js', o_orderkey * 16 + 15, NULL, 'register' FROM orders
+    WITH o AS (SELECT 'svc/c_' || o_custkey || '.js' AS file, o_orderkey AS k, o_orderkey * 16 AS base, o_orderstatus = 'F' AS method FROM orders),
+    scopes AS (
+      SELECT file, base + 1 AS opens, base + 14 AS closes, CASE WHEN method THEN 'Order' || k || '.place' ELSE 'order' || k END AS name FROM o
+      UNION ALL SELECT file, base + 9, base + 11, 'check' || k FROM o
+      UNION ALL SELECT file, base + 13, base + 13, NULL FROM o),
+    calls AS (
+      SELECT 'svc/c_' || o_custkey || '.js' AS file, o_orderkey * 16 + 1 + l_linenumber AS line, 'part' || l_partkey AS callee FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+      UNION ALL SELECT file, base + place, callee FROM o, (VALUES (10, 'audit'), (12, 'total'), (13, 'each'), (15, 'register')) t(place, callee))
+    SELECT c.file, c.line, c.callee, s.name AS caller FROM calls c
+    LEFT JOIN LATERAL (SELECT name FROM scopes s WHERE s.file = c.file AND c.line BETWEEN opens AND closes ORDER BY closes - opens LIMIT 1) s ON true
     """,
 )
 def function_calls(spark, sf_dir):

@@ -102,20 +102,24 @@ def route_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A module per customer: a function per order, in it a call per item; one call at the end of none."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    """A module per customer: a function per order (status F: a method of a class) with a call per item,
+    a nested function, a call after it, one in a callback, and a call outside of all."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    key, method = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
     file = _text("svc/c_", F.col("o_custkey"), ".js").alias("file")
-    heads = orders.select(
-        F.lit(SHOP).alias("repo"), file, (F.col("o_orderkey") * 16 + 1).alias("ln"), _text("function order", F.col("o_orderkey"), "(x) {").alias("line")
+    place = lambda k: F.struct((key * 16 + k[0]).alias("ln"), k[1].alias("line"))
+    around = [
+        (0, F.when(method, _text("class Order", key, " {")).otherwise(_text("// order ", key))),
+        (1, F.when(method, F.lit("  place(x) {")).otherwise(_text("function order", key, "(x) {"))),
+        (9, _text("  function check", key, "(y) {")), (10, F.lit("    audit(y, '}');")), (11, F.lit("  }")), (12, F.lit("  total(x);")),
+        (13, F.lit("  x.items.forEach((i) => { each(i); });")), (14, F.when(method, F.lit("} }")).otherwise(F.lit("}"))), (15, F.lit("register(1);")),
+    ]
+    frame = orders.select(F.lit(SHOP).alias("repo"), file, F.explode(F.array(*map(place, around))).alias("_l")).select("repo", "file", "_l.ln", "_l.line")
+    calls = items.join(orders, F.col("l_orderkey") == key).select(
+        F.lit(SHOP).alias("repo"), file, (key * 16 + 1 + F.col("l_linenumber")).alias("ln"), _text("  part", F.col("l_partkey"), "(x);").alias("line")
     )
-    calls = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.lit(SHOP).alias("repo"), file, (F.col("o_orderkey") * 16 + 1 + F.col("l_linenumber")).alias("ln"),
-        _text("  part", F.col("l_partkey"), "(x);").alias("line"),
-    )
-    ends = orders.select(F.lit(SHOP).alias("repo"), file, (F.col("o_orderkey") * 16 + 14).alias("ln"), F.lit("}").alias("line"))
-    top = orders.select(F.lit(SHOP).alias("repo"), file, (F.col("o_orderkey") * 16 + 15).alias("ln"), F.lit("register(1);").alias("line"))
-    return heads.unionByName(calls).unionByName(ends).unionByName(top)
+    return frame.unionByName(calls)
 
 
 def component_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
