@@ -7,8 +7,9 @@ the run-wise windows of :mod:`factloom.functions.runs`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from factloom.operators import packs
 from factloom.operators.packs import ORDER
 from factloom.operators.rules import extract_lines, merge, raw_facts
 from factloom.operators.scopes import bare_text, calls_with_caller, joined_heads
+from factloom.operators.settings import key_line, setting_keys
 
 FILE = ["repo", "file"]
 
@@ -346,104 +348,47 @@ def _json_keys(files: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def _scalar_type(text: Column) -> Column:
-    return (
-        F.when(text.rlike(r"\A\["), "array").when(text.rlike(r"\A(\{|~\z|null\z)"), "object")
-        .when(text.rlike(r"\A(true|false)\z"), "boolean")
-        .when(text.rlike(r"\A[-+]?(\d[\d_]*)(\.\d+)?([eE][-+]?\d+)?\z"), "number").otherwise("string")
-    )
-
-
-_YAML_KEY = r"\A(\s*)[\"']?([^\s\"'#:\-\[{][^\"':#]*?)[\"']?\s*:(?:\s+(.*?))?\s*\z"
-
-
-def _yaml_keys(lines: DataFrame) -> DataFrame:
-    """Keys at column 0 and, under each, those at the first nested indent."""
-    line = F.regexp_replace("line", r"\s+#.*\z", "")
-    rows = lines.filter(F.col("file").rlike(r"\.ya?ml\z") & ~F.col("line").rlike(r"\A\s*(#|---|\z)")).select(
-        "repo", "file", "ln",
-        F.length(F.regexp_extract(line, r"\A(\s*)", 1)).alias("indent"),
-        F.nullif(F.regexp_extract(line, _YAML_KEY, 2), F.lit("")).alias("key"),
-        strip(F.regexp_extract(line, _YAML_KEY, 3)).alias("value"),
-        line.rlike(r"\A\s*-(\s|\z)").alias("item"),
-    )
-    rows = last_seen(rows, FILE, "ln", {"top": F.when((F.col("indent") == 0) & ~F.col("item"), F.struct("ln", "key"))})
-    below = rows.filter((F.col("indent") > 0) | F.col("item"))
-    heads = below.groupBy(*FILE, F.col("top.ln").alias("ln")).agg(
-        F.min_by("indent", "ln").alias("child_indent"), F.min_by("item", "ln").alias("list")
-    )
-    first = rows.filter((F.col("indent") == 0) & F.col("key").isNotNull() & ~F.col("item")).join(heads, [*FILE, "ln"], "left")
-    first = first.select(
-        "repo", "file", F.col("key").alias("name"), "key",
-        F.when(F.col("value") != "", _scalar_type(F.col("value"))).when(F.col("list"), "array").otherwise("object").alias("value_type"),
-    )
-    nested = below.filter(F.col("key").isNotNull() & ~F.col("item")).join(
-        heads.select(*FILE, F.col("ln").alias("_top_ln"), "child_indent", "list").filter(~F.col("list")),
-        (below["repo"] == heads["repo"]) & (below["file"] == heads["file"]) & (F.col("top.ln") == F.col("_top_ln")) & (F.col("indent") == F.col("child_indent")),
-        "left_semi",
-    ).select(
-        "repo", "file", F.concat_ws(".", "top.key", "key").alias("name"), "key",
-        F.when(F.col("value") != "", _scalar_type(F.col("value"))).otherwise("object").alias("value_type"),
-    )
-    return first.unionByName(nested)
-
-
-_TOML_TABLE = r"\A\s*\[(\[?)\s*([^\[\]]+?)\s*\]\]?\s*(?:#.*)?\z"
-_TOML_KEY = r"\A\s*[\"']?([\w.-]+)[\"']?\s*=\s*(.*?)\s*\z"
-
-
-def _toml_keys(lines: DataFrame) -> DataFrame:
-    rows = lines.filter(F.col("file").endswith(".toml") & ~F.col("line").rlike(r"\A\s*(#|\z)"))
-    line = F.col("line")
-    rows = last_seen(rows, FILE, "ln", {"table": F.when(line.rlike(_TOML_TABLE), F.regexp_extract(line, _TOML_TABLE, 2))})
-    path = F.split("table", r"\s*\.\s*")
-    is_table = line.rlike(_TOML_TABLE)
-    tables = rows.filter(is_table)
-    is_array = F.regexp_extract(line, _TOML_TABLE, 1) == "["
-    first = tables.select(
-        "repo", "file", path[0].alias("name"), path[0].alias("key"),
-        F.when(is_array & (F.size(path) == 1), "array").otherwise("object").alias("value_type"),
-    )
-    sub = tables.filter(F.size(path) > 1).select(
-        "repo", "file", F.concat_ws(".", path[0], path[1]).alias("name"), path[1].alias("key"),
-        F.when(is_array & (F.size(path) == 2), "array").otherwise("object").alias("value_type"),
-    )
-    key, value = F.regexp_extract(line, _TOML_KEY, 1), F.regexp_extract(line, _TOML_KEY, 2)
-    pairs = rows.filter(~is_table & line.rlike(_TOML_KEY)).withColumn("key", F.split(key, r"\.")[0]).withColumn(
-        "value_type", F.when(F.contains(key, F.lit(".")), "object").otherwise(_scalar_type(value))
-    )
-    top = pairs.filter(F.col("table").isNull()).select("repo", "file", F.col("key").alias("name"), "key", "value_type")
-    inner = pairs.filter(F.size(path) == 1).select("repo", "file", F.concat_ws(".", path[0], "key").alias("name"), "key", "value_type")
-    out = merge([first, sub, top, inner])
-    return out.groupBy("repo", "file", "name", "key").agg(F.min("value_type").alias("value_type"))
-
-
 def _key_lines(lines: DataFrame) -> DataFrame:
-    """First line that names a key, as ``key:``/``key =`` or else in a table header."""
+    """First line that names a key of a JSON file."""
     line = F.col("line")
     quoted = F.regexp_extract(line, r"\A\s*[\"']([^\"']*)[\"']\s*[:=]", 1)
     bare = F.regexp_extract(line, r"\A\s*([^\s\"'][^\"':=]*?)\s*[:=]", 1)
-    header = F.when(line.rlike(_TOML_TABLE), F.split(F.regexp_extract(line, _TOML_TABLE, 2), r"\s*\.\s*")).otherwise(F.array())
-    keys = F.array_union(
-        F.filter(F.array(F.struct(F.lit(0).alias("p"), quoted.alias("k")), F.struct(F.lit(0).alias("p"), bare.alias("k"))), lambda s: s["k"] != ""),
-        F.transform(header, lambda k: F.struct(F.lit(1).alias("p"), k.alias("k"))),
-    )
-    rows = lines.select("repo", "file", "ln", evidence(line).alias("text"), F.explode(keys).alias("c"))
-    best = rows.groupBy("repo", "file", F.col("c.k").alias("key")).agg(F.min(F.struct(F.col("c.p").alias("p"), "ln", "text")).alias("at"))
+    keys = F.filter(F.array(quoted, bare), lambda k: k != "")
+    rows = lines.select("repo", "file", "ln", evidence(line).alias("text"), F.explode(keys).alias("key"))
+    best = rows.groupBy("repo", "file", "key").agg(F.min(F.struct("ln", "text")).alias("at"))
     return best.select("repo", "file", "key", F.col("at.ln").alias("ln"), F.col("at.text").alias("text"))
 
 
+def _setting_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["repo", "file", "name", "key", "value_type", "ln", "source"]
+    for batch in batches:
+        out = []
+        for repo, file, content in zip(batch["repo"], batch["file"], batch["content"]):
+            lines, known = content.split("\n"), {}
+            for name, key, kind in setting_keys(file, content):
+                if key not in known:
+                    known[key] = key_line(lines, key)
+                ln = known[key]
+                out.append((repo, file, name, key, kind, ln, "" if ln is None else lines[ln - 1]))
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({"ln": "Int64"})
+
+
 def extract_config(files: DataFrame) -> DataFrame:
     """Keys of config files, one and two levels deep, each at the first line that names it.
 
-    Unparseable JSON gives nothing; YAML and TOML are read by line rules.
+    Files that do not parse give nothing. JSON is read in columns; YAML and TOML file by file, without
+    a shuffle (see :mod:`settings`).
     """
-    config = files.filter(F.col("file").rlike(r"\.(jsonc?|ya?ml|toml)\z") & F.col("content").isNotNull())
-    lines = config.select("repo", "file", F.posexplode(F.split("content", "\n", -1)).alias("_p", "line")).select(
-        "repo", "file", (F.col("_p") + 1).alias("ln"), "line"
+    config = files.filter(F.col("content").isNotNull())
+    json = config.filter(F.col("file").rlike(r"\.jsonc?\z"))
+    lines = json.select("repo", "file", F.posexplode(F.split("content", "\n", -1)).alias("_p", "line")).select("repo", "file", (F.col("_p") + 1).alias("ln"), "line")
+    found = _json_keys(json).join(_key_lines(lines), ["repo", "file", "key"], "left")
+    others = config.filter(F.col("file").rlike(r"\.(ya?ml|toml)\z")).select("repo", "file", "content")
+    others = others.mapInPandas(_setting_keys, "repo string, file string, name string, key string, value_type string, ln long, source string")
+    found = found.select("repo", "file", "name", "value_type", F.col("ln").cast("long").alias("ln"), "text").unionByName(
+        others.select("repo", "file", "name", "value_type", "ln", evidence(F.col("source")).alias("text"))
     )
-    keys = merge([_json_keys(config), _yaml_keys(lines), _toml_keys(lines)])
-    found = keys.join(_key_lines(lines), ["repo", "file", "key"], "left")
     return raw_facts(
         found, ORDER["config"], type=F.lit("config_key"), line=F.col("ln"),
         confidence=F.when(F.col("ln").isNotNull(), "high").otherwise("medium"),

@@ -123,6 +123,24 @@ def config_keys(spark, sf_dir):
     return facts.select("file", "name", "line", F.col("extra")["valueType"].alias("value_type"), "confidence")
 
 
+@query(
+    "q11_config_formats",
+    """
+    WITH e AS (SELECT 'settings/e_' || event_id AS file, event_type FROM events),
+    keys(format, name, line, value_type) AS (VALUES
+      ('.yaml', 'kind', 1, 'string'), ('.yaml', 'run', 2, 'string'), ('.yaml', 'value', 5, 'number'), ('.yaml', 'user', 6, 'object'), ('.yaml', 'user.id', NULL, 'number'),
+      ('.yaml', 'user.tags', NULL, 'array'), ('.yaml', 'note', 7, 'string'), ('.yaml', 'details', 9, 'object'), ('.yaml', 'details.event', 10, 'number'), ('.yaml', 'details.list', 11, 'array'),
+      ('.toml', 'title', 1, 'string'), ('.toml', 'value', 2, 'number'), ('.toml', 'server', 6, 'object'), ('.toml', 'server.port', 7, 'number'), ('.toml', 'server.tags', 8, 'array'),
+      ('.toml', 'server.' || chr(42), 11, 'object'))
+    SELECT file || format AS file, replace(name, chr(42), event_type) AS name, CAST(line AS BIGINT) AS line, value_type, CASE WHEN line IS NULL THEN 'medium' ELSE 'high' END AS confidence
+    FROM e, keys
+    """,
+)
+def config_formats(spark, sf_dir):
+    facts = extract.extract_config(A.setting_files(spark, sf_dir))
+    return facts.select("file", "name", "line", F.col("extra")["valueType"].alias("value_type"), "confidence")
+
+
 _TOKEN = """'(?i)((?:token|secret|api_?key|passw(?:or)?d)\\s*["'']?\\s*[:=]\\s*["''])([A-Za-z0-9_\\-/+=.]{16,})(["''])'"""
 
 

@@ -175,6 +175,21 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def setting_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A YAML and a TOML file per event, with texts over several lines, values in brackets and tables."""
+    events = table(spark, sf_dir, "events")
+    kind, value, event, user = (F.col(c).cast("string") for c in ("event_type", "value", "event_id", "user_id"))
+    yaml = _text(
+        "kind: ", kind, "\nrun: |\n  ", kind, ": text\n  total: 5\nvalue: ", value, " # measured\nuser: {id: ", user, ", tags: [a, b]}\nnote: 'first\n  second: ", event,
+        "'\ndetails:\n  event: ", event, "\n  list:\n  - a: 1\n",
+    )
+    toml = _text("title = '''\nvalue = 1\n[not.table]\n'''\nvalue = ", value, "\n[server]\nport = ", user, '\ntags = [\n  "', kind, '",\n]\n[server.', kind, "]\nseen = true\n")
+    both = F.explode(F.array(*[F.struct(F.lit(end).alias("end"), text.alias("content")) for end, text in ((".yaml", yaml), (".toml", toml))])).alias("_f")
+    return events.select("user_id", "event_id", both).select(
+        _text("u_", F.col("user_id")).alias("repo"), _text("settings/e_", F.col("event_id"), F.col("_f.end")).alias("file"), "_f.content"
+    )
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
