@@ -1,4 +1,11 @@
-"""Tamper-evident review logs: each entry carries the hash of the one before."""
+"""Tamper-evident review logs: each entry carries the hash of the one before.
+
+A ledger is cut into segments of ``SEGMENT`` entries. The first entry of a later segment carries the
+segment's name instead of a hash, so segments chain side by side, whatever share of all entries one
+ledger holds. What ties them together are seals, one row for each full segment with its last hash and
+the hash of the seal before; only these are chained in order. A ledger of one segment is one unbroken
+chain from ``genesis``.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +13,14 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.runs import top_per
 
 GENESIS = "genesis"
+#: Entries that chain in one task.
+SEGMENT = 4096
 _TAIL = r",\"hash\":\"[0-9a-f]{64}\"\}\z"
 _ENTRY = (
     "v int, ts string, base string, head string, overall string, reasons array<string>, changedFiles int, "
@@ -35,52 +44,95 @@ def review_bodies(reviews: DataFrame) -> DataFrame:
     return reviews.select("ledger", "seq", body.alias("body"))
 
 
+def _segment_name(segment: Column) -> Column:
+    return F.concat(F.lit("segment-"), segment.cast("string"))
+
+
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chain rows sorted by (ledger, seq); batches stream through, only the last hash is held."""
-    ledger, prev = None, None
+    """Chain rows sorted by (ledger, segment, seq); batches stream through, only the last hash is held."""
+    chain, prev = None, None
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
-            if row.ledger != ledger:
-                ledger, prev = row.ledger, row.tail
+            if (row.ledger, row.segment) != chain:
+                chain, prev = (row.ledger, row.segment), row.start
             body = f'{row.body[:-1]},"prev":"{prev}"}}'
             prev = hashlib.sha256(body.encode("utf-8")).hexdigest()
             out.append((row.ledger, row.seq, f'{body[:-1]},"hash":"{prev}"}}'))
         yield pd.DataFrame(out, columns=["ledger", "seq", "raw"])
 
 
-def ledger_append(ledger: DataFrame, reviews: DataFrame) -> DataFrame:
+def ledger_append(ledger: DataFrame, reviews: DataFrame, segment: int | None = SEGMENT) -> DataFrame:
     """New rows ``(ledger, seq, raw)`` for ``reviews``, continuing each ledger after its last entry.
 
-    Ledgers chain in parallel; within one the hash needs its predecessor, so its new rows pass
-    through one task in order, streamed and not held.
+    ``seq`` of the reviews counts from 0 in each ledger. Bodies are built over the cluster, segments
+    chain side by side, and an open segment goes on from its last entry. Without a ``segment`` every
+    ledger is one unbroken chain, and its new rows stream through one task.
     """
     tails = ledger.groupBy("ledger").agg(F.max_by("raw", "seq").alias("last"), F.max("seq").alias("last_seq")).select(
         "ledger", F.get_json_object("last", "$.hash").alias("tail"), "last_seq"
     )
-    fresh = review_bodies(reviews).join(tails, "ledger", "left").select(
-        "ledger",
-        (F.col("seq") + F.coalesce(F.col("last_seq") + 1, F.lit(0))).cast("long").alias("seq"),
-        "body",
-        F.coalesce("tail", F.lit(GENESIS)).alias("tail"),
-    )
-    ordered = fresh.repartition("ledger").sortWithinPartitions("ledger", "seq")
+    fresh = review_bodies(reviews).join(tails, "ledger", "left")
+    fresh = fresh.withColumn("seq", (F.col("seq") + F.coalesce(F.col("last_seq") + 1, F.lit(0))).cast("long"))
+    part = F.floor(F.col("seq") / segment).cast("long") if segment else F.lit(0).cast("long")
+    open_part = F.floor(F.col("last_seq") / segment).cast("long") if segment else F.lit(0).cast("long")
+    fresh = fresh.withColumn("segment", part)
+    start = F.when(F.col("last_seq").isNotNull() & (F.col("segment") == open_part), F.col("tail"))
+    start = start.when(F.col("segment") == 0, GENESIS).otherwise(_segment_name(F.col("segment")))
+    ordered = fresh.select("ledger", "segment", "seq", "body", start.alias("start"))
+    ordered = ordered.repartition("ledger", "segment").sortWithinPartitions("ledger", "segment", "seq")
     kind = fresh.schema["ledger"].dataType.simpleString()
     return ordered.mapInPandas(_chain, f"ledger {kind}, seq long, raw string")
 
 
+def _seal(prev: str, segment: int, last: str) -> str:
+    return hashlib.sha256(f"{prev}:{segment}:{last}".encode()).hexdigest()
+
+
+def _chain_seals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    of, prev = None, None
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            if row.ledger != of:
+                of, prev = row.ledger, row.start
+            out.append((row.ledger, row.segment, row.last, prev, prev := _seal(prev, row.segment, row.last)))
+        yield pd.DataFrame(out, columns=["ledger", "segment", "last", "prev", "hash"])
+
+
+def ledger_seals(ledger: DataFrame, seals: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
+    """New rows ``(ledger, segment, last, prev, hash)`` for the full segments that ``seals`` does not hold yet.
+
+    A row for ``segment`` entries; these alone pass through a task in order.
+    """
+    ends = ledger.filter(F.col("seq") % segment == segment - 1).select(
+        "ledger", F.floor(F.col("seq") / segment).cast("long").alias("segment"), F.get_json_object("raw", "$.hash").alias("last")
+    )
+    if seals is None:
+        ends = ends.withColumn("start", F.lit(GENESIS))
+    else:
+        newest = seals.groupBy("ledger").agg(F.max_by("hash", "segment").alias("_hash"), F.max("segment").alias("_segment"))
+        ends = ends.join(newest, "ledger", "left").filter(F.col("_segment").isNull() | (F.col("segment") > F.col("_segment")))
+        ends = ends.select("ledger", "segment", "last", F.coalesce("_hash", F.lit(GENESIS)).alias("start"))
+    kind = ledger.schema["ledger"].dataType.simpleString()
+    ordered = ends.repartition("ledger").sortWithinPartitions("ledger", "segment")
+    return ordered.mapInPandas(_chain_seals, f"ledger {kind}, segment long, last string, prev string, hash string")
+
+
 def parse_entries(ledger: DataFrame) -> DataFrame:
     """Rows with ``entry`` (null where unreadable)."""
     readable = F.try_parse_json("raw").isNotNull()
     return ledger.withColumn("entry", F.when(readable, F.from_json("raw", _ENTRY)))
 
 
-def ledger_verify(ledger: DataFrame) -> DataFrame:
+def ledger_verify(ledger: DataFrame, seals: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
     """One row per ledger: ``ok``, entry count, first bad index and why.
 
     ``ledger(ledger, seq, raw)`` with seq 0, 1, 2, ... The predecessor comes by an equi-join on
     (ledger, seq), which spreads one long ledger over all tasks; the hash covers the raw text
-    without its own hash field.
+    without its own hash field. The first entry of a segment may name the segment instead of its
+    predecessor. With ``seals``, each full segment is held against its seal, and each seal against
+    the one before; the index is then that of the segment's last entry.
     """
     rows = parse_entries(ledger).select(
         "ledger", "seq", F.col("entry.prev").alias("prev"), F.col("entry.hash").alias("hash"),
@@ -88,14 +140,29 @@ def ledger_verify(ledger: DataFrame) -> DataFrame:
     )
     before = rows.select("ledger", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("prior"))
     checked = rows.join(before, ["ledger", "seq"], "left")
+    place = F.floor(F.col("seq") / segment).cast("long")
     expected = F.when(F.col("seq") == 0, F.lit(GENESIS)).otherwise(F.col("prior"))
+    opens = (F.col("seq") > 0) & (F.col("seq") % segment == 0) & F.col("prev").eqNullSafe(_segment_name(place))
     reason = (
         F.when(F.col("hash").isNull(), "unreadable entry")
-        .when(~F.col("prev").eqNullSafe(expected), "chain broken")
+        .when(~F.col("prev").eqNullSafe(expected) & ~opens, "chain broken")
         .when(F.col("actual") != F.col("hash"), "entry altered")
     )
-    first_bad = F.min(F.when(reason.isNotNull(), F.struct(F.col("seq").alias("seq"), reason.alias("reason"))))
-    return checked.groupBy("ledger").agg(F.count(F.lit(1)).alias("entries"), first_bad.alias("bad")).select(
+    found = checked.select("ledger", "seq", F.lit(1).alias("entry"), reason.alias("reason"))
+    if seals is not None:
+        ends = rows.filter(F.col("seq") % segment == segment - 1).select("ledger", place.alias("segment"), F.col("hash").alias("is"))
+        prior = seals.select("ledger", (F.col("segment") + 1).alias("segment"), F.col("hash").alias("prior"))
+        each = seals.join(ends, ["ledger", "segment"], "full").join(prior, ["ledger", "segment"], "left")
+        start = F.when(F.col("segment") == 0, F.lit(GENESIS)).otherwise(F.col("prior"))
+        again = F.sha2(F.concat_ws(":", "prev", F.col("segment").cast("string"), "last"), 256)
+        broken = (
+            F.when(F.col("hash").isNull(), "seal missing").when(~F.col("prev").eqNullSafe(start) | (again != F.col("hash")), "seal altered")
+            .when(~F.col("is").eqNullSafe(F.col("last")), "segment altered")
+        )
+        seq = ((F.col("segment") + 1) * segment - 1).alias("seq")
+        found = found.unionByName(each.select("ledger", seq, F.lit(0).alias("entry"), broken.alias("reason")).filter("reason IS NOT NULL"))
+    first_bad = F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "reason")))
+    return found.groupBy("ledger").agg(F.sum("entry").alias("entries"), first_bad.alias("bad")).select(
         "ledger", "entries", F.col("bad").isNull().alias("ok"), F.col("bad.seq").alias("bad_index"), F.col("bad.reason").alias("reason")
     )
 

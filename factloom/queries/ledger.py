@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import ledger as L
 from factloom.operators import memory as M
 from factloom.queries import query
+from factloom.session import cut_lineage
 from factloom.sources import adapters as A
 
 _BODY = """'{"v":1,"ts":"e' || event_id || '","base":"HEAD","head":null,"overall":"' || CASE WHEN event_type = 'error' THEN 'REJECT' ELSE 'ACCEPT' END ||
@@ -23,9 +24,16 @@ chain(user_id, seq, hash) AS (
 """
 
 
-def _ledger(spark, sf_dir):
+#: Entries of a ledger that are there before the others are appended, and of a segment in these queries.
+_BEFORE, _SEGMENT = 3, 16
+
+
+def _ledger(spark, sf_dir, segment=L.SEGMENT):
+    """Every ledger in two appends, the second of which goes on from the first."""
     reviews = A.reviews(spark, sf_dir)
-    return L.ledger_append(_empty(spark, sf_dir), reviews)
+    first = cut_lineage(L.ledger_append(_empty(spark, sf_dir), reviews.filter(F.col("seq") < _BEFORE), segment), "ledger")
+    later = reviews.filter(F.col("seq") >= _BEFORE).withColumn("seq", F.col("seq") - _BEFORE)
+    return first.unionByName(L.ledger_append(first, later, segment))
 
 
 def _empty(spark, sf_dir):
@@ -40,6 +48,43 @@ def ledger_append(spark, sf_dir):
     return _ledger(spark, sf_dir).select("ledger", "seq", F.get_json_object("raw", "$.hash").alias("hash"))
 
 
+_SEGMENTS = f"""
+RECURSIVE {_NUMBERED},
+bodies AS (SELECT user_id, seq, {_BODY} AS head FROM numbered),
+chain(user_id, seq, hash) AS (
+  SELECT user_id, seq, sha256(head || ',"prev":"' || CASE seq WHEN 0 THEN 'genesis' ELSE 'segment-' || seq // {_SEGMENT} END || '"}}') FROM bodies WHERE seq % {_SEGMENT} = 0
+  UNION ALL
+  SELECT b.user_id, b.seq, sha256(b.head || ',"prev":"' || c.hash || '"}}') FROM chain c JOIN bodies b ON b.user_id = c.user_id AND b.seq = c.seq + 1 AND b.seq % {_SEGMENT} <> 0),
+seals(user_id, segment, last, hash) AS (
+  SELECT user_id, 0, hash, sha256('genesis:0:' || hash) FROM chain WHERE seq = {_SEGMENT} - 1
+  UNION ALL
+  SELECT c.user_id, s.segment + 1, c.hash, sha256(s.hash || ':' || (s.segment + 1) || ':' || c.hash) FROM seals s JOIN chain c ON c.user_id = s.user_id AND c.seq = (s.segment + 2) * {_SEGMENT} - 1)
+"""
+
+
+@query("q30_ledger_segments", f"WITH {_SEGMENTS} SELECT user_id AS ledger, seq, hash FROM chain")
+def ledger_segments(spark, sf_dir):
+    """Segments of one ledger chain side by side."""
+    return _ledger(spark, sf_dir, _SEGMENT).select("ledger", "seq", F.get_json_object("raw", "$.hash").alias("hash"))
+
+
+@query("q30_ledger_seals", f"""
+    WITH {_SEGMENTS}, ends AS (SELECT user_id, count(*) AS entries, count(*) // {_SEGMENT} AS n FROM chain GROUP BY user_id)
+    SELECT e.user_id AS ledger, entries, hash AS newest_seal, n = 0 OR e.user_id % 2 = 0 AS ok, CASE WHEN n > 0 AND e.user_id % 2 = 1 THEN {_SEGMENT} - 1 END AS bad_index,
+      CASE WHEN n > 0 AND e.user_id % 2 = 1 THEN 'segment altered' END AS reason
+    FROM ends e LEFT JOIN seals s ON s.user_id = e.user_id AND s.segment = n - 1""")
+def ledger_seals(spark, sf_dir):
+    """Ledgers of odd users write their first segment anew, sound in itself; their seals tell."""
+    rows = cut_lineage(_ledger(spark, sf_dir, _SEGMENT), "ledger")
+    first = cut_lineage(L.ledger_seals(rows.filter(F.col("seq") < 2 * _SEGMENT), None, _SEGMENT), "seals")
+    seals = first.unionByName(L.ledger_seals(rows, first, _SEGMENT))
+    begun = (F.col("ledger") % 2 == 1) & (F.col("seq") < _SEGMENT)
+    others = A.reviews(spark, sf_dir).filter((F.col("ledger") % 2 == 1) & (F.col("seq") < _SEGMENT)).withColumn("ts", F.lit("later"))
+    forged = rows.filter(~begun).unionByName(L.ledger_append(rows.filter(F.lit(False)), others, _SEGMENT))
+    newest = seals.groupBy("ledger").agg(F.max_by("hash", "segment").alias("newest_seal"))
+    return L.ledger_verify(forged, seals, _SEGMENT).join(newest, "ledger", "left").select("ledger", "entries", "newest_seal", "ok", "bad_index", "reason")
+
+
 _TAMPERED = f"""
 {_NUMBERED},
 bad AS (SELECT user_id, seq, CASE WHEN event_type = 'purchase' AND value > 20 THEN 'unreadable entry' WHEN event_type = 'signup' AND value > 15 THEN 'entry altered'
