@@ -68,44 +68,56 @@ def validate_claims(claims: DataFrame) -> DataFrame:
     return out.withColumn("type", F.when(F.col("_valid"), kind).otherwise("unmapped")).drop("_valid")
 
 
-def _verdict(rows: DataFrame, *steps: tuple[Column, str, Column]) -> DataFrame:
-    """Apply (condition, verdict, reason) steps in order."""
-    verdict, reason = None, None
-    for condition, value, text in steps:
-        verdict = F.when(condition, value) if verdict is None else verdict.when(condition, value)
-        reason = F.when(condition, text) if reason is None else reason.when(condition, text)
-    return rows.select("claim_id", verdict.alias("verdict"), reason.alias("reason"))
+_PLACES = "array<struct<file:string,line:bigint>>"
 
 
-def _counts(claims: DataFrame, before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Claims with how often their key occurs before and after.
+def _verdict(rows: DataFrame, *steps: tuple[Column, str, Column, str | None]) -> DataFrame:
+    """Apply (condition, verdict, reason, which count is the evidence) steps in order."""
+    none, nothing = F.lit(None), F.lit(0)
+    out = {"verdict": None, "reason": None, "evidence": None, "n_evidence": None}
+    for condition, value, text, side in steps:
+        places, count = (F.col(f"{side}_places"), F.col(side)) if side else (none, nothing)
+        for name, made in zip(out, (F.lit(value), text, places, count)):
+            out[name] = F.when(condition, made) if out[name] is None else out[name].when(condition, made)
+    evidence = F.coalesce(out["evidence"].cast(_PLACES), F.array().cast(_PLACES))
+    return rows.select("claim_id", out["verdict"].alias("verdict"), out["reason"].alias("reason"), evidence.alias("evidence"), out["n_evidence"].cast("long").alias("n_evidence"))
 
-    Facts are counted per key first (map-side), so a claim meets at most one row however often a
-    fact repeats; claims that leave a field open are counted on the coarser key.
+
+def _tally(claims: DataFrame, hits: DataFrame, keys: list[str], sides: tuple[str, ...] = ("was", "now")) -> DataFrame:
+    """Claims with ``was, now`` (how often their key occurs before and after) and the first places of each.
+
+    ``hits(*keys, side, file, line)`` are counted and ranked per key, both with a partial step before
+    the shuffle, so a claim meets one row and a task passes on few however often a fact repeats.
     """
-    both = before.withColumn("_b", F.lit(1)).withColumn("_a", F.lit(0)).unionByName(
-        after.withColumn("_b", F.lit(0)).withColumn("_a", F.lit(1))
-    )
-    per_key = both.groupBy(*keys).agg(F.sum("_b").alias("was"), F.sum("_a").alias("now"))
-    return claims.join(per_key, keys, "left").withColumn("was", F.coalesce("was", F.lit(0))).withColumn(
-        "now", F.coalesce("now", F.lit(0))
-    )
+    counted = hits.groupBy(*keys).agg(*[F.count_if(F.col("side") == s).alias(s) for s in sides])
+    first = top_per(hits.select(*keys, "side", F.col("file").alias("_f"), F.col("line").cast("long").alias("_l")), [*keys, "side"], [F.col("_f"), F.col("_l")], EVIDENCE_CAP, "_rank")
+    place = F.struct("_rank", F.struct(F.col("_f").alias("file"), F.col("_l").alias("line")).alias("place"))
+    listed = first.groupBy(*keys).agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, place))), lambda x: x["place"]).alias(f"{s}_places") for s in sides
+    ])
+    found = claims.join(counted, keys, "left").join(listed, keys, "left")
+    return found.withColumns({s: F.coalesce(s, F.lit(0)) for s in sides})
 
 
-def _with_presence(claims: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Presence counts of ``(repo, entity[, fact_type][, file])`` for removal and import claims."""
+def _both(before: DataFrame, after: DataFrame) -> DataFrame:
+    return before.withColumn("side", F.lit("was")).unionByName(after.withColumn("side", F.lit("now")))
+
 
-    def keyed(facts: DataFrame) -> DataFrame:
-        return facts.select("repo", F.col("type").alias("fact_type"), "file", "entity")
+def _with_presence(claims: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Presence of ``(repo, entity[, fact_type][, file])`` for removal and import claims, in one pass.
 
-    b, a = keyed(before), keyed(after)
-    parts = []
-    for typed in (True, False):
-        for filed in (True, False):
-            keys = ["repo", "entity"] + (["fact_type"] if typed else []) + (["file"] if filed else [])
-            chosen = claims.filter(F.col("fact_type").isNotNull() == typed).filter(F.col("file").isNotNull() == filed)
-            parts.append(_counts(chosen, b.select(*keys), a.select(*keys), keys))
-    return merge(parts)
+    Facts that no claim names leave first; the others count under those of their four keys (with or
+    without type and file) that a claim asks for.
+    """
+    keys = ["repo", "entity", "_type", "_file"]
+    keyed = claims.withColumns({"_type": F.coalesce("fact_type", F.lit("")), "_file": F.coalesce("file", F.lit(""))})
+    asked = keyed.select(*keys).distinct()
+    facts = _both(*[f.select("repo", "entity", "type", "file", "line") for f in (before, after)])
+    named = facts.join(asked.select("repo", "entity").distinct(), ["repo", "entity"], "left_semi")
+    open_ = F.lit("")
+    levels = F.array(*[F.struct(t.alias("_type"), f.alias("_file")) for t in (F.col("type"), open_) for f in (F.col("file"), open_)])
+    hits = named.select("repo", "entity", "side", "file", "line", F.explode(levels).alias("_k")).select("repo", "entity", "_k.*", "side", "file", "line")
+    return _tally(keyed, hits.join(asked, keys, "left_semi"), keys)
 
 
 def reference_keys(facts: DataFrame) -> DataFrame:
@@ -117,7 +129,7 @@ def reference_keys(facts: DataFrame) -> DataFrame:
     names = F.array_distinct(
         F.filter(F.concat(F.array("entity", "callee", "target"), F.coalesce(tails, F.array().cast("array<string>"))), lambda x: x.isNotNull())
     )
-    return facts.select("repo", F.explode(names).alias("entity"))
+    return facts.select("repo", F.explode(names).alias("entity"), "file", "line")
 
 
 def text_search(lines: DataFrame, needles: DataFrame) -> DataFrame:
@@ -139,7 +151,10 @@ def evaluate_claims(
     lines: DataFrame,
     unparsed: DataFrame | None = None,
 ) -> DataFrame:
-    """Verdict of each claim: ``(claim_id, verdict, reason)``.
+    """Verdict of each claim: ``(claim_id, verdict, reason, evidence, n_evidence)``.
+
+    ``evidence`` holds the first ``EVIDENCE_CAP`` places ``(file, line)`` that the verdict rests on, in
+    their order, ``n_evidence`` how many there are.
 
     ``claims(claim_id, repo, type, target, entity, file, route_path, fact_type)``; ``changed(repo,
     file)``; ``lines`` of the after-snapshot for the textual check. Every claim type is one equi-join
@@ -153,61 +168,58 @@ def evaluate_claims(
         checked = checked.join(bad, ["repo", "file"], "left").withColumn("_unparsed", F.coalesce("_unparsed", F.lit(False)))
     kind = F.col("type")
     text = {k: F.lit(v) for k, v in REASONS.items()}
-    unparsed_step = (F.col("_unparsed"), "unverifiable", F.format_string(REASONS["unparsed"], "file"))
+    unparsed_step = (F.col("_unparsed"), "unverifiable", F.format_string(REASONS["unparsed"], "file"), None)
     was, now = F.col("was"), F.col("now")
 
     imports_as_facts = checked.filter(kind.isin("fact_removed", "import_removed", "import_added")).withColumn(
         "entity", F.when(kind == "fact_removed", F.col("entity")).otherwise(F.col("target"))
     ).withColumn("fact_type", F.when(kind == "fact_removed", F.col("fact_type")).otherwise("import"))
-    counted = _with_presence(imports_as_facts, before, after)
-    removed = _verdict(
-        counted.filter(kind != "import_added"),
-        unparsed_step,
-        (was == 0, "unverifiable", text["never"]),
-        (now > 0, "contradicted", text["still"]),
-        (F.lit(True), "supported", text["gone"]),
-    )
-    added = _verdict(
-        counted.filter(kind == "import_added"),
+    adds = kind == "import_added"
+    presence = _verdict(
+        _with_presence(imports_as_facts, before, after),
         unparsed_step,
-        ((now > 0) & (was == 0), "supported", text["new"]),
-        (was > 0, "contradicted", text["existed"]),
-        (F.lit(True), "contradicted", text["absent"]),
+        (adds & (now > 0) & (was == 0), "supported", text["new"], "now"),
+        (adds & (was > 0), "contradicted", text["existed"], "was"),
+        (adds, "contradicted", text["absent"], None),
+        (was == 0, "unverifiable", text["never"], None),
+        (now > 0, "contradicted", text["still"], "now"),
+        (F.lit(True), "supported", text["gone"], "was"),
     )
 
-    routes = after.filter(F.col("route_path").isNotNull()).groupBy("repo", "route_path").agg(F.count(F.lit(1)).alias("now"))
+    asked_routes = checked.filter(kind == "route_exists")
+    routes = after.filter(F.col("route_path").isNotNull()).select("repo", "route_path", "file", "line", F.lit("now").alias("side"))
     route = _verdict(
-        checked.filter(kind == "route_exists").join(routes, ["repo", "route_path"], "left"),
-        (F.coalesce(now, F.lit(0)) > 0, "supported", text["route"]),
-        (F.lit(True), "unverifiable", text["no_route"]),
+        _tally(asked_routes, routes.join(asked_routes.select("repo", "route_path").distinct(), ["repo", "route_path"], "left_semi"), ["repo", "route_path"]),
+        (now > 0, "supported", text["route"], "now"),
+        (F.lit(True), "unverifiable", text["no_route"], None),
     )
 
     wanted = checked.filter(kind == "no_remaining_references")
-    structural = _counts(wanted, reference_keys(before), reference_keys(after), ["repo", "entity"])
+    entities = wanted.select("repo", "entity").distinct()
+    mentioned = _both(reference_keys(before), reference_keys(after)).join(entities, ["repo", "entity"], "left_semi")
+    structural = _tally(wanted, mentioned, ["repo", "entity"])
     open_entities = structural.filter((was > 0) & (now == 0)).select("repo", F.col("entity").alias("needle")).distinct()
-    mentions = text_search(lines, open_entities).groupBy("repo", F.col("needle").alias("entity")).agg(
-        F.count(F.lit(1)).alias("mentions")
-    )
+    mentions = text_search(lines, open_entities).select("repo", F.col("needle").alias("entity"), F.lit("mentions").alias("side"), "file", F.col("ln").alias("line"))
     references = _verdict(
-        structural.join(mentions, ["repo", "entity"], "left").withColumn("mentions", F.coalesce("mentions", F.lit(0))),
-        (was == 0, "unverifiable", text["no_entity"]),
-        (now > 0, "contradicted", F.format_string(REASONS["refs"], "now")),
-        (F.col("mentions") > 0, "unverifiable", F.format_string(REASONS["mentions"], "mentions")),
-        (F.lit(True), "supported", text["clean"]),
+        _tally(structural, mentions, ["repo", "entity"], ("mentions",)),
+        (was == 0, "unverifiable", text["no_entity"], None),
+        (now > 0, "contradicted", F.format_string(REASONS["refs"], "now"), "now"),
+        (F.col("mentions") > 0, "unverifiable", F.format_string(REASONS["mentions"], "mentions"), "mentions"),
+        (F.lit(True), "supported", text["clean"], None),
     )
 
     diff = changed.select("repo", "file").distinct().withColumn("_changed", F.lit(True))
     file_changed = _verdict(
         checked.filter(kind == "file_changed").join(diff, ["repo", "file"], "left"),
-        (F.coalesce("_changed", F.lit(False)), "supported", text["in_diff"]),
-        (F.lit(True), "contradicted", text["not_in_diff"]),
+        (F.coalesce("_changed", F.lit(False)), "supported", text["in_diff"], None),
+        (F.lit(True), "contradicted", text["not_in_diff"], None),
     )
     rest = _verdict(
         checked.filter(kind.isin("test_fixed", "unmapped")),
-        (kind == "test_fixed", "unverifiable", text["no_tests"]),
-        (F.lit(True), "unverifiable", text["unmapped"]),
+        (kind == "test_fixed", "unverifiable", text["no_tests"], None),
+        (F.lit(True), "unverifiable", text["unmapped"], None),
     )
-    return merge([removed, added, route, references, file_changed, rest])
+    return merge([presence, route, references, file_changed, rest])
 
 
 def claim_evidence(claims: DataFrame, facts: DataFrame, cap: int = EVIDENCE_CAP) -> DataFrame:
@@ -296,8 +308,15 @@ def overall(verdicts: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def change_rollup(changes: DataFrame) -> DataFrame:
-    """Uncovered changes per side, file and type, with subtotals per side (null = all)."""
-    return changes.groupBy("side", "file", "type").agg(F.count(F.lit(1)).alias("n"))
+    """``side, file, type, n, level``: uncovered changes per side, file and type, with subtotals.
+
+    ``level`` tells the rows apart: ``type``, or ``file`` and ``side`` for the subtotals over types and
+    over files, whose columns are null.
+    """
+    sets = changes.groupingSets([["side", "file", "type"], ["side", "file"], ["side"]], "side", "file", "type")
+    # A bit of the grouping id is set for each column left out.
+    level = F.element_at(F.create_map(F.lit(0), F.lit("type"), F.lit(1), F.lit("file"), F.lit(3), F.lit("side")), F.grouping_id("side", "file", "type").cast("int"))
+    return sets.agg(F.count(F.lit(1)).alias("n"), level.alias("level"))
 
 
 def rollup_report(changes: DataFrame, cap: int = 10) -> tuple[DataFrame, DataFrame]:
