@@ -368,3 +368,14 @@ def answer_tables(
     }
 
 
+def deepen(tables: dict[str, DataFrame], facts: DataFrame, verified: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A second, wider round for the questions that triage calls deep, and only for those.
+
+    ``tables`` are those of :func:`answer_tables`. Gives ``deep`` (the questions), ``retrieved`` and
+    ``hypotheses`` of the wider round, and ``facts``, what these hypotheses rest on in their order.
+    """
+    deep = cut_lineage(tables["triage"].filter(F.col("mode") == "deep").select("objective_id"), "deep")
+    of = {name: tables[name].join(deep, "objective_id", "left_semi") for name in ("keywords", "unknowns", "retrieved")}
+    found = cut_lineage(widen_retrieval(of["keywords"], of["unknowns"], of["retrieved"], facts), "retrieved")
+    scored = cut_lineage(score_hypotheses(form_hypotheses(found, verified)), "hypotheses")
+    return {"deep": deep, "retrieved": found, "hypotheses": scored, "facts": collect_deep_facts(top_hypotheses(scored, DEEP_CAP), found)}

@@ -217,22 +217,41 @@ def deep_evidence(spark, sf_dir):
     return picked.join(facts, "fact_id").select("objective_id", F.col("rank").cast("long").alias("rank"), "file", "line")
 
 
-@query("q39_triage", f"""
-    WITH {HYPOTHESES},
+TRIAGED = f"""
+    {HYPOTHESES},
     seen AS (SELECT DISTINCT objective_id, file, name FROM found JOIN page_facts USING (file, line, pos)),
     unk AS (SELECT objective_id, count(*) AS n FROM dk k WHERE NOT EXISTS (
       SELECT 1 FROM seen s WHERE s.objective_id = k.objective_id AND (contains(lower(file), keyword) OR contains(lower(name), keyword))) GROUP BY objective_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY objective_id ORDER BY confidence DESC, file) AS rank FROM hyp),
     s AS (SELECT o.objective_id, coalesce(max(confidence) FILTER (rank = 1), 0) AS top, max(confidence) FILTER (rank = 2) AS second, count(file) AS n_hyp FROM objectives o LEFT JOIN r USING (objective_id) GROUP BY 1),
-    t AS (SELECT s.*, coalesce(u.n, 0) AS n_unknown, CASE WHEN n_hyp > 1 THEN top - second END AS gap FROM s LEFT JOIN unk u USING (objective_id))
+    t AS (SELECT s.*, coalesce(u.n, 0) AS n_unknown, CASE WHEN n_hyp > 1 THEN top - second END AS gap FROM s LEFT JOIN unk u USING (objective_id)),
+    modes AS (SELECT *, CASE WHEN n_hyp = 0 OR gap < 0.15 OR n_unknown > 0 OR top < 0.6 THEN 'deep' ELSE 'shallow' END AS mode FROM t)"""
+
+
+@query("q39_triage", f"""
+    WITH {TRIAGED}
     SELECT objective_id, n_hyp AS n_hypotheses, n_unknown, top::DOUBLE AS confidence,
-      CASE WHEN n_hyp = 0 OR gap < 0.15 OR n_unknown > 0 OR top < 0.6 THEN 'deep' ELSE 'shallow' END AS mode,
+      mode,
       CASE WHEN n_hyp = 0 THEN 'no_hypotheses' ELSE concat_ws(',', CASE WHEN gap < 0.15 THEN 'ambiguous' END, CASE WHEN n_unknown > 0 THEN 'unknown_terms' END, CASE WHEN top < 0.6 THEN 'low_confidence' END) END AS reasons
-    FROM t""")
+    FROM modes""")
 def triage(spark, sf_dir):
     return answers(spark, sf_dir)["triage"].select("objective_id", "n_hypotheses", "n_unknown", "confidence", "mode", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query("q39_deep_answers", f"""
+    WITH {TRIAGED}
+    SELECT objective_id, count(r.file) AS n_facts, count(DISTINCT r.file) AS n_hypotheses, least(count(r.file), 60) AS n_cited
+    FROM modes JOIN raw_found r USING (objective_id) WHERE mode = 'deep' GROUP BY objective_id""")
+def deep_answers(spark, sf_dir):
+    """The second round of the questions that triage calls deep."""
+    t = answers(spark, sf_dir)
+    second = V.deepen(t, A.page_facts(spark, sf_dir))
+    cited = second["facts"].groupBy("objective_id").agg(F.count(F.lit(1)).alias("n_cited"))
+    found = second["retrieved"].groupBy("objective_id").agg(F.count(F.lit(1)).alias("n_facts"))
+    formed = second["hypotheses"].groupBy("objective_id").agg(F.count(F.lit(1)).alias("n_hypotheses"))
+    return found.join(formed, "objective_id").join(cited, "objective_id")
+
+
 @query("q39_outcomes", f"""
     WITH {HYPOTHESES} SELECT o.objective_id, CASE WHEN max(confidence) >= 0.5 THEN 'success' ELSE 'failure' END AS outcome FROM objectives o LEFT JOIN hyp USING (objective_id) GROUP BY 1""")
 def outcomes(spark, sf_dir):
