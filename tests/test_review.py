@@ -140,7 +140,7 @@ def test_brief(spark):
     assert shown.count() == 10 and rows(counts, "more", "not_approved") == [(2, 2)]
     log = spark.createDataFrame([("r", 1, "t1", "s1", "failure"), ("r", 2, "t2", "s2", "success"), ("r", 3, "t3", "s3", "reverted")], "repo string, ts long, task string, strategy string, outcome string")
     tries = spark.createDataFrame([("r", 9, "t4", "s4", "approved"), ("r", 9, "t5", "s5", "proposed")], "repo string, ts long, task string, strategy string, status string")
-    assert [r["task"] for r in B.brief_failures(log, tries).orderBy("age").collect()] == ["t4", "t3", "t1"]
+    assert [r["task"] for r in B.brief_failures(log, tries)[0].orderBy("age").collect()] == ["t4", "t3", "t1"]
 
 
 def test_closure_goes_to_the_end(spark):
