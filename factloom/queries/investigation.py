@@ -182,7 +182,7 @@ top AS (SELECT * FROM ranked WHERE rank <= 8)
       FROM top t JOIN found f ON f.objective_id = t.objective_id AND f.file = t.best_file JOIN page_facts p ON p.file = f.file AND p.line = f.line AND p.pos = f.pos) WHERE i <= 5),
     heading AS (SELECT objective_id, rank, arg_min(name, i) AS name FROM shown WHERE type = 'doc_heading' GROUP BY ALL)
     SELECT objective_id, rank, area, area AS insight, confidence, n_hyp AS n_hypotheses, total AS total_found,
-      CASE WHEN name IS NOT NULL THEN 'Documentation section: "' || name || '".' ELSE best_n || ' related fact(s) grouped under this path.' END AS why
+      CASE WHEN name IS NOT NULL THEN 'Explains: ' || name || '.' ELSE best_n || ' related facts lie here.' END AS why
     FROM top LEFT JOIN heading USING (objective_id, rank)""")
 def insights(spark, sf_dir):
     t = answers(spark, sf_dir)

@@ -174,15 +174,14 @@ def next_routes(spark, sf_dir):
     "q54_vue_components",
     """
     SELECT 'ui/page_' || page_id || '.vue' AS file, CASE WHEN page_id % 3 = 0 THEN 'Page' || page_id ELSE 'page_' || page_id END AS name,
-           CASE WHEN page_id % 3 = 0 THEN 2 + len(string_split(substr(html, 1, coalesce(nullif(strpos(html, '</nav>'), 0), 1) - 1), chr(10))) ELSE 1 END::BIGINT AS line
+           CASE WHEN page_id % 3 = 0 THEN 2 + len(string_split(regexp_replace(html, '(?i)</?script[^>]*>', '', 'g'), chr(10))) ELSE 1 END::BIGINT AS line
     FROM pages
     """,
 )
 def vue_components(spark, sf_dir):
-    """Templates from web pages: their text without scripts, and a script block for every third."""
+    """Templates from web pages: all of their text with the marks of scripts taken out, and a script block for every third."""
     pages = A.table(spark, sf_dir, "pages")
-    head = F.substring(F.col("html"), F.lit(1), F.greatest(F.locate("</nav>", F.col("html")), F.lit(1)) - 1)
-    head = F.regexp_replace(head, r"(?i)</?script[^>]*>", "")
+    head = F.regexp_replace("html", r"(?i)</?script[^>]*>", "")
     script = F.concat(F.lit("\n<script>\nexport default {\n  data() { return { name: 'no' } },\n  name: 'Page"), F.col("page_id").cast("string"), F.lit("',\n}\n</script>\n"))
     files = pages.select(
         F.lit(A.SHOP).alias("repo"), F.concat(F.lit("ui/page_"), F.col("page_id").cast("string"), F.lit(".vue")).alias("file"),

@@ -69,8 +69,8 @@ def test_overview_and_its_insights(spark):
     a = answer(ask(spark, "top five insights"), fs)
     assert {r["file"].split("/")[0] for r in a.retrieved.collect()} == {"lib", "srv"}
     got = {r["insight"]: r for r in a.insights.collect()}
-    assert got["srv/http"]["why_it_matters"] == "Defines routes: GET /h."
-    assert got["lib/core"]["why_it_matters"].startswith("Loads the external package `express` (require(\"express\"))") and got["lib/core"]["n_hypotheses"] == 22
+    assert got["srv/http"]["why_it_matters"] == "Serves GET /h."
+    assert got["lib/core"]["why_it_matters"].startswith("Relies on the external package `express` (require(\"express\"))") and got["lib/core"]["n_hypotheses"] == 22
     assert a.citations.filter("rank = 1").count() == 5 and a.totals.first()["total_found"] == 2
     report = {r["section"]: r for r in a.budget.collect()}
     assert report["hypotheses"]["kept"] == 23 and report["total"]["tokens"] > 0
