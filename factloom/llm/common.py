@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +63,44 @@ def mix(values: np.ndarray) -> np.ndarray:
         return values ^ (values >> np.uint64(32))
 
 
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system, as workers outlive tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(task: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``task`` with :func:`tidy` at its end."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from task(batches)
+        finally:
+            tidy()
+
+    return run
+
+
+#: Bytes of text that a task works on at a time; a longer text is a piece of its own.
+BATCH_BYTES = 1 << 22
+
+
+def by_bytes(batches: Iterator[pd.DataFrame], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pd.DataFrame]:
+    """The same rows in pieces of at most ``most`` characters of ``column``, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(batch[column].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy(dtype=np.int64))
+        low = 0
+        while low < len(batch):
+            before = ends[low - 1] if low else 0
+            high = max(int(np.searchsorted(ends, before + most, side="right")), low + 1)
+            yield batch if low == 0 and high == len(batch) else batch.iloc[low:high].reset_index(drop=True)
+            low = high
+
+
 def hash_sample(rows: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` rows of ``rows(doc_id, ...)``, an even sample by the hash of the id.
 

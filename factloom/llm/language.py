@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import has_letter, held_out, hash_sample
+from factloom.llm.common import by_bytes, has_letter, hash_sample, held_out, tidied
 
 UNKNOWN = "und"
 HIDDEN, STEPS = 8, 64
@@ -201,8 +201,8 @@ def identify(documents: DataFrame, network: Network | None) -> DataFrame:
     schema = documents.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             batch["lang_pred"], batch["score"] = classify(network, batch["text"].tolist())
             yield batch
 
-    return documents.select(*kept).mapInPandas(label, schema)
+    return documents.select(*kept).mapInPandas(tidied(label), schema)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WordHashes, mix
+from factloom.llm.common import WordHashes, by_bytes, mix, tidied
 from factloom.llm.components import connected_components
 from factloom.session import cut_lineage
 
@@ -93,7 +93,7 @@ def signatures(documents: DataFrame) -> DataFrame:
     """``doc_id, n, s1, s2, tokens, sketch`` per row; ``n, s1, s2`` tell sets apart (128 bits and the size)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             n, s1, s2, tokens, sketch = [], [], [], [], []
             for text in batch["text"].tolist():
                 found = shingle_set(text)
@@ -107,7 +107,7 @@ def signatures(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "s1": s1, "s2": s2, "tokens": tokens, "sketch": sketch})
         _WORDS.clear()
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, n long, s1 long, s2 long, tokens binary, sketch binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidied(sign), "doc_id long, n long, s1 long, s2 long, tokens binary, sketch binary")
 
 
 def _token_matrix(column: pd.Series) -> np.ndarray:
@@ -124,7 +124,7 @@ def _roots(nodes: DataFrame) -> DataFrame:
                 for c in coordinates:
                     yield pd.DataFrame({"key": mix(tokens[:, c] | np.uint64(tree * COORDINATES + c) << np.uint64(32)).view(np.int64), "node": batch["node"]})
 
-    return nodes.select("node", "tokens").mapInPandas(branch, "key long, node long")
+    return nodes.select("node", "tokens").mapInPandas(tidied(branch), "key long, node long")
 
 
 def _branches(members: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def _branches(members: DataFrame) -> DataFrame:
                 took = (drawn % np.uint64(3) == 0) if k else np.ones(len(key), dtype=bool)
                 yield pd.DataFrame({"key": child[took], "node": batch["node"].to_numpy()[took]})
 
-    return members.select("key", "node", "tokens").mapInPandas(branch, "key long, node long")
+    return members.select("key", "node", "tokens").mapInPandas(tidied(branch), "key long, node long")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, COORDINATES) for c in ("_sa", "_sb"))
             yield batch.loc[(x == y).mean(axis=1) >= LEAST_ESTIMATE, ["a", "b"]].drop_duplicates()
 
-    return known.mapInPandas(keep, "a long, b long")
+    return known.mapInPandas(tidied(keep), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
             yield batch.loc[[is_link(of(x), of(y)) for x, y in zip(batch["_ta"], batch["_tb"])], ["a", "b"]]
         _WORDS.clear()
 
-    return known.select("a", "b", "_ta", "_tb").mapInPandas(confirm, "a long, b long")
+    return known.select("a", "b", "_ta", "_tb").mapInPandas(tidied(confirm), "a long, b long")
 
 
 def _first(node: str) -> Column:
@@ -272,7 +272,7 @@ def _per_leaf(rows: DataFrame, schema: str, work) -> DataFrame:
         if held:
             yield work(pd.concat(held) if len(held) > 1 else held[0])
 
-    return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(run, schema)
+    return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(tidied(run), schema)
 
 
 def _sketches(leaf: pd.DataFrame) -> np.ndarray:
@@ -305,7 +305,7 @@ def _linking(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> Data
             yield pd.DataFrame({"node": batch["doc_id"], "shingles": found})
         _WORDS.clear()
 
-    sets = texts.mapInPandas(shorten, "node long, shingles binary").distinct()
+    sets = texts.mapInPandas(tidied(shorten), "node long, shingles binary").distinct()
     rows = members.join(nodes.select("node", "n", "sketch"), "node").join(sets, "node")
     # A node of several sets has several texts: sizes tell which belong together.
     rows = rows.filter((F.length("shingles") / 4).between(0.99 * F.col("n") - 4, F.col("n")))

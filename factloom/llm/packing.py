@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.runs import number_rows
+from factloom.llm.common import tidied
 from factloom.session import cut_lineage
 
 CAPACITY = 4096
@@ -121,7 +122,7 @@ def tokenize(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
         })
 
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInPandas(tidied(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Slot(NamedTuple):
@@ -245,7 +246,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield batch
 
     fields = ", ".join(f"{name} {kind}" for name, kind in pieces.dtypes)
-    return numbered.mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    return numbered.mapInPandas(tidied(place), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bwt import merge, transform
-from factloom.llm.common import mix
+from factloom.llm.common import by_bytes, mix, tidied
 from factloom.session import cut_lineage
 
 LENGTH = 200
@@ -128,7 +128,7 @@ def _spans_table(documents: DataFrame) -> DataFrame:
     """``anchor, span, doc_id, text_hash, at`` of all documents; ``at`` packs the anchor's place and the starts around it."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in by_bytes(batches, most=4 * CHUNK_BYTES):
             owner, place, first, last, anchor, span = spans_of([(t or "").encode("utf-8", "replace") for t in batch["text"].tolist()])
             ids = batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
             yield pd.DataFrame({
@@ -136,7 +136,7 @@ def _spans_table(documents: DataFrame) -> DataFrame:
                 "text_hash": batch["text_hash"].to_numpy()[owner], "at": place << 16 | (place - first) << 8 | (last - first),
             })
 
-    return _keyed(documents).mapInPandas(find, "anchor long, span long, doc_id long, text_hash long, at long")
+    return _keyed(documents).mapInPandas(tidied(find), "anchor long, span long, doc_id long, text_hash long, at long")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def _merged_starts(rows: DataFrame) -> DataFrame:
         return pd.DataFrame({"anchor": table["anchor"].to_numpy(), "span": table["span"].to_numpy(), "starts": starts})
 
     dealt = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor", "span")
-    return dealt.mapInPandas(work, "anchor long, span long, starts array<int>")
+    return dealt.mapInPandas(tidied(work), "anchor long, span long, starts array<int>")
 
 
 def _counted_starts(rows: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def _counted_starts(rows: DataFrame) -> DataFrame:
                 digests = [xxhash.xxh3_128_digest(text[i : i + LENGTH]) for i in range(len(text) - LENGTH + 1)]
                 yield pd.DataFrame({"anchor": anchor, "span": span, "n": n, "start": np.arange(len(digests), dtype=np.int32), "piece": digests})
 
-    found = rows.mapInPandas(pieces, "anchor long, span long, n long, start int, piece binary")
+    found = rows.mapInPandas(tidied(pieces), "anchor long, span long, n long, start int, piece binary")
     repeated = found.groupBy("anchor", "piece").agg(F.sum("n").alias("_n")).filter("_n > 1").select("anchor", "piece")
     kept = found.join(repeated, ["anchor", "piece"], "left_semi")
     pairs = F.flatten(F.transform(F.array_sort(F.collect_set("start")), lambda s: F.array(s, s)))
@@ -341,7 +341,7 @@ def _cut_strings(documents: DataFrame, per_row: DataFrame) -> DataFrame:
     # Equal rows name the same text: one of them is enough.
     wanted = _named(per_row, "_spans").hint("merge")
     joined = rows.join(wanted, _same("doc_id", "text_hash")).select("text", F.col("_repeats__spans").alias("_spans"))
-    found = joined.mapInPandas(cut, "anchor long, span long, n long, offset long, bytes binary")
+    found = joined.mapInPandas(tidied(cut), "anchor long, span long, n long, offset long, bytes binary")
     return found.dropDuplicates(["anchor", "span"]) if _has_equal_rows(documents) else found
 
 
