@@ -94,5 +94,5 @@ def test_the_rest_stands_alone():
         "assert set(e.oracle_sql()) <= set(q)\n"
     )
     assert subprocess.run([sys.executable, "-c", hide], cwd=ROOT, capture_output=True).returncode == 0
-    listed = "import __spark_entry__ as e; q = e.queries(); assert sum(n.startswith('op') for n in q) == 10 and 'pipeline' in q"
+    listed = "import __spark_entry__ as e; q = e.queries(); assert sum(n.startswith('op') for n in q) == 13 and 'pipeline' in q"
     assert subprocess.run([sys.executable, "-c", listed], cwd=ROOT, capture_output=True).returncode == 0
