@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bwt import merge, transform
-from factloom.llm.common import by_bytes, mix, tidied
+from factloom.llm.common import by_bytes, mix, tidied, tidy
 from factloom.session import cut_lineage
 
 LENGTH = 200
@@ -377,8 +377,13 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
         joined = with_starts(rows, "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
-    def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([without(t, s) for t, s in zip(texts, starts)], columns=list(added))
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts, starts in batches:
+                for part in by_bytes([pd.DataFrame({"text": texts, "starts": starts})], most=4 * CHUNK_BYTES):
+                    yield pd.DataFrame([without(t, s) for t, s in zip(part["text"], part["starts"])], columns=list(added))
+        finally:
+            tidy()
 
     return joined.withColumn("_repeats_cut", cut("text", "_repeats_starts")).select(*columns, *[F.col(f"_repeats_cut.{c}").alias(c) for c in added])
 
