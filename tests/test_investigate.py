@@ -121,4 +121,4 @@ def test_labels_merge_areas(spark):
                               "objective_id string, repo string, file string, n_facts long, n_drifted long, first_seq struct<ext_ord:int,file:string,line:int,pos:int>")
     scored = cut_lineage(investigate.score_hypotheses(h))
     got = {r["insight"]: (r["area"], r["n_hypotheses"]) for r in synthesis.label_areas(scored).collect()}
-    assert got == {"Documentation": ("docs/b", 3), "lib/q.js": ("lib/q.js", 1)}
+    assert got == {"Manuals": ("docs/b", 3), "lib/q.js": ("lib/q.js", 1)}
