@@ -117,12 +117,15 @@ def hash_sample(rows: DataFrame, limit: int) -> DataFrame:
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """``text, label`` of at most ``limit`` documents to learn from: not held out, with a text and a label 0 or 1.
 
-    A document with several label rows counts once for each.
+    A document with several label rows counts once for each, documents that share an id once each.
+    The bound holds for label rows before the join with the texts and again, by a hash of id and text,
+    for the rows after it, so that neither repeated labels nor repeated ids can exceed it.
     """
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
     picked = hash_sample(known, limit)
     rows = documents.filter(~held_out() & F.col("text").isNotNull()).select("doc_id", "text")
-    return rows.join(F.broadcast(picked), "doc_id").select("text", "label")
+    rows = rows.join(F.broadcast(picked), "doc_id")
+    return rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "label").limit(limit).select("text", "label")
 
 
 def per_key(rows: DataFrame, key: str, work: Callable[..., list[tuple]], columns: list[str], schema: str) -> DataFrame:

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import WORD_CACHE, labelled_sample
 from factloom.llm.near_duplicates import minwise, shingle_set
 
-#: Learning reads at most this many labelled documents and keeps at most this many terms.
-SAMPLE_DOCUMENTS, MAX_TERMS = 8000, 500
+#: Learning reads at most this many labelled documents; every term that passes the tests on them is kept.
+SAMPLE_DOCUMENTS = 8000
 THRESHOLD = 0.3
 WINDOW = 6
 _LEAST_RATIO, _LEAST_TEST = 3.0, 28.0
@@ -173,7 +173,7 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> Lexicon:
     """Words and stems that mark label 1: by document counts, a ratio and a likelihood ratio test.
 
     A stem goes where a shorter one holds, or where it says no more than one word. The words that a
-    stem holds stay beside it, for their misspelled forms, and do not count among ``MAX_TERMS``.
+    stem holds stay beside it, for their misspelled forms.
     """
     marked, plain = Counter(), Counter()
     n = [0, 0]
@@ -208,9 +208,8 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> Lexicon:
         elif term[-1] != "*":
             for stem in holding:
                 beside.setdefault(stem, []).append(term)
-    top = sorted(kept, key=lambda w: (-kept[w] * marked[w], w))[:MAX_TERMS]
-    words = [w for stem in top for w in beside.get(stem, ())]
-    return Lexicon({w: weights[w] for w in (*top, *words)})
+    words = [w for stem in kept for w in beside.get(stem, ())]
+    return Lexicon({w: weights[w] for w in (*kept, *words)})
 
 
 class Model:
@@ -275,12 +274,15 @@ def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
-    """Two thirds of the distinct rows give the lexicon, the rest the weights of the score."""
+    """Two thirds of the distinct rows give the lexicon, the rest the weights of the score.
+
+    Without rows nothing is known to be toxic: the lexicon is empty and every score is next to 0.
+    """
     rows = without_copies(rows)
     lexicon = learn_lexicon([r for i, r in enumerate(rows) if i % 3])
     rest = rows[::3]
     if not rest:
-        return Model(lexicon, np.zeros(FEATURES + 1))
+        return Model(lexicon, np.append(np.zeros(FEATURES), -30.0))
     x = np.array([context_features(lexicon, t) for t, _ in rest])
     return Model(lexicon, _fit(x, np.array([label for _, label in rest], dtype=float)))
 
@@ -292,7 +294,8 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", limit:
 def score_toxicity(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``score, predicted`` to ``documents(text, ...)``, without a shuffle; rows and other columns stay.
 
-    Null and empty texts have no matches and get the score of such a text. Columns of these two
+    Null and empty texts have no matches and get the score of such a text; a model learned without
+    labels predicts 0 for all. Columns of these two
     names in the input are replaced.
     """
     kept = [c for c in documents.columns if c not in ("score", "predicted")]

@@ -276,6 +276,26 @@ def test_best_bins_come_first():
     for p in points[:20]:
         walk = tree.leaves(p, tree.n_leaves)
         assert sorted(walk) == list(range(tree.n_leaves)) and walk[0] == tree.assign(p[None])[0]
-    visits = [K.calibrate(tree, points, 5, r) for r in (0.5, 0.9, 0.99)]
+    near = points[:100] @ points.T
+    places = [tree.assign(points[np.argsort(-line)[1:6]]) for line in near]
+    visits = [K.calibrate(tree, points[:100], places, r, r) for r in (0.5, 0.9, 0.99)]
     assert list(itertools.accumulate(visits, max)) == visits and visits[-1] <= tree.n_leaves
+    met = [set(tree.leaves(p, visits[1])) for p in points[:100]]
+    assert np.mean([len(set(own) - m) == 0 for own, m in zip(places, met)]) >= 0.9
+    rows = np.zeros(tree.n_leaves, dtype=int)
+    last = tree.leaves(points[0], tree.n_leaves)[-1]
+    rows[last] = 6
+    assert tree.leaves(points[0], 1, rows, 6)[-1] == last and K.calibrate(tree, points[:1], [np.zeros(0, int)]) == 1
     assert K.Tree(np.ones((500, 3)) / 3**0.5).n_leaves == 1
+
+
+def test_learning_without_labels_and_with_repeated_ids(spark):
+    from factloom.llm.common import labelled_sample
+
+    documents = spark.createDataFrame([(i % 4, f"text {i} of an id") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(4)], "doc_id long, toxic int, quality int")
+    assert labelled_sample(documents, labels, "toxic", 10).count() == 10
+    assert labelled_sample(documents, labels.limit(0), "toxic", 10).count() == 0
+    model = T.learn(documents, labels.limit(0))
+    assert {(round(r.score, 9), r.predicted) for r in T.score_toxicity(documents, model).collect()} == {(0.0, 0)}
+    assert {r.score for r in Q.score_quality(documents, Q.learn(documents, labels.limit(0))).collect()} == {0.5}
