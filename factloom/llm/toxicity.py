@@ -276,13 +276,13 @@ def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
 def train(rows: list[tuple[str, int]]) -> Model:
     """Two thirds of the distinct rows give the lexicon, the rest the weights of the score.
 
-    Without rows nothing is known to be toxic: the lexicon is empty and every score is next to 0.
+    Without rows the lexicon is empty and every score is 0.5, as nothing is known of either label.
     """
     rows = without_copies(rows)
     lexicon = learn_lexicon([r for i, r in enumerate(rows) if i % 3])
     rest = rows[::3]
     if not rest:
-        return Model(lexicon, np.append(np.zeros(FEATURES), -30.0))
+        return Model(lexicon, np.zeros(FEATURES + 1))
     x = np.array([context_features(lexicon, t) for t, _ in rest])
     return Model(lexicon, _fit(x, np.array([label for _, label in rest], dtype=float)))
 
@@ -295,7 +295,7 @@ def score_toxicity(documents: DataFrame, model: Model, threshold: float = THRESH
     """Adds ``score, predicted`` to ``documents(text, ...)``, without a shuffle; rows and other columns stay.
 
     Null and empty texts have no matches and get the score of such a text; a model learned without
-    labels predicts 0 for all. Columns of these two
+    labels scores 0.5 for all, which is over the threshold. Columns of these two
     names in the input are replaced.
     """
     kept = [c for c in documents.columns if c not in ("score", "predicted")]

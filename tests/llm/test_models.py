@@ -297,5 +297,5 @@ def test_learning_without_labels_and_with_repeated_ids(spark):
     assert labelled_sample(documents, labels, "toxic", 10).count() == 10
     assert labelled_sample(documents, labels.limit(0), "toxic", 10).count() == 0
     model = T.learn(documents, labels.limit(0))
-    assert {(round(r.score, 9), r.predicted) for r in T.score_toxicity(documents, model).collect()} == {(0.0, 0)}
+    assert {(round(r.score, 9), r.predicted) for r in T.score_toxicity(documents, model).collect()} == {(0.5, 1)}
     assert {r.score for r in Q.score_quality(documents, Q.learn(documents, labels.limit(0))).collect()} == {0.5}
