@@ -51,15 +51,24 @@ def code_lines(files: DataFrame) -> DataFrame:
     The text is cut into quoted pieces, comments and the rest; comments leave only their line ends,
     in ``bare`` quoted pieces too, and a list of parameters over several lines stands on its first.
     """
+    texts = code_texts(files.select("repo", "file", "content"))
+    return texts.select("repo", "file", F.posexplode(zipped_lines()).alias("_at", "_l")).select("repo", "file", (F.col("_at") + 1).alias("ln"), "_l.line", "_l.code", "_l.bare")
+
+
+def zipped_lines() -> Column:
+    """The lines of ``content``, ``code`` and ``bare`` side by side."""
+    return F.arrays_zip(*[F.split(c, "\n", -1).alias(n) for c, n in (("content", "line"), ("code", "code"), ("bare", "bare"))])
+
+
+def code_texts(files: DataFrame, where: Column | None = None) -> DataFrame:
+    """Add ``code`` and ``bare`` of whole files; null where ``where`` does not hold."""
     content = F.col("content")
     pieces = F.transform(
         F.regexp_extract_all(content, F.lit(_PIECES), F.lit(1)),
         lambda p: F.when(F.startswith(p, F.lit("/*")), F.regexp_replace(p, r"[^\n]", "")).when(F.startswith(p, F.lit("//")), F.lit("")).otherwise(p),
     )
     code = F.when(F.contains(content, F.lit("//")) | F.contains(content, F.lit("/*")), F.array_join(pieces, "")).otherwise(content)
-    texts = files.select("repo", "file", "content", code.alias("code")).withColumn("bare", joined_heads(bare_text(F.col("code"))))
-    each = F.arrays_zip(*[F.split(c, "\n", -1).alias(n) for c, n in (("content", "line"), ("code", "code"), ("bare", "bare"))])
-    return texts.select("repo", "file", F.posexplode(each).alias("_at", "_l")).select("repo", "file", (F.col("_at") + 1).alias("ln"), "_l.line", "_l.code", "_l.bare")
+    return files.withColumn("code", code if where is None else F.when(where, code)).withColumn("bare", joined_heads(bare_text(F.col("code"))))
 
 
 _OPENER = r"\A\s*(import|export)\b[^'\"]*\{[^}]*\z"
@@ -106,9 +115,9 @@ def _definition(line: Column) -> tuple[Column, Column]:
     return is_method, name
 
 
-def extract_calls(lines: DataFrame) -> DataFrame:
+def extract_calls(lines: DataFrame, stored: bool = False) -> DataFrame:
     """Identifier calls with the innermost function whose brackets enclose them (see :mod:`scopes`)."""
-    calls = calls_with_caller(clean_code(lines))
+    calls = calls_with_caller(lines if stored else clean_code(lines), stored)
     line = F.col("line")
     return raw_facts(
         calls.withColumnRenamed("ln", "_ln"), ORDER["code"], type=F.lit("function_call"), line=F.col("_ln"), confidence=path_confidence(F.col("file")),
@@ -125,6 +134,15 @@ _CLASS_COMPONENT = r"\A\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*
 _JSX = r"(?<![\w$.)\]])<(?:[A-Za-z][\w.:-]*(?:\s[^<>]*)?/?>|>|[A-Za-z][\w.:-]*\s*\z|[a-z][\w-]*\s+[\w-]+=)"
 
 
+_CLOSES = r"\A\s*[})]"
+
+
+def component_line(code: Column) -> Column:
+    """Lines that :func:`extract_components` looks at: definitions, tags and closing brackets."""
+    method, plain = _definition(code)
+    return code.rlike(_CLOSES) | code.rlike(_COMPONENT) | code.rlike(_CLASS_COMPONENT) | method | plain.isNotNull() | code.rlike(_JSX)
+
+
 def extract_components(lines: DataFrame) -> DataFrame:
     """Capitalised functions with a tag in their body, and ``extends (React.)Component`` classes.
 
@@ -141,7 +159,7 @@ def extract_components(lines: DataFrame) -> DataFrame:
         "repo", "file", "ln", "line", name.alias("fn"), any_name.isNotNull().alias("defines"),
         F.nullif(F.regexp_extract(line, _CLASS_COMPONENT, 1), F.lit("")).alias("cls"),
         line.rlike(_JSX).alias("jsx"), F.length(F.regexp_extract(line, r"\A(\s*)", 1)).alias("indent"),
-        line.rlike(r"\A\s*[})]").alias("closes"),
+        line.rlike(_CLOSES).alias("closes"),
     ).filter(F.col("defines") | F.col("cls").isNotNull() | F.col("jsx") | F.col("closes"))
     here = F.struct("ln", "line", "fn", "indent")
     owned = last_seen(marked, FILE, "ln", {

@@ -81,6 +81,12 @@ _CHILD_PROCESS = r"[\"'](?:node:)?child_process[\"']"
 _EXEC_CALL = r"(?<![\w$])(execSync|execFile|exec|spawn)\s*\(\s*([^\s)].*)\z"
 
 
+def shell_exec_line(code: Column) -> Column:
+    """Lines that :func:`shell_exec_findings` looks at: imports of the module, and calls."""
+    call = any_of(code, ("exec", "spawn")) & code.rlike(_EXEC_CALL)
+    return F.contains(code, F.lit("child_process")) | call
+
+
 def shell_exec_findings(lines: DataFrame) -> DataFrame:
     """Shell execution graded by how the command is built and whether a shell runs it.
 

@@ -124,6 +124,14 @@ def any_of(text: Column, literals: Sequence[str]) -> Column:
     return hit
 
 
+def pack_wants(pack: Pack, line: Column) -> Column:
+    """Does any pattern of the pack match the line."""
+    found = line.rlike("|".join(f"(?:{rule.pattern})" for slot in pack.slots for rule in slot))
+    if pack.skip:
+        found = ~line.rlike(pack.skip) & found
+    return any_of(line, pack.needs) & found if pack.needs else found
+
+
 def line_hits(pack: Pack, line: Column) -> Column:
     """Array of all facts one line gives under a pack."""
     index, parts = 0, []

@@ -38,19 +38,20 @@ class Scan:
 def scan(files: DataFrame, ignore: Sequence[str] = (), registry: Registry | None = None, incomplete: bool = False) -> Scan:
     """Scan ``files(repo, file, content)``.
 
-    The files are written once, partitioned by bucket, so every extractor reads its own bucket only;
-    facts are written once, since derived nodes, coverage and all later questions read them.
+    The files are read once and cut into what each extractor looks at; facts are written once, since
+    derived nodes, coverage and all later questions read them. ``Scan.files`` stays a view of the source.
     Repos without a supported file get no derived nodes and the status ``no_supported_files``.
     """
     registry = registry or Registry()
-    kept = cut_lineage(registry.bucketed(filter_ignored(files, ignore)), "files", "bucket")
-    raw, found, warnings = registry.run(kept)
+    kept = registry.bucketed(filter_ignored(files, ignore))
+    parts = registry.split(kept)
+    raw, found, warnings = registry.run(kept, parts=parts)
     raw = cut_lineage(raw.select(*RAW_FACT), "facts")
     raw, failed = split_errors(raw)
     warnings = warnings.unionByName(failed)
     facts = normalize_facts(raw)
-    stack = detect_stack(kept)
-    meta = coverage_stats(kept, warnings)
+    stack = detect_stack(parts.paths(), parts.project())
+    meta = coverage_stats(parts.paths(), warnings)
     if incomplete:
         meta = meta.withColumn("status", F.lit("timeout"))
     meta = meta.join(stack, "repo", "left")

@@ -1,7 +1,8 @@
 """The extractors of a scan, and how users add their own.
 
 An extractor is a function DataFrame -> DataFrame. Bucket extractors get the files of one bucket,
-project extractors all files of the corpus. All of them run in one job: their outputs are united.
+project extractors all files of the corpus. The corpus is read once and cut into what each built-in
+extractor looks at (see :mod:`factloom.operators.markers`); their outputs are united.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import extract, findings, packs
+from factloom.operators import extract, findings, markers, packs
 from factloom.operators.findings import FINDING
 from factloom.operators.rules import RAW_FACT, Pack, extract_lines, merge, raw_facts
 from factloom.sources.corpus import BUCKET_EXTENSIONS, assign_bucket, to_lines, unreadable_files
@@ -25,7 +26,11 @@ BUILTIN_EXTENSIONS = tuple(x for group in BUCKET_EXTENSIONS.values() for x in gr
 
 @dataclass(frozen=True)
 class Extractor:
-    """``kind`` is "facts" or "findings"; ``takes`` is "files" or "lines"."""
+    """``kind`` is "facts" or "findings"; ``takes`` is "files" or "lines".
+
+    Built-in ones may take "parts", "paths" or "project" of the corpus cut up instead. An own extractor of
+    the code bucket or of the project reads the corpus itself, once more.
+    """
 
     name: str
     bucket: str
@@ -46,10 +51,11 @@ def _latex(lines: DataFrame) -> DataFrame:
 
 def _builtin() -> list[Extractor]:
     return [
-        Extractor("file-facts", "files", "facts", extract.extract_code, takes="lines"),
-        Extractor("shell-exec", "files", "findings", findings.shell_exec_findings, takes="lines"),
+        Extractor("file-facts", "files", "facts", markers.code_facts, takes="parts"),
+        Extractor("shell-exec", "files", "findings", markers.code_shell, takes="parts"),
+        Extractor("secrets-files", "files", "findings", markers.code_secrets, takes="parts"),
         *[Extractor(f"secrets-{b}", b, "findings", findings.secret_findings, takes="lines")
-          for b in ("files", "shellFiles", "configFiles", "markdownFiles", "envFiles")],
+          for b in ("shellFiles", "configFiles", "markdownFiles", "envFiles")],
         Extractor("workflow", "configFiles", "findings", findings.workflow_findings),
         Extractor("shell", "shellFiles", "facts", _pack(packs.SHELL), takes="lines"),
         Extractor("config", "configFiles", "facts", extract.extract_config),
@@ -60,10 +66,10 @@ def _builtin() -> list[Extractor]:
         Extractor("latex", "latexFiles", "facts", _latex, (".tex", ".bib"), "lines"),
         Extractor("lean", "leanFiles", "facts", _pack(packs.LEAN), (".lean",), "lines"),
         Extractor("r-lang", "rFiles", "facts", extract.extract_r, (".r", ".rmd"), "lines"),
-        Extractor("next-routes", PROJECT, "facts", extract.extract_next_routes),
-        Extractor("vue-components", PROJECT, "facts", extract.extract_vue),
+        Extractor("next-routes", PROJECT, "facts", extract.extract_next_routes, takes="paths"),
+        Extractor("vue-components", PROJECT, "facts", extract.extract_vue, takes="project"),
         Extractor("dependencies", PROJECT, "findings",
-                  lambda files: findings.dependency_findings(files.filter(F.col("file") == "package.json"))),
+                  lambda files: findings.dependency_findings(files.filter(F.col("file") == "package.json")), takes="project"),
     ]
 
 
@@ -121,25 +127,44 @@ class Registry:
     def bucketed(self, files: DataFrame) -> DataFrame:
         return assign_bucket(files, self.extension_buckets())
 
-    def run(self, files: DataFrame, skip: Iterable[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def split(self, files: DataFrame, skip: Iterable[str] = ()) -> markers.Parts:
+        """Read ``files`` once and write what the extractors look at."""
+        skip = set(skip)
+        active = [e for e in self._extractors if e.name not in skip]
+        bucketed = self.bucketed(files) if "bucket" not in files.columns else files
+        return markers.split_corpus(bucketed, any(e.takes == "parts" for e in active), {e.bucket for e in active})
+
+    def _source(self, extractor: Extractor, files: DataFrame, parts: markers.Parts) -> DataFrame | markers.Parts:
+        if extractor.takes in ("parts", "paths", "project"):
+            return parts if extractor.takes == "parts" else getattr(parts, extractor.takes)()
+        if extractor.bucket == PROJECT:
+            return files
+        if extractor.bucket != markers.CODE:
+            source = parts.bucket(extractor.bucket)
+            return to_lines(source) if extractor.takes == "lines" else source
+        bucketed = self.bucketed(files) if "bucket" not in files.columns else files
+        source = bucketed.filter(F.col("content").isNotNull() & (F.col("bucket") == markers.CODE))
+        if extractor.takes != "lines":
+            return source
+        # Facts are read from code that is lexed file by file, so that comments over several lines are known.
+        return extract.code_lines(source) if extractor.kind == "facts" else to_lines(source)
+
+    def run(
+        self, files: DataFrame, skip: Iterable[str] = (), parts: markers.Parts | None = None
+    ) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(raw facts, raw findings, warnings) of ``files(repo, file, content)``.
 
         A file that cannot be read gives a warning and the scan goes on; an extractor whose plan
-        cannot even be built gives a project-level warning.
+        cannot even be built gives a project-level warning. ``parts`` may come from :meth:`split`.
         """
         skip = set(skip)
-        bucketed = self.bucketed(files) if "bucket" not in files.columns else files
-        readable = bucketed.filter(F.col("content").isNotNull())
+        parts = parts or self.split(files, skip)
         facts, found, failures = [], [], []
         for order, extractor in enumerate(self._extractors):
             if extractor.name in skip:
                 continue
-            source = files if extractor.bucket == PROJECT else readable.filter(F.col("bucket") == extractor.bucket)
-            if extractor.takes == "lines":
-                # Code is lexed file by file, so that block comments over several lines are known.
-                source = extract.code_lines(source) if extractor.bucket == "files" and extractor.kind == "facts" else to_lines(source)
             try:
-                out = extractor.extract(source)
+                out = extractor.extract(self._source(extractor, files, parts))
                 if extractor.kind == "facts":
                     missing = [c for c in ("repo", "type", "file", "line") if c not in out.columns]
                     if missing:
@@ -149,9 +174,9 @@ class Registry:
                     found.append(out.select(*FINDING))
             except Exception as error:  # noqa: BLE001 - one bad extractor must not end the scan
                 failures.append((extractor.name, str(error).split("\n")[0][:300]))
-        warnings = unreadable_files(bucketed.filter(F.col("bucket").isNotNull()))
+        warnings = unreadable_files(parts.paths().filter(F.col("bucket").isNotNull()))
         if failures:
-            repos = files.select("repo").distinct()
+            repos = parts.paths().select("repo").distinct()
             each = F.explode(F.array(*[F.struct(F.lit(n).alias("extractor"), F.lit(e).alias("error")) for n, e in failures])).alias("f")
             extra = repos.select("repo", F.lit("(project-level)").alias("file"), each).select("repo", "file", "f.extractor", "f.error")
             warnings = warnings.unionByName(extra)

@@ -195,13 +195,16 @@ def read_manifests(files: DataFrame) -> DataFrame:
     )
 
 
-def detect_stack(files: DataFrame) -> DataFrame:
-    """``stack(repo, project, has_next, has_express, has_react)``; repos without manifest included."""
+def detect_stack(files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
+    """``stack(repo, project, has_next, has_express, has_react)``; repos without manifest included.
+
+    ``manifests`` are the files to read package.json from, where ``files`` has paths only.
+    """
 
     def uses(name: str) -> Column:
         return F.coalesce(F.map_contains_key("deps", name) & (F.col("deps")[name] != ""), F.lit(False))
 
-    manifest = read_manifests(files).select(
+    manifest = read_manifests(files if manifests is None else manifests).select(
         "repo",
         F.col("name").alias("project"),
         uses("next").alias("n"),

@@ -7,7 +7,7 @@ from helpers import files, rows
 from pyspark.sql import functions as F
 from test_extract import EXPRESS
 
-from factloom.operators import derive, graph
+from factloom.operators import derive, extract, graph, markers
 from factloom.plans.scan import scan
 from factloom.registry import Extractor, Registry, guarded, validate_extractor
 from factloom.session import fresh_folder
@@ -130,3 +130,34 @@ def test_snapshots_round_trip_and_missing_ones(spark):
     assert [r["entry"] is None for r in snapshots.read_jsonl_log(spark, log, "a int").orderBy("raw").collect()] == [False, True]
     memory = snapshots.read_memory_documents(spark.createDataFrame([("r", "{broken"), ("s", '{"projectMemory": ["x"]}')], "repo string, content string"))
     assert rows(memory, "repo", "version", F.size("project_memory"), F.size("experience")) == [("r", 1, 0, 0), ("s", 1, 1, 0)]
+
+
+def test_a_scan_reads_the_corpus_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    contents = {**EXPRESS, **PACKAGE, "doc.md": "# T\n", "run.sh": "ls\n", "P.vue": "<script>\nexport default {name: 'Q'}\n</script>\n",
+                "exec.js": "const cp = require('child_process');\n/*\n cp.exec(`a ${b}`)\n*/\ncp.exec(`rm ${x}`);\n", "a.yml": "k: 1\n", "x.go": "x"}
+    fs = files(spark, contents)
+    s = scan(fs.mapInPandas(count, fs.schema))
+    for table in s.tables().values():
+        table.collect()
+    assert read.value == len(contents)
+    assert rows(s.findings, "file", "line") == [("exec.js", 5)]
+    assert rows(s.facts.filter("type = 'vue_component'"), "entity") == [("Q",)]
+
+
+def test_marked_lines_give_the_facts_of_whole_files(spark):
+    text = ("import {\n  a,\n} from './a';\nexport {\n  b\n} from './b';\n// import './no'\nimport z, { y } from \"z\"\n" "const r = require('r'), q = require(\"q\")\n/* useIt()\nimport './c'\n*/\n"
+            "class K extends React.Component {\n  render() {\n    return <div>{useThing(f(1))}</div>;\n  }\n}\n"
+            "const Box = (p) =>\n  <p>{g(p)}</p>\n\nfunction Outer(\n  a,\n  b\n) {\n  const inner = () => { h(); };\n  return (\n    <Box />\n  );\n}\n"
+            "app.get('/x', one);\nrouter.use('/y', two)\nconst s = 'app.get(\"/no\", x)'\n")
+    fs = files(spark, {f"f{i}.tsx": text * i for i in (1, 150)}).withColumn("bucket", F.lit("files"))
+    columns = ["file", "type", "line", "name", "target", "caller", "callee", "route_path", "evidence", "line_hash", "pos"]
+    want = extract.extract_code(extract.code_lines(fs)).select(*columns)
+    got = markers.code_facts(markers.split_corpus(fs)).select(*columns)
+    assert want.count() > 1000 and rows(got, *columns) == rows(want, *columns)
