@@ -161,3 +161,38 @@ def test_marked_lines_give_the_facts_of_whole_files(spark):
     want = extract.extract_code(extract.code_lines(fs)).select(*columns)
     got = markers.code_facts(markers.split_corpus(fs)).select(*columns)
     assert want.count() > 1000 and rows(got, *columns) == rows(want, *columns)
+
+
+def test_snapshots_commit_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "snap")
+
+    def tables(*repos):
+        facts = spark.createDataFrame([(r, i) for r in repos for i in range(3)], "repo string, id int")
+        return {"facts": facts, "findings": facts.filter("id > 5"), "meta": facts.select("repo").distinct()}
+
+    snapshots.write_snapshot(tables("1", "2"), path, "s1")
+    # A second attempt without the repository 2 replaces the first as a whole; an attempt that fails is not seen.
+    snapshots.write_snapshot(tables("1"), path, "s1")
+    broken = {**tables("9"), "meta": spark.createDataFrame([("9",)], "repo string").select("repo", F.raise_error(F.lit("lost")).cast("int").alias("x"))}
+    with pytest.raises(Exception, match="lost"):
+        snapshots.write_snapshot(broken, path, "s2")
+    assert snapshots.latest_snapshot_id(spark, path) == "s1" and snapshots.superseded_attempts(spark, path).count() == 1
+    back = snapshots.read_snapshot(spark, path)
+    assert rows(back["facts"], "repo", "id", "snapshot_id") == [("1", i, "s1") for i in range(3)]
+    assert back["findings"].count() == 0 and back["findings"].columns == ["repo", "id", "snapshot_id"]
+
+    many = [f"r{i}" for i in range(200)]
+    snapshots.write_snapshot(tables(*many), path, "s3")
+    back = snapshots.read_snapshot(spark, path, repos=["r7"])
+    assert rows(back["facts"], "repo", "id") == [("r7", i) for i in range(3)]
+    assert snapshots.read_snapshot(spark, path, "s1")["meta"].count() == 1 and snapshots.read_snapshot(spark, path, "s0") is None
+    files = snapshots.read_snapshot(spark, path)["facts"].inputFiles()
+    assert len(files) <= snapshots.REPO_BUCKETS and len(back["facts"].inputFiles()) >= 1
+    plan = back["facts"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(repo_bucket" in plan or "PartitionFilters: [isnotnull(repo_bucket" in plan
+
+    os.remove(files[0].removeprefix("file://").replace("%3D", "="))
+    for f in files[1:]:
+        os.remove(f.removeprefix("file://").replace("%3D", "="))
+    with pytest.warns(UserWarning, match="cannot be read"):
+        assert snapshots.read_snapshot(spark, path) is None
