@@ -124,6 +124,10 @@ class Registry:
     def extension_buckets(self) -> dict[str, str]:
         return {x.lower(): e.bucket for e in self._extractors for x in e.extensions}
 
+    def text_endings(self) -> tuple[str, ...]:
+        """Endings of files whose text a scan reads; others are only counted."""
+        return (*BUILTIN_EXTENSIONS, *self.extension_buckets(), "package.json")
+
     def bucketed(self, files: DataFrame) -> DataFrame:
         return assign_bucket(files, self.extension_buckets())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +30,19 @@ ENV_NAME = r"(?i)\A\.env(\..+)?\z"
 NEXT_CONFIG_NAMES = ("next.config.js", "next.config.ts", "next.config.mjs")
 
 
-def read_corpus(spark: SparkSession, roots: Mapping[str, str], glob: str | None = None) -> DataFrame:
+def read_corpus(
+    spark: SparkSession, roots: Mapping[str, str], glob: str | None = None, ignore: Sequence[str] | None = None,
+    texts: Sequence[str] | None = None,
+) -> DataFrame:
     """Files below each root as ``files(repo, file, content, size, mtime)``.
 
     ``roots`` maps a repository name to its folder. Dot folders and dot files are left out, except
     ``.env*``; undecodable bytes become replacement characters. Spark's own file source hides names
     that start with '.' or '_', so the ``source_tree`` data source does the listing.
+
+    ``ignore`` gives the patterns of :func:`filter_ignored` to the listing (the defaults with them), which
+    then does not enter such folders. ``texts`` names the endings whose text is read (see
+    ``Registry.text_endings``); other files are listed with a null content and not opened.
     """
     from factloom.sources.tree import SourceTree
 
@@ -44,6 +52,11 @@ def read_corpus(spark: SparkSession, roots: Mapping[str, str], glob: str | None
         reader = spark.read.format("source_tree").option("path", root)
         if glob:
             reader = reader.option("glob", glob)
+        if ignore is not None:
+            # Python's patterns write the end of a text with a capital letter.
+            reader = reader.option("ignore", json.dumps([p.replace(r"\z", r"\Z") for p in _ignore_patterns([*DEFAULT_IGNORES, *ignore])]))
+        if texts is not None:
+            reader = reader.option("texts", json.dumps(list(texts)))
         parts.append(reader.load().withColumn("repo", F.lit(repo)))
     out = parts[0]
     for part in parts[1:]:
@@ -70,8 +83,8 @@ def read_corpus_binary(spark: SparkSession, root: str, repo: str, glob: str = "*
     ).filter(~F.col("file").rlike(r"(^|/)\.[^/]*/"))
 
 
-def _ignore_condition(patterns: Iterable[str], file: Column) -> Column:
-    """One predicate for all patterns: exact names, path prefixes, globs."""
+def _ignore_patterns(patterns: Iterable[str]) -> list[str]:
+    """Regular expressions of all patterns: exact names, path prefixes, globs. A folder that one finds is ignored whole."""
     names, prefixes, globs = [], [], []
     for raw in patterns:
         pattern = str(raw).replace("\\", "/")
@@ -82,14 +95,22 @@ def _ignore_condition(patterns: Iterable[str], file: Column) -> Column:
             prefixes.append(_escape(pattern.rstrip("/")))
         else:
             names.append(_escape(pattern))
-    hit = F.lit(False)
+    found = []
     if names:
-        hit = hit | file.rlike(rf"(^|/)({'|'.join(names)})(/|\z)")
+        found.append(rf"(^|/)({'|'.join(names)})(/|\z)")
     if prefixes:
-        hit = hit | file.rlike(rf"\A({'|'.join(prefixes)})(/|\z)")
+        found.append(rf"\A({'|'.join(prefixes)})(/|\z)")
     for pattern in globs:
         # A glob may meet a whole path, a leading folder path, or any single name on the way.
-        hit = hit | file.rlike(rf"\A({pattern})(/|\z)") | file.rlike(rf"(^|/)({pattern.replace('.*', '[^/]*')})(/|\z)")
+        found += [rf"\A({pattern})(/|\z)", rf"(^|/)({pattern.replace('.*', '[^/]*')})(/|\z)"]
+    return found
+
+
+def _ignore_condition(patterns: Iterable[str], file: Column) -> Column:
+    """One predicate for all patterns."""
+    hit = F.lit(False)
+    for pattern in _ignore_patterns(patterns):
+        hit = hit | file.rlike(pattern)
     return hit
 
 

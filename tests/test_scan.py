@@ -196,3 +196,25 @@ def test_snapshots_commit_as_a_whole(spark, tmp_path):
         os.remove(f.removeprefix("file://").replace("%3D", "="))
     with pytest.warns(UserWarning, match="cannot be read"):
         assert snapshots.read_snapshot(spark, path) is None
+
+
+def test_the_listing_skips_what_nobody_reads(spark, tmp_path):
+    from factloom.sources.tree import SourceTree
+
+    names = [f"flat/f{i:03}.js" for i in range(40)] + ["node_modules/x/i.js", "gen/deep/a.js", "gen/b.min.js", "big.bin", "package.json", ".env", "A.MD"]
+    for name in names:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x" * 1000)
+    os.chmod(tmp_path / "big.bin", 0)
+    got = corpus.read_corpus(spark, {"r": str(tmp_path)}, ignore=["gen/deep", "*.min.js"], texts=Registry().text_endings())
+    want = corpus.filter_ignored(corpus.read_corpus(spark, {"r": str(tmp_path)}), ["gen/deep", "*.min.js"])
+    assert rows(got, "file") == rows(want, "file") and got.count() == 44
+    assert rows(got.filter("content IS NULL"), "file") == [("big.bin",)]
+    # A flat folder is cut by bytes into ranges of names that cover it once; a small tree is one piece.
+    options = {"path": str(tmp_path), "splitBytes": str(50_000)}
+    reader = SourceTree(options).reader(None)
+    pieces = reader.partitions()
+    assert 4 <= len(pieces) <= 7 and len(SourceTree({"path": str(tmp_path)}).reader(None).partitions()) == 1
+    seen = [f for p in pieces for batch in reader.read(p) for f in batch.column("file").to_pylist()]
+    assert sorted(seen) == sorted(names)
