@@ -191,3 +191,17 @@ def test_normalized_facts_have_stable_ids(spark):
     assert one.select("id").distinct().count() == one.count()
     entity = {r["type"]: r["entity"] for r in one.filter("file = 'server.js'").collect()}
     assert entity["express_route"] in ("/health", "/users") and entity["import"] in ("express", "./routes/users")
+
+
+def test_imports_shuffle_only_lines_with_lists(spark):
+    """Lines that neither open nor close a list are read in one narrow pass, their text cleaned once."""
+    rows = [("r", "a.js", 1, 'import a from "./a.js"; // one'), ("r", "a.js", 2, "export {"), ("r", "a.js", 9000, '} from "./b.js";'), ("r", "a.js", 9001, "import {"),
+            ("r", "a.js", 20000, '} from "./c.js"; // two'), ("r", "b.js", None, 'const d = require("./d.js");'), ("r", "b.js", 3, None)]
+    lines = spark.createDataFrame(rows, "repo string, file string, ln long, line string")
+    found = extract.extract_imports(lines)
+    assert sorted((r["file"], r["line"], r["target"]) for r in found.collect() if r["line"]) == [("a.js", 1, "./a.js"), ("a.js", 20000, "./c.js")]
+    assert [r["target"] for r in found.collect() if r["line"] is None] == ["./d.js"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" in plan and "Generate explode(" not in plan[plan.rindex("Window ["):]
+    narrow = extract_lines(extract.clean_code(lines), packs.CODE_IMPORTS, "code")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "regexp_replace" in line for line in narrow.splitlines())
