@@ -13,7 +13,7 @@ vectors of their leaves in blocks of bounded size on both sides.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,8 @@ LEAF_ROWS, SPLIT_SAMPLE, TREE_BYTES = 1024, 1024, 1 << 26
 RECALL, WHOLE, TRIALS = 0.98, 0.95, 300
 #: Vectors and queries of one leaf that meet in one group.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
+#: Visits (a query with its vector, once per leaf) that a task holds at a time.
+VISIT_BLOCK = 16_384
 #: Scores are compared to this many decimals; beyond, they are ties.
 DECIMALS = 12
 
@@ -59,6 +61,14 @@ class Tree:
             todo.extend((child, rows[owner == k]) for k, child in enumerate(self._grow(node, centres)))
         self._number()
 
+    def __getstate__(self) -> dict:
+        """Tasks get the matrix of centres only; the list, which grows on the driver, would be a second copy."""
+        return {**self.__dict__, "centres": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        self.centres = list(self.matrix)
+
     def _grow(self, node: int, centres: list[np.ndarray]) -> list[int]:
         first = len(self.centres)
         self.children[node] = list(range(first, first + len(centres)))
@@ -251,6 +261,31 @@ def exact_places(own: DataFrame, trials: np.ndarray, k: int) -> list[np.ndarray]
     return [np.array(p, dtype=np.int64) for p in places]
 
 
+def visits_of(batch: pd.DataFrame, leaves: Callable[[np.ndarray], list[int]], most: int = VISIT_BLOCK) -> Iterator[pd.DataFrame]:
+    """``leaf, id, vector`` of every leaf that the queries ``batch(id, vector)`` visit, at most ``most`` rows at a time.
+
+    Where neighbours are not clustered a query visits most leaves, so the visits of one batch have no bound.
+    """
+    rows, found, n = [], [], 0
+
+    def block() -> pd.DataFrame:
+        at = np.repeat(rows, [len(f) for f in found])
+        return pd.DataFrame({"leaf": np.concatenate(found), "id": batch["id"].to_numpy()[at], "vector": batch["vector"].to_numpy()[at]})
+
+    for row, point in enumerate(_unit(_stack(batch["vector"])) if len(batch) else ()):
+        left = np.array(leaves(point), dtype=np.int32)
+        while len(left):
+            part, left = left[: most - n], left[most - n :]
+            rows.append(row)
+            found.append(part)
+            n += len(part)
+            if n == most:
+                yield block()
+                rows, found, n = [], [], 0
+    if n:
+        yield block()
+
+
 def fit(vectors: DataFrame, k: int, sample: int = SAMPLE) -> tuple[Tree, DataFrame, int] | None:
     """The tree, ``leaf, id, vector`` of all of ``vectors(id, vector)``, and the leaves to visit; None without rows."""
     points = _sample(vectors, sample)
@@ -292,8 +327,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["leaf"] = [tree.leaves(p, visits, held, k + 1) for p in _unit(_stack(batch["vector"]))]
-            yield batch.explode("leaf")[["leaf", "id", "vector"]].astype({"leaf": np.int32})
+            yield from visits_of(batch, lambda point: tree.leaves(point, visits, held, k + 1))
 
     def blocks(found: DataFrame, size: int, name: str) -> DataFrame:
         """Splits leaves into blocks of about ``size`` rows; counts are one row per leaf."""

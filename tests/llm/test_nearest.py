@@ -1,5 +1,7 @@
 """Recall of the nearest neighbours on whole tables of several shapes, depth of the tree."""
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -57,3 +59,16 @@ def test_fewer_candidates_than_leaves_visited(spark):
     table = spark.createDataFrame([(i, [float(i == k) for k in range(9)]) for i in range(9)], "vec_id long, embedding array<double>")
     got = K.search(table, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+
+
+def test_visits_come_in_bounded_blocks():
+    """However many leaves queries visit, a task holds a block of visits; the tree travels without its list of centres."""
+    batch = pd.DataFrame({"id": [7, 8, 9], "vector": [np.array([1.0, 0.0]), np.array([0.0, 1.0]), np.array([1.0, 1.0])]})
+    blocks = list(K.visits_of(batch, lambda point: list(range(int(point[0] > 0) * 25 + 5)), most=16))
+    assert [len(b) for b in blocks] == [16, 16, 16, 16, 1]
+    together = pd.concat(blocks)
+    assert together.groupby("id")["leaf"].apply(list).to_dict() == {7: list(range(30)), 8: list(range(5)), 9: list(range(30))}
+    assert all((v == batch.set_index("id")["vector"][i]).all() for i, v in zip(together["id"], together["vector"]))
+    tree = K.Tree(np.eye(80))
+    assert tree.__getstate__()["centres"] is None
+    assert (pickle.loads(pickle.dumps(tree)).assign(np.eye(80)) == tree.assign(np.eye(80))).all()
