@@ -12,8 +12,11 @@ triple from the index of sums that are available; otherwise the longest length t
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
@@ -28,50 +31,83 @@ from factloom.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks and words remembered within a task; forgotten at its end, as workers outlive tasks.
-CHUNK_CACHE = 1 << 19
+#: Chunks remembered within a task, twice at most; forgotten at its end, as workers outlive tasks.
+CHUNK_CACHE = 3 << 16
 
-_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
+#: Chunks of Latin letters, digits and ASCII signs, and the token groups in them once they are in lower case.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-/:-@\[-`{-~]*")
+_GROUPS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: Steps of a tokenizers file under which ``_GROUPS`` are words of its model.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _byte_signs() -> dict[int, str]:
+    """How byte-level models spell Latin letters that are not ASCII: a sign for each byte."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(0x100) if b not in set(own)]
+    signs = {b: chr(b) for b in own} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+    return {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0xA1, 0x100)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
+def _has_known_steps(tokenizer) -> bool:
+    """Whether a file's steps are those known here, so that groups can go to its model one by one."""
+    steps = json.loads(tokenizer.to_str())
+    return (
+        (steps["normalizer"] or {}).get("normalizers") == _NORMALIZERS
+        and (steps["pre_tokenizer"] or {}).get("pretokenizers") == _PRE_TOKENIZERS
+        and steps["post_processor"] is None and steps["truncation"] is None and steps["padding"] is None
+        and all("<|" in token["content"] for token in steps["added_tokens"])
+    )
 
 
 class _Ids(dict):
-    """Ids (little-endian, 4 bytes each) of a chunk between blanks, remembered for up to ``CHUNK_CACHE`` chunks.
+    """Ids (little-endian, 4 bytes each) of a chunk between blanks; the last ``CHUNK_CACHE`` and those used since are kept.
 
-    Tokens never reach over white space, so a text's ids are those of its chunks in order. An ASCII
-    chunk is lower-cased as the tokenizer does, and the run of signs after its last letter or digit
-    is a token group of its own.
+    Tokens never reach over white space, so a text's ids are those of its chunks in order. Where the
+    tokenizer's steps are known, a plain chunk is split into its groups here and new groups go
+    straight to the model: most of a new word's time is spent in the steps before it.
     """
 
     def __init__(self, tokenizer):
-        self.encode, self.words = tokenizer.encode, {}
-
-    def _direct(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CHUNK_CACHE:
-                self.words.clear()
-            found = self.words[word] = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return found
+        self.encode, self.older = tokenizer.encode, {}
+        self.model = tokenizer.model if _has_known_steps(tokenizer) else None
 
     def forget(self) -> None:
         self.clear()
-        self.words.clear()
+        self.older = {}
+
+    def _of_model(self, group: str) -> bytes:
+        return array("I", [token.id for token in self.model.tokenize(group if group.isascii() else group.translate(_BYTE_SIGNS))]).tobytes()
+
+    def _new(self, chunk: str) -> bytes:
+        if self.model is not None:
+            letters = chunk.rstrip(_SIGNS)
+            if letters.isalpha() and (letters.isascii() or max(letters) <= "ÿ"):
+                low = letters.lower()
+                if len(low) < len(chunk):
+                    return self[low] + self[chunk[len(low) :]]
+                return self._of_model(chunk) if low == chunk else self[low]
+            if "<|" not in chunk and _PLAIN.fullmatch(chunk):
+                groups = _GROUPS.findall(chunk.lower())
+                return self._of_model(chunk) if groups == [chunk] else b"".join(map(self.__getitem__, groups))
+        return array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self._new(chunk)
         if len(self) >= CHUNK_CACHE:
+            self.older = self.copy()
             self.clear()
-        found = None
-        if chunk.isascii() and "<|" not in chunk:
-            chunk_low = chunk.lower()
-            base = chunk_low.rstrip(_PUNCTUATION)
-            if base and base[-1].isalnum():
-                found = self._direct(base)
-                if len(base) < len(chunk_low):
-                    found += self._direct(chunk_low[len(base) :])
-            else:
-                found = self._direct(chunk_low)
-        if found is None:
-            found = self._direct(chunk)
         self[chunk] = found
         return found
 

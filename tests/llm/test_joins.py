@@ -149,6 +149,21 @@ def test_tokens_are_the_tokenizers():
         assert np.frombuffer(P.text_ids(text, TOKENIZER), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_go_straight_to_the_model_and_few_are_kept(monkeypatch):
+    """Letters, digits and signs need no step of the tokenizer; beyond the bound older chunks are forgotten."""
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    words = ["Straße,", "NIÑO!?", "ªµº×÷", "don't", "it's's", "a1b22", "x<|>y", "'re'Re", "3/4%", "Öl"] + [f"w{c}{d}" for c in "abcé" for d in "xyzÿ"]
+    want = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    monkeypatch.setattr(P, "CHUNK_CACHE", 8)
+    ids, calls = P._Ids(tokenizer), []
+    monkeypatch.setattr(ids, "encode", lambda *a, **k: calls.append(a) or tokenizer.encode(*a, **k))
+    for _ in range(2):
+        for word, found in zip(words, want):
+            assert np.frombuffer(ids[word], "<u4").tolist() == found
+            assert len(ids) + len(ids.older) <= 16 + 1
+    assert {a[0] for a in calls} <= {"ªµº×÷", "x<|>y"}
+
+
 def check_plan(counts, capacity=4096):
     used, fill = collections.Counter(), collections.defaultdict(list)
     for s in P.pack_lengths(counts, capacity):
