@@ -1,6 +1,7 @@
 """Questions and answers."""
 
 import math
+import re
 
 from helpers import rows
 from pyspark.sql import functions as F
@@ -42,6 +43,25 @@ def test_word_forms(spark):
     assert got == {"routing": ["routing", "route", "router"], "tests": ["tests", "test"], "bus": ["bus"], "doing": ["doing"], "linking": ["linking", "linke", "linker"]}
 
 
+def test_pairs_of_questions_and_facts_are_distinct_without_a_shuffle(spark, monkeypatch):
+    """A fact and a question that share several forms meet once; frequent forms are dealt over tasks; repeated rows stay."""
+    monkeypatch.setattr(investigate, "FORM_HITS", 2)
+    names = ["alpha beta", "beta gamma", "alpha", "gamma testing", "omega", "betas"]
+    items = [{"id": f"f{i % 7}" if i < 9 else None, "file": f"{'tests' if i % 7 % 3 == 0 else 'src'}/{i % 7}.js", "line": i % 7, "name": names[i % 7 % 6]} for i in range(10)]
+    words = [("o0", "r", "alpha"), ("o0", "r", "beta"), ("o1", "r", "betas"), ("o1", "r", "gamma"), ("o2", "r", "testing"), ("o3", "r", "nothing"), ("o4", "s", "alpha")]
+    keywords = spark.createDataFrame(words, "objective_id string, repo string, keyword string")
+    fs = cut_lineage(facts(spark, *items), "facts")
+    raw, tiered = investigate.retrieve_raw(keywords, fs), investigate.retrieve_tiered(keywords, fs)
+    forms = {"o0": ["alpha", "beta"], "o1": ["betas", "beta", "gamma"], "o2": ["testing", "teste", "tester"]}
+    want = sorted((o, i["id"], i["file"]) for o, f in forms.items() for i in items if i["id"] and any(w in f"{i['file']} {i['name']}" for w in f))
+    assert rows(raw, "objective_id", "id", "file") == want
+    code = {o for o, _, file in want if file.startswith("src") and o != "o2"}
+    assert rows(tiered, "objective_id", "id", "file") == [w for w in want if w[0] not in code or w[2].startswith("src")]
+    for found in (raw, tiered):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Aggregate \[objective_id#\d+, id#", plan)
+
+
 def test_tiers_prefer_production_code(spark):
     fs = facts(spark, {"file": "lib/auth.js"}, {"file": "examples/auth-example.js"}, {"file": "billing.js"}, {"file": "test/auth.test.js"}, {"file": "docs/auth.md", "type": "doc_heading"})
     t = investigate.answer_tables(ask(spark, "how is auth done", "auth examples", "nothing matches zebra"), fs)
