@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WordHashes, by_bytes, mix, tidied
+from factloom.llm.common import by_bytes, mix, tidied, word_hashes
 from factloom.llm.components import connected_components
 from factloom.session import cut_lineage
 
@@ -52,8 +52,8 @@ _ODD = _draw.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) +
 _ROOTS = np.split(np.arange(TREES + (TREES + 2) // 3), np.cumsum([2 if t % 3 == 0 else 1 for t in range(TREES)])[:-1])
 _TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
-#: Forgotten at the end of each task, as workers outlive tasks.
-_WORDS = WordHashes()
+#: Leaves of at most so many rows are compared together, all rows some places apart at once.
+SMALL_LEAF = 64
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -61,13 +61,17 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    hashes = _WORDS.of(words)
+    hashes = word_hashes(words)
     n = max(len(words) - size + 1, 1)
     with np.errstate(over="ignore"):
         total = np.full(n, np.uint64(min(len(words), size)))
         for k in range(min(size, len(words))):
             total += mix(hashes[k : k + n] ^ _TIMES[k % len(_TIMES)]) * _TIMES[(k + 1) % len(_TIMES)]
-    return np.unique(mix(total))
+    found = mix(total)
+    found.sort()
+    new = np.ones(n, dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
@@ -105,7 +109,6 @@ def signatures(documents: DataFrame) -> DataFrame:
                 tokens.append(None if best is None else best.tobytes())
                 sketch.append(None if best is None else (best & 255).astype(np.uint8).tobytes())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "s1": s1, "s2": s2, "tokens": tokens, "sketch": sketch})
-        _WORDS.clear()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidied(sign), "doc_id long, n long, s1 long, s2 long, tokens binary, sketch binary")
 
@@ -180,7 +183,6 @@ def _confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
         for batch in batches:
             yield batch.loc[[is_link(of(x), of(y)) for x, y in zip(batch["_ta"], batch["_tb"])], ["a", "b"]]
-        _WORDS.clear()
 
     return known.select("a", "b", "_ta", "_tb").mapInPandas(tidied(confirm), "a long, b long")
 
@@ -211,6 +213,15 @@ def _blocks(members: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), "node", "component")
 
 
+def _equal_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places sketches, or equal halves of them, have the same byte."""
+    found = (a == b).view(np.uint64)
+    while found.shape[1] > 1:
+        half = found.shape[1] // 2
+        found = found[:, :half] + found[:, half:]
+    return (found[:, 0] * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
 def likely_across(component: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Per row outside the largest component, the rows of other components that sizes and sketches do not rule out.
 
@@ -219,17 +230,43 @@ def likely_across(component: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> I
     _, group, counts = np.unique(component, return_inverse=True, return_counts=True)
     outside = group != counts.argmax()
     most = counts.max()
+    # Two sketches with enough equal places have at least so many in the first half.
+    half, least = np.ascontiguousarray(sketch[:, : COORDINATES // 2]), LEAST_ESTIMATE * COORDINATES - COORDINATES // 2
     for i in np.flatnonzero(outside).tolist():
         ok = (group != group[i]) & (100 * np.minimum(n[i], n) >= PERCENT * np.maximum(n[i], n))
         if most < len(n):
             ok[:i] &= ~outside[:i]
         j = np.flatnonzero(ok)
         if len(j):
-            j = j[np.count_nonzero(sketch[j] == sketch[i], axis=1) >= LEAST_ESTIMATE * COORDINATES]
+            j = j[_equal_places(half[j], half[i]) >= least]
+            j = j[_equal_places(sketch[j], sketch[i]) >= LEAST_ESTIMATE * COORDINATES]
             if len(j):
                 yield i, j
 
 
+def likely_beside(key: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same pairs for many small leaves whose rows lie side by side, as two arrays of rows."""
+    first, second = [], []
+    for apart in range(1, SMALL_LEAF):
+        beside = np.flatnonzero(key[apart:] == key[:-apart])
+        if not len(beside):
+            break
+        i, j = beside, beside + apart
+        ok = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        ok = _equal_places(sketch[i], sketch[j]) >= LEAST_ESTIMATE * COORDINATES
+        first.append(i[ok])
+        second.append(j[ok])
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(first or none), np.concatenate(second or none)
+
+
+def _n_shared(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate([a, b])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def linking_pairs(component: np.ndarray, n: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs of similar sets that join the components of a leaf: one for each merge, no more."""
     label = np.unique(component, return_inverse=True)[1]
@@ -256,21 +293,57 @@ def linking_pairs(component: np.ndarray, n: np.ndarray, sketch: np.ndarray, sets
     return out
 
 
-def _per_leaf(rows: DataFrame, schema: str, work) -> DataFrame:
-    """Applies ``work`` to the rows of each key, a task holding one key at a time."""
+def linking_beside(key: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """What :func:`linking_pairs` gives, for many small leaves whose rows lie side by side."""
+    label = np.unique(np.stack([key, component]), axis=1, return_inverse=True)[1].reshape(-1)
+    merged = list(range(int(label.max()) + 1))
+
+    def of(row: int) -> int:
+        at = label[row]
+        while merged[at] != at:
+            at = merged[at]
+        return at
+
+    out = []
+    for i, j in zip(*(rows.tolist() for rows in likely_beside(key, component, n, sketch))):
+        a, b = of(i), of(j)
+        if a != b:
+            shared = _n_shared(sets[i], sets[j]) + min(n[i] - len(sets[i]), n[j] - len(sets[j]))
+            if 100 * shared >= PERCENT * (n[i] + n[j] - shared):
+                merged[a] = b
+                out.append((i, j))
+    return out
+
+
+def _whole_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows, sorted by key, in pieces that hold all rows of their keys."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        key = batch["key"].to_numpy()
+        if not len(key):
+            continue
+        last = int(np.searchsorted(key, key[-1]))
+        if last or (held and held[-1]["key"].iloc[-1] != key[0]):
+            yield pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            held = []
+        held.append(batch.iloc[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _per_leaf(rows: DataFrame, schema: str, beside, work) -> DataFrame:
+    """Applies ``work`` to the rows of each key, a task holding few keys at a time, and ``beside`` to those of all small leaves held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            key = batch["key"].to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for low, high in zip(cuts, cuts[1:]):
-                if held and held[-1]["key"].iloc[0] != key[low]:
-                    yield work(pd.concat(held) if len(held) > 1 else held[0])
-                    held = []
-                held.append(batch.iloc[low:high])
-        if held:
-            yield work(pd.concat(held) if len(held) > 1 else held[0])
+        for piece in _whole_leaves(batches):
+            key = piece["key"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(starts, append=len(key))
+            small = np.repeat(sizes <= SMALL_LEAF, sizes)
+            if small.any():
+                yield beside(piece[small])
+            for low, size in zip(starts[sizes > SMALL_LEAF].tolist(), sizes[sizes > SMALL_LEAF].tolist()):
+                yield work(piece.iloc[low : low + size])
 
     return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(tidied(run), schema)
 
@@ -279,18 +352,28 @@ def _sketches(leaf: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(leaf["sketch"]), np.uint8).reshape(-1, COORDINATES)
 
 
+def _columns(leaf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return leaf["component"].to_numpy(), leaf["n"].to_numpy(), _sketches(leaf)
+
+
 def _promising(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """``key, node, component`` of members of leaves that have a likely partner in another component."""
     rows = members.select("key", "node", "component").join(nodes.select("node", "n", "sketch"), "node")
 
-    def work(leaf: pd.DataFrame) -> pd.DataFrame:
+    def chosen(leaf: pd.DataFrame, pairs) -> pd.DataFrame:
         found = np.zeros(len(leaf), dtype=bool)
-        for i, j in likely_across(leaf["component"].to_numpy(), leaf["n"].to_numpy(), _sketches(leaf)):
+        for i, j in pairs:
             found[i] = True
             found[j] = True
         return leaf.loc[found, ["key", "node", "component"]]
 
-    return _per_leaf(rows, "key long, node long, component long", work)
+    def beside(leaves: pd.DataFrame) -> pd.DataFrame:
+        return chosen(leaves, [likely_beside(leaves["key"].to_numpy(), *_columns(leaves))])
+
+    def work(leaf: pd.DataFrame) -> pd.DataFrame:
+        return chosen(leaf, likely_across(*_columns(leaf)))
+
+    return _per_leaf(rows, "key long, node long, component long", beside, work)
 
 
 def _linking(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -303,20 +386,26 @@ def _linking(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> Data
         for batch in batches:
             found = [np.unique((shingle_set(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"node": batch["doc_id"], "shingles": found})
-        _WORDS.clear()
 
     sets = texts.mapInPandas(tidied(shorten), "node long, shingles binary").distinct()
     rows = members.join(nodes.select("node", "n", "sketch"), "node").join(sets, "node")
     # A node of several sets has several texts: sizes tell which belong together.
     rows = rows.filter((F.length("shingles") / 4).between(0.99 * F.col("n") - 4, F.col("n")))
 
-    def work(leaf: pd.DataFrame) -> pd.DataFrame:
-        sets_here = [np.frombuffer(x, np.uint32) for x in leaf["shingles"]]
+    def links(leaf: pd.DataFrame, pairs: list[tuple[int, int]]) -> pd.DataFrame:
         node = leaf["node"].to_numpy()
-        pairs = linking_pairs(leaf["component"].to_numpy(), leaf["n"].to_numpy(), _sketches(leaf), sets_here)
         return pd.DataFrame([(int(node[i]), int(node[j])) for i, j in pairs], columns=["a", "b"], dtype="int64")
 
-    return _per_leaf(rows, "a long, b long", work)
+    def sets_of(leaf: pd.DataFrame) -> list[np.ndarray]:
+        return [np.frombuffer(x, np.uint32) for x in leaf["shingles"]]
+
+    def beside(leaves: pd.DataFrame) -> pd.DataFrame:
+        return links(leaves, linking_beside(leaves["key"].to_numpy(), *_columns(leaves), sets_of(leaves)))
+
+    def work(leaf: pd.DataFrame) -> pd.DataFrame:
+        return links(leaf, linking_pairs(*_columns(leaf), sets_of(leaf)))
+
+    return _per_leaf(rows, "a long, b long", beside, work)
 
 
 def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from brute import SCHEMA, contaminated, near_duplicates, odd_documents, repeats, row, words
@@ -69,6 +70,44 @@ def test_unlinked_members_of_a_node_are_found(spark):
     assert got == {i: c for (i, _), (_, c, _) in want.items()}
 
 
+def test_small_leaves_are_compared_together():
+    """Leaves side by side give the pairs that each gives alone, and cuts of batches do not part a leaf."""
+    draw = np.random.default_rng(7)
+    sizes = [1, 2, 3, 2, N.SMALL_LEAF, 5, 1, 9]
+    key = np.repeat(np.arange(len(sizes)) - 3, sizes)
+    n = draw.integers(80, 120, len(key))
+    component = draw.integers(0, 3, len(key))
+    base = draw.integers(0, 256, (len(sizes), N.COORDINATES), dtype=np.uint8)
+    other = draw.integers(0, 256, (len(key), N.COORDINATES), dtype=np.uint8)
+    sketch = np.where(draw.random((len(key), N.COORDINATES)) < 0.16, other, base[key + 3])
+    sets = [np.unique(np.concatenate([np.arange(70, dtype=np.uint32), draw.integers(0, 1 << 32, m - 70, dtype=np.uint32)])) for m in n]
+    want = set()
+    for k in np.unique(key):
+        own = np.flatnonzero(key == k)
+        for i, js in N.likely_across(component[own], n[own], sketch[own]):
+            want |= {tuple(sorted((int(own[i]), int(own[j])))) for j in js}
+    i, j = N.likely_beside(key, component, n, sketch)
+    assert want and collections.Counter(zip(i.tolist(), j.tolist())) == collections.Counter(want)
+    links = N.linking_beside(key, component, n, sketch, sets)
+    assert {(key[i], component[i]) for i, _ in links}
+    for k in np.unique(key):
+        own = np.flatnonzero(key == k)
+        alone = N.linking_pairs(component[own], n[own], sketch[own], [sets[at] for at in own])
+        assert len(alone) == len([1 for i, _ in links if key[i] == k])
+    table = pd.DataFrame({"key": key, "at": np.arange(len(key))})
+    for size in (1, 2, 7, len(key)):
+        pieces = list(N._whole_leaves(iter([table.iloc[at : at + size] for at in range(0, len(key), size)])))
+        assert pd.concat(pieces)["at"].tolist() == table["at"].tolist()
+        assert sum(p["key"].nunique() for p in pieces) == len(sizes)
+
+
+def test_leaves_do_not_cost_a_batch_each():
+    """Thousands of small leaves come back in as many tables as there were batches, not as leaves."""
+    key = np.repeat(np.arange(3000), 2)
+    found = list(N._whole_leaves(iter([pd.DataFrame({"key": key})])))
+    assert len(found) <= 2
+
+
 @pytest.mark.parametrize("most", [50_000, 1])
 def test_repeats(spark, documents, monkeypatch, most):
     monkeypatch.setattr(R, "MAX_STRINGS", most)
