@@ -62,6 +62,20 @@ def test_pairs_of_questions_and_facts_are_distinct_without_a_shuffle(spark, monk
         assert not re.search(r"Aggregate \[objective_id#\d+, id#", plan)
 
 
+def test_unknown_terms_and_wide_retrieval_read_no_pairs_twice(spark):
+    """Both give what the pairs give, repeated facts and facts without an id included, and shuffle no pairs."""
+    items = [{"id": f"f{i % 5}" if i < 8 else None, "file": f"{'tests' if i % 5 == 0 else 'src'}/{'zeta' if i % 5 == 1 else i % 5}.js", "line": i % 5, "name": ["alpha", "beta", "gamma alpha", "Delta", "tests"][i % 5]} for i in range(10)]
+    fs = cut_lineage(facts(spark, *items), "facts")
+    t = investigate.answer_tables(ask(spark, "alpha nothing zeta", "beta alpha", "delta gamma", "testing alpha", "give a high level overview of everything", "src tests"), fs)
+    plain = investigate.unknown_terms(t["keywords"], t["retrieved"])
+    assert rows(t["unknowns"], "objective_id", "keyword") == rows(plain, "objective_id", "keyword") and plain.count()
+    wide = investigate.widen_retrieval(t["keywords"], t["unknowns"], t["retrieved"], fs, t["overview"])
+    want = investigate.widen_retrieval(t["keywords"], t["unknowns"], t["retrieved"], fs)
+    key = F.coalesce("id", F.lit("none")).alias("key")
+    assert rows(wide.select("objective_id", key, "file"), "objective_id", "key", "file") == rows(want.select("objective_id", key, "file"), "objective_id", "key", "file")
+    assert "array_intersect" not in t["unknowns"]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_tiers_prefer_production_code(spark):
     fs = facts(spark, {"file": "lib/auth.js"}, {"file": "examples/auth-example.js"}, {"file": "billing.js"}, {"file": "test/auth.test.js"}, {"file": "docs/auth.md", "type": "doc_heading"})
     t = investigate.answer_tables(ask(spark, "how is auth done", "auth examples", "nothing matches zebra"), fs)
