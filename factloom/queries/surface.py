@@ -14,7 +14,7 @@ from factloom.queries.packs import shell_lines
 from factloom.registry import Extractor, Registry, guarded, split_errors
 from factloom.session import fresh_folder
 from factloom.sources import adapters as A
-from factloom.sources.corpus import read_corpus
+from factloom.sources.corpus import read_corpus, write_corpus
 from factloom.sources.snapshots import append_log, read_jsonl_log
 
 LONG = 5000
@@ -29,7 +29,8 @@ def _documents(spark, sf_dir, ending: str):
 def corpus_files(spark, sf_dir):
     """Every document written as a file of its own folder and read back by the folder source."""
     folder = fresh_folder(spark, "tree")
-    A.table(spark, sf_dir, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(folder)
+    name = F.concat(F.lit("doc_id="), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("/text.txt"))
+    write_corpus(A.table(spark, sf_dir, "documents").select(name.alias("file"), "text"), folder)
     found = read_corpus(spark, {"docs": folder}).filter(F.col("file").endswith(".txt"))
     return found.select(F.regexp_extract("file", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "size", F.md5("content").alias("digest"))
 

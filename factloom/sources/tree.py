@@ -3,7 +3,7 @@
 Built on the public Python data source API. The driver lists only enough folders to cut the tree
 into pieces; the executors walk and read their own pieces, in Arrow batches. A folder that the driver
 listed is cut into ranges of file names by bytes, small ones share a piece; a folder that it did not
-list any more is walked by one task. Ignored folders are not entered, and files whose text nobody asked
+list any more is walked by one task, which may walk others too. Ignored folders are not entered, and files whose text nobody asked
 for are listed without being opened.
 """
 
@@ -41,6 +41,15 @@ class _Piece(InputPartition):
     parts: list[_Part]
 
 
+def open_folder(path: str):
+    """(file system, path in it) of a folder; without a scheme it is a local one."""
+    from pyarrow import fs
+
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
 class SourceTree(DataSource):
     """``spark.read.format("source_tree").option("path", ...)`` -> (file, content, size, mtime)."""
 
@@ -67,13 +76,6 @@ class _TreeReader(DataSourceReader):
         self.texts = None if texts is None else tuple(t.lower() for t in texts)
         self.split_bytes = int(options.get("splitBytes") or _SPLIT_BYTES)
 
-    def _open(self):
-        from pyarrow import fs
-
-        if "://" in self.path:
-            return fs.FileSystem.from_uri(self.path)
-        return fs.LocalFileSystem(), self.path
-
     def _opened(self, path: str) -> bool:
         name = posixpath.basename(path).lower()
         return self.texts is None or name.endswith(self.texts) or name == ".env" or name.startswith(".env.")
@@ -106,7 +108,7 @@ class _TreeReader(DataSourceReader):
         return _OPEN_BYTES + (info.size or 0 if self._opened(info.path) else 0)
 
     def partitions(self):
-        filesystem, root = self._open()
+        filesystem, root = open_folder(self.path)
         parts, costs, queue = [], [], [root]
         while queue and len(queue) + sum(costs) // self.split_bytes < _PIECES:
             folder = queue.pop(0)
@@ -131,7 +133,9 @@ class _TreeReader(DataSourceReader):
             size += cost
         if held:
             pieces.append(_Piece(held))
-        return pieces + [_Piece([_Part(folder, True)]) for folder in queue]
+        # However many folders are left, they are dealt over a bounded number of pieces.
+        deals = min(len(queue), _PIECES)
+        return pieces + [_Piece([_Part(folder, True) for folder in queue[i::deals]]) for i in range(deals)]
 
     def _walk(self, filesystem, root: str, part: _Part) -> Iterator:
         folders, files = self._list(filesystem, root, part.folder)
@@ -148,7 +152,7 @@ class _TreeReader(DataSourceReader):
     def read(self, piece: _Piece):
         import pyarrow as pa
 
-        filesystem, root = self._open()
+        filesystem, root = open_folder(self.path)
         schema = pa.schema(
             [("file", pa.string()), ("content", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC"))]
         )

@@ -218,3 +218,14 @@ def test_the_listing_skips_what_nobody_reads(spark, tmp_path):
     assert 4 <= len(pieces) <= 7 and len(SourceTree({"path": str(tmp_path)}).reader(None).partitions()) == 1
     seen = [f for p in pieces for batch in reader.read(p) for f in batch.column("file").to_pylist()]
     assert sorted(seen) == sorted(names)
+
+
+def test_many_folders_share_a_bounded_number_of_pieces(spark, tmp_path):
+    from factloom.sources.tree import _PIECES, SourceTree
+
+    texts = spark.range(3 * _PIECES).selectExpr("concat('d', id, '/deep/t.txt') AS file", "nullif(concat('text ', id), 'text 7') AS text")
+    twice = texts.unionByName(texts.filter("file = 'd5/deep/t.txt'"))
+    assert corpus.write_corpus(twice, str(tmp_path)) == 3 * _PIECES
+    assert len(SourceTree({"path": str(tmp_path)}).reader(None).partitions()) <= 2 * _PIECES
+    got = dict(rows(corpus.read_corpus(spark, {"r": str(tmp_path)}), "file", "content"))
+    assert len(got) == 3 * _PIECES and got["d5/deep/t.txt"] == "text 5\ntext 5\n" and got["d7/deep/t.txt"] == "\n" and got["d9/deep/t.txt"] == "text 9\n"
