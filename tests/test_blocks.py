@@ -58,6 +58,17 @@ def test_word_join_is_whole_word_and_literal(spark):
     assert rows(matching.word_join(t, q), "i", "needle") == [(1, "legacyFn"), (3, "legacy.fn"), (5, "--")]
 
 
+def test_plain_steps_up_need_no_loop_over_a_path(spark):
+    cases = [
+        ("a/b/c.js", "../d.js", "a/d.js"), ("a/b/c.js", "./../../d/e.js", "d/e.js"), ("a/c.js", "./d.js", "a/d.js"), ("c.js", "./..x/d", "..x/d"),
+        ("a/c.js", "../../d.js", None), ("a//b/c.js", "../d.js", None), ("a/c.js", "../d//e", None), ("a/c.js", "../", None), ("a/c.js", "././d", None), ("a/../c.js", "./d", None), ("a/c.js", None, None),
+    ]
+    df = spark.createDataFrame(cases, "f string, t string, want string")
+    got = df.select("t", text._stepped_up(text.dir_name(F.col("f")), F.col("t")).alias("got"), text.resolve_target(F.col("f"), F.col("t"), F.lit("doc_reference")).alias("all")).collect()
+    assert [r["got"] for r in got] == [c[2] for c in cases]
+    assert [r["all"] for r in got[4:]] == ["../d.js", "a/d.js", "d/e", "./", "a/d", "d", "a"]
+
+
 def test_paths(spark):
     cases = [
         ("a/b.js", "./c", "a/c"), ("a/b.js", "../c.js", "c.js"), ("b.js", "./c//d/./e", "c/d/e"), ("b.js", "../up", "../up"), ("a/b.md", "/abs/x", "/abs/x"),
