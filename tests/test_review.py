@@ -205,3 +205,26 @@ def test_broken_snapshots_warn(spark, tmp_path):
         assert latest_snapshot_id(spark, str(tmp_path)) is None
     with pytest.warns(UserWarning, match="cannot be read"):
         assert read_snapshot(spark, str(tmp_path)) is None
+
+
+def test_the_verdict_extracts_each_version_once(spark, monkeypatch):
+    from factloom.queries import review as Q
+
+    made = []
+    versions = {c: facts(spark, {"target": t, "entity": t}) for c, t in ((False, "x"), (True, "y"))}
+    monkeypatch.setattr(Q.A, "stored_import_facts", lambda spark, sf_dir, changed=False: made.append(changed) or versions[changed])
+    monkeypatch.setattr(Q.A, "claims", lambda spark, sf_dir: spark.createDataFrame([("c1", "shop", "import_removed", "x", None, None, None, None)], CLAIM))
+    monkeypatch.setattr(Q.A, "import_lines", lambda spark, sf_dir, changed=False: spark.createDataFrame([("shop", "a.js", 1, "b" if changed else "a")], "repo string, file string, ln long, line string"))
+    monkeypatch.setattr(Q, "_some_claims", lambda spark, sf_dir: spark.createDataFrame([("shop", None, None, None)], "repo string, target string, entity string, file string"))
+    Q.overall(spark, "")
+    assert sorted(made) == [False, True]
+
+
+def test_claims_of_all_kinds_meet_facts_in_one_pass(spark):
+    """With and without type and file side by side, a claim counts what it names and nothing twice."""
+    before = facts(spark, *[{"target": "x", "entity": "x", "file": f, "type": t} for f in ("a.js", "b.js") for t in ("import", "doc_link")])
+    asked = [("c1", "r", "fact_removed", None, "x", None, None, None), ("c2", "r", "fact_removed", None, "x", "a.js", None, None),
+             ("c3", "r", "fact_removed", None, "x", None, None, "doc_link"), ("c4", "r", "import_removed", "x", None, "b.js", None, None)]
+    empty = spark.createDataFrame([], "repo string, file string, ln long, line string")
+    got = R.evaluate_claims(spark.createDataFrame(asked, CLAIM), before, before.limit(0), empty.select("repo", "file"), empty)
+    assert rows(got, "claim_id", "verdict", "n_evidence") == [("c1", "supported", 4), ("c2", "supported", 2), ("c3", "supported", 2), ("c4", "supported", 1)]
