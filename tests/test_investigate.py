@@ -156,3 +156,15 @@ def test_labels_merge_areas(spark):
     scored = cut_lineage(investigate.score_hypotheses(h))
     got = {r["insight"]: (r["area"], r["n_hypotheses"]) for r in synthesis.label_areas(scored).collect()}
     assert got == {"Manuals": ("docs/b", 3), "lib/q.js": ("lib/q.js", 1)}
+
+
+def test_memory_is_searched_once_for_each_keyword(spark, monkeypatch):
+    texts = [(f"m{i}", "r" if i else "s", f"Use Redis cache {i}", "approved" if i != 2 else "proposed") for i in range(6)] * 2
+    rules = spark.createDataFrame(texts, "id string, repo string, rule string, status string")
+    words = spark.createDataFrame([(f"o{q}", "r", w) for q in range(40) for w in ("redis", "cache", f"{q}", "absent")], "objective_id string, repo string, keyword string")
+    searched, join = [], investigate.contains_join
+    monkeypatch.setattr(investigate, "contains_join", lambda t, terms, **k: searched.append(terms.count()) or join(t, terms, **k))
+    monkeypatch.setattr(investigate, "FORM_HITS", 2)
+    got = rows(investigate.relevant_memory(words, rules), "objective_id", "repo", "rule_id")
+    assert searched == [43]
+    assert got == sorted((f"o{q}", "r", f"m{i}") for q in range(40) for i in (1, 3, 4, 5))
