@@ -228,3 +228,22 @@ def test_claims_of_all_kinds_meet_facts_in_one_pass(spark):
     empty = spark.createDataFrame([], "repo string, file string, ln long, line string")
     got = R.evaluate_claims(spark.createDataFrame(asked, CLAIM), before, before.limit(0), empty.select("repo", "file"), empty)
     assert rows(got, "claim_id", "verdict", "n_evidence") == [("c1", "supported", 4), ("c2", "supported", 2), ("c3", "supported", 2), ("c4", "supported", 1)]
+
+
+def test_stored_imports_hold_what_readers_ask_for(spark, monkeypatch):
+    from factloom.sources import adapters as A
+
+    monkeypatch.setattr(A, "import_lines", lambda spark, sf_dir, changed=False: lines(spark, {"a.js": 'import x from "../lib.js";'}))
+    plain, full = A.stored_import_facts(spark, ""), A.stored_import_facts(spark, "", texts=True)
+    assert not {"evidence", "line_hash"} & {*plain.columns} and {"evidence", "line_hash"} <= {*full.columns}
+    # Ids are made by readers: the written files have none.
+    assert all('"id"' not in spark.read.parquet(*f.inputFiles()).schema.json() for f in (plain, full))
+    assert rows(plain, "id", "entity") == rows(A.import_facts(spark, ""), "id", "entity")
+
+
+def test_few_shared_keys_move_no_facts(spark):
+    """A key of both sides whose counts differ is joined from a table of its own, which is known to be small."""
+    made = [{"id": f"i{i}", "target": "a", "entity": "a", "line": i} for i in range(3)]
+    changes = V.delta(facts(spark, *made, {"id": "g", "entity": "gone"}), facts(spark, made[0], {"id": "n", "entity": "new"}))
+    assert rows(changes, "side", "id") == [("added", "n"), ("removed", "g"), ("removed", "i1"), ("removed", "i2")]
+    assert "shared-" in str(changes.inputFiles())
