@@ -247,3 +247,21 @@ def test_few_shared_keys_move_no_facts(spark):
     changes = V.delta(facts(spark, *made, {"id": "g", "entity": "gone"}), facts(spark, made[0], {"id": "n", "entity": "new"}))
     assert rows(changes, "side", "id") == [("added", "n"), ("removed", "g"), ("removed", "i1"), ("removed", "i2")]
     assert "shared-" in str(changes.inputFiles())
+
+
+def test_packed_ids_come_back(spark):
+    from factloom.functions.text import packed_id, unpacked_id
+
+    ids = ["import_" + "0a" * 16, "0a" * 16, "import_" + "0A" * 16, "é" * 40, "", None]
+    packed = spark.createDataFrame([(i,) for i in ids], "id string").withColumn("p", packed_id(F.col("id")))
+    assert [r.u for r in packed.select(unpacked_id(F.col("p")).alias("u")).collect()] == ids
+    assert packed.select("p.tail").first().tail == bytes([10] * 16) and packed.filter("p IS NULL").count() == 1
+
+
+def test_drift_moves_ids_packed_and_no_snippets(spark):
+    old = facts(spark, {"id": "import_" + "0b" * 16, "file": "a.js", "line": 1, "evidence": "x"}, {"id": "n", "file": "a.js", "line": 9, "evidence": "x"}, {"id": None, "file": "b.js", "line": 1, "evidence": "y"}, {"id": "u", "evidence": None})
+    now = {"a.js": "x"}
+    found = V.verify_facts(old, files(spark, now), lines(spark, now))
+    assert {(r.id, r.status, r.current_evidence) for r in found.collect()} == {("import_" + "0b" * 16, "confirmed", "x"), ("n", "line_gone", None), (None, "file_missing", None), ("u", "unverifiable", "x")}
+    plan = found.select("id", "status")._jdf.queryExecution().optimizedPlan().toString()
+    assert "current_evidence" not in plan and "unhex" in plan
