@@ -265,3 +265,19 @@ def test_drift_moves_ids_packed_and_no_snippets(spark):
     assert {(r.id, r.status, r.current_evidence) for r in found.collect()} == {("import_" + "0b" * 16, "confirmed", "x"), ("n", "line_gone", None), (None, "file_missing", None), ("u", "unverifiable", "x")}
     plan = found.select("id", "status")._jdf.queryExecution().optimizedPlan().toString()
     assert "current_evidence" not in plan and "unhex" in plan
+
+
+def test_explained_ids_read_the_facts_once_for_own_and_missing(spark):
+    from factloom.operators.graph import explain
+
+    have = facts(spark, {"id": "f1"}, {"id": "f2", "line": 2}, {"id": "f2", "line": 2}, {"id": None, "line": 7})
+    held = [("d1", "f1"), ("d1", "f2"), ("d2", "gone"), ("f1", "f2"), (None, "f1")]
+    support = spark.createDataFrame(held, "derived_id string, fact_id string")
+    support = support.withColumn("ord", F.struct(F.lit(1).alias("ext_ord"), F.lit("a.js").alias("file"), F.lit(1).cast("long").alias("line"), F.lit(0).alias("pos")))
+    asked = spark.createDataFrame([(i,) for i in ("f1", "f1", "f2", "d1", "d2", "no", None)], "id string")
+    got = explain(asked, have, support)
+    assert sorted((str(r.id), r.kind, str(r.fact_id), r.line) for r in got.collect()) == sorted([
+        ("f1", "fact", "f1", 1), ("f1", "derived", "f2", 2), ("f1", "derived", "f2", 2), ("f2", "fact", "f2", 2), ("f2", "fact", "f2", 2),
+        ("d1", "derived", "f1", 1), ("d1", "derived", "f2", 2), ("d1", "derived", "f2", 2), ("d2", "not_found", "None", None), ("no", "not_found", "None", None), ("None", "not_found", "None", None),
+    ])
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
