@@ -241,14 +241,6 @@ def test_stored_imports_hold_what_readers_ask_for(spark, monkeypatch):
     assert rows(plain, "id", "entity") == rows(A.import_facts(spark, ""), "id", "entity")
 
 
-def test_few_shared_keys_move_no_facts(spark):
-    """A key of both sides whose counts differ is joined from a table of its own, which is known to be small."""
-    made = [{"id": f"i{i}", "target": "a", "entity": "a", "line": i} for i in range(3)]
-    changes = V.delta(facts(spark, *made, {"id": "g", "entity": "gone"}), facts(spark, made[0], {"id": "n", "entity": "new"}))
-    assert rows(changes, "side", "id") == [("added", "n"), ("removed", "g"), ("removed", "i1"), ("removed", "i2")]
-    assert "shared-" in str(changes.inputFiles())
-
-
 def test_packed_ids_come_back(spark):
     from factloom.functions.text import packed_id, unpacked_id
 
@@ -281,3 +273,18 @@ def test_explained_ids_read_the_facts_once_for_own_and_missing(spark):
         ("d1", "derived", "f1", 1), ("d1", "derived", "f2", 2), ("d1", "derived", "f2", 2), ("d2", "not_found", "None", None), ("no", "not_found", "None", None), ("None", "not_found", "None", None),
     ])
     assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_excerpts_tell_the_line_of_their_fact(spark):
+    from factloom.operators.graph import source_excerpt
+
+    shown = source_excerpt(facts(spark, {"line": 3, "file": "a.js"}), lines(spark, {"a.js": "a\nb\nc\nd"}), radius=1)
+    assert rows(shown, "fact_id", "at", "ln", "hit") == [("f0", 3, 2, False), ("f0", 3, 3, True), ("f0", 3, 4, False)]
+
+
+def test_few_shared_keys_move_no_facts(spark):
+    """A key of both sides whose counts differ is joined from a table of its own, which is known to be small."""
+    made = [{"id": f"i{i}", "target": "a", "entity": "a", "line": i} for i in range(3)]
+    changes = V.delta(facts(spark, *made, {"id": "g", "entity": "gone"}), facts(spark, made[0], {"id": "n", "entity": "new"}))
+    assert rows(changes, "side", "id") == [("added", "n"), ("removed", "g"), ("removed", "i1"), ("removed", "i2")]
+    assert "shared-" in str(changes.inputFiles())
