@@ -168,3 +168,68 @@ def test_memory_is_searched_once_for_each_keyword(spark, monkeypatch):
     got = rows(investigate.relevant_memory(words, rules), "objective_id", "repo", "rule_id")
     assert searched == [43]
     assert got == sorted((f"o{q}", "r", f"m{i}") for q in range(40) for i in (1, 3, 4, 5))
+
+
+def _asked(spark, large=None):
+    """Random facts and word forms: repeated ids, nulls, files of one and of many facts."""
+    import random
+
+    rng = random.Random(7)
+    said = []
+    for i in range(300):
+        file = None if i % 97 == 0 else "big.js" if large and i % 3 == 0 else f"d/f{rng.randrange(40)}.js"
+        line = None if i % 53 == 0 else rng.randrange(50)
+        said.append((f"f{i - i % 2 if i % 10 == 1 else i}", "r", file, 1, line, i % 7, rng.randrange(2), sorted(rng.sample(range(60), 1 + i % 4))))
+    asks = [(f"q{k}", sorted(rng.sample(range(80), 1 + k % 5))) for k in range(50)] + [("none", [999])]
+    facts = spark.createDataFrame(said, "id string, repo string, file string, ext_ord int, line long, pos int, _drifted int, _forms array<long>")
+    return cut_lineage(facts, "said"), spark.createDataFrame(asks, "objective_id string, _forms array<long>")
+
+
+def _in_pairs(said, asks):
+    from pyspark.sql import functions as F
+
+    pairs = asks.withColumnRenamed("_forms", "_asked").join(said, F.arrays_overlap("_asked", "_forms"))
+    return pairs.groupBy("objective_id", "repo", "file").agg(
+        F.count(F.lit(1)).alias("n_facts"), F.sum("_drifted").alias("n_drifted"), F.min(F.struct("ext_ord", "file", "line", "pos")).alias("first_seq")
+    )
+
+
+def test_questions_meet_files_without_pairs(spark, monkeypatch):
+    from factloom.operators import meeting
+
+    for large in (False, True):
+        said, asks = _asked(spark, large)
+        monkeypatch.setattr(meeting, "BLOCK", 64)
+        monkeypatch.setattr(meeting, "UNFOLDED", 256)
+        met = meeting.meet_files(said, asks)
+        assert sorted(map(str, met.collect())) == sorted(map(str, _in_pairs(said, asks).select(met.columns).collect()))
+    assert meeting.meet_files(said.limit(0), asks).collect() == []
+
+
+def test_hypotheses_and_lookups_are_those_of_the_retrieval(spark):
+    from factloom.operators import investigate
+    from pyspark.sql import functions as F
+
+    fs = cut_lineage(facts(spark, *[{"type": "import", "file": f"a/b{i % 3}.js", "line": i, "name": n, "target": n} for i, n in enumerate(["router", "parser", "rout", "x"] * 3)]), "facts")
+    asked = spark.createDataFrame([("q1", "r", "why does router fail in parser"), ("q2", "r", "parsers routing"), ("q3", "r", "nothing here")], "objective_id string, repo string, text string")
+    t = investigate.answer_tables(asked, fs)
+    whole = investigate.score_hypotheses(investigate.form_hypotheses(t["retrieved"]))
+    assert t["hypotheses"].count() and sorted(map(str, t["hypotheses"].collect())) == sorted(map(str, whole.select(t["hypotheses"].columns).collect()))
+    # Hypotheses leave the meeting finished: the only rows grouped are those of overviews.
+    assert "MapInArrow" in t["hypotheses"]._jdf.queryExecution().optimizedPlan().toString()
+    some = whole.filter(F.col("file") != "a/b1.js")
+    assert rows(t["retrieved_of"](some), "objective_id", "id") == rows(t["retrieved"].join(some, ["objective_id", "file"], "left_semi"), "objective_id", "id")
+
+
+def test_few_terms_leave_texts_in_place(spark):
+    from factloom.functions.matching import contains_join
+
+    texts = spark.createDataFrame([(i, "a long text about routing") for i in range(3)], "n int, haystack string")
+    found = contains_join(texts, spark.createDataFrame([("routing",), ("ab",), ("zz",)], "term string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = found.select("n", "term")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert rows(found, "n", "term") == [(i, t) for i in range(3) for t in ("ab", "routing")]
